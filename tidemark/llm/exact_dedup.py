@@ -23,13 +23,13 @@ HITTERS = 1000
 def _digests(batches):
     for batch in batches:
         found = [hashlib.sha256((t or "").encode().lower()).digest() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "digest"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(found, pa.binary())], ["doc_id", "text_key", "digest"])
 
 
 def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest): SHA-256 of each text in UTF-8 with A-Z lower-cased, null as empty."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_digests, "doc_id long, digest binary")
+    """(doc_id, text_key, digest): the digest is SHA-256 of the text in UTF-8 with A-Z lower-cased, null as empty."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_digests, "doc_id long, text_key long, digest binary")
 
 
 def _shrink(counts: dict, k: int) -> None:
@@ -74,7 +74,8 @@ def heavy_hitters(rows: DataFrame, key: str = "digest", k: int = HITTERS) -> Dat
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hitters: int = HITTERS) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256,
+    text_key (xxhash64 of the text as it is).
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as
     empty. Of equal texts the row with the largest doc_id stays; a null doc_id
@@ -90,26 +91,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     winners = staged(rows.join(suspects, "digest").groupBy("digest").agg(*totals), "winners")
     marked = rows.join(F.broadcast(winners), "digest", "left")
     heavy = marked.filter(F.col("group_size").isNotNull())
-    rest = marked.filter(F.col("group_size").isNull()).select("doc_id", "digest")
+    rest = marked.filter(F.col("group_size").isNull()).select("doc_id", "text_key", "digest")
     light = rest.join(rest.groupBy("digest").agg(*totals), "digest")
-    both = heavy.select("doc_id", "digest", "keep_id", "group_size").unionByName(light.select("doc_id", "digest", "keep_id", "group_size"))
+    both = heavy.unionByName(light)
     return both.select(
         "doc_id",
         "keep_id",
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "text_key",
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies; all columns stay. The dropped ids alone are joined back.
-
-    Rows that share a doc_id are decided by doc_id and digest together, which
-    a second digest of the joined rows checks only where a doc_id repeats.
-    """
+    """docs without the copies; all columns stay. Only the ids of what goes are joined back."""
     groups = exact_groups(docs, id_col, text_col).filter(~F.col("kept"))
-    gone = groups.select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
-    own = F.sha2(F.encode(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "UTF-8"), 256)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (own == F.col("_sha"))
+    gone = groups.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(text_col) == F.col("_key"))
     return docs.join(gone, same, "left_anti")

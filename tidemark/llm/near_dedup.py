@@ -214,7 +214,7 @@ def _across(floor: float):
 
 
 def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, text_key (xxhash64 of the text).
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a
     text's set is its distinct SHINGLE-word shingles, or its whole sequence of
@@ -269,12 +269,14 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     names = table.groupBy("component").agg(least.alias("component_id"), F.count("*").alias("classes"))
     table = join_hot(table, staged(names, "names"), ["component"], "classes", total)
     table = staged(table.select("set_key", "size", "component_id"), "table")
-    both = join_hot(sigs.select("doc_id", "n_shingles", "set_key"), table, ["set_key"], "size", total)
+    both = join_hot(sigs.select("doc_id", "text_key", "n_shingles", "set_key"), table, ["set_key"], "size", total)
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return both.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return both.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key")
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group; all columns stay. Only the ids that go are joined back."""
-    gone = near_groups(docs, percent, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    groups = near_groups(docs, percent, id_col, text_col).filter(~F.col("kept"))
+    gone = groups.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(text_col) == F.col("_key"))
+    return docs.join(gone, same, "left_anti")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, near_dedup
+from tidemark.llm import decontamination, exact_dedup, near_dedup, quality, sentencepiece_codec
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +19,29 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(_table(spark, sf_dir, "documents"), percent=85)
+    groups = near_dedup.near_groups(_table(spark, sf_dir, "documents"), percent=85)
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def learned(column: str, folds: int, out: int):
+    """Whether a row may be learned from: the crc32 of its id as text falls outside one of the folds."""
+    return F.crc32(F.col(column).cast("string")) % folds != out
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), learned("doc_id", 5, 0))
+    scored = quality.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (~learned("doc_id", 5, 0)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+    groups = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP3_SQL = """
@@ -36,8 +56,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_exact_dedup": op3_exact_dedup,
         "op7_near_dedup": op7_near_dedup,
+        "op10_quality": op10_quality,
     }
 
 
