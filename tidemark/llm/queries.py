@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, lm_scoring, near_dedup, quality, sentencepiece_codec
+from tidemark.llm import decontamination, exact_dedup, lm_scoring, near_dedup, quality, sentencepiece_codec, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learned("doc_id", 5, 0)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = lm_scoring.train(docs.filter(F.coalesce(learned("doc_id", 10, 0), F.lit(True))))
@@ -65,6 +69,7 @@ def queries() -> dict:
         "op1_decontamination": op1_decontamination,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_token_files": op4_token_files,
         "op5_lm_scoring": op5_lm_scoring,
         "op7_near_dedup": op7_near_dedup,
         "op10_quality": op10_quality,
