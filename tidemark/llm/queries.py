@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, lm_scoring, near_dedup, quality, sentencepiece_codec, token_files
+from tidemark.llm import decontamination, exact_dedup, lm_scoring, near_dedup, quality, sentencepiece_codec, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = lm_scoring.train(docs.filter(F.coalesce(learned("doc_id", 10, 0), F.lit(True))))
@@ -71,6 +76,7 @@ def queries() -> dict:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_token_files": op4_token_files,
         "op5_lm_scoring": op5_lm_scoring,
+        "op6_warc": op6_warc,
         "op7_near_dedup": op7_near_dedup,
         "op10_quality": op10_quality,
     }
