@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, lm_scoring, near_dedup, quality, sentencepiece_codec, token_files, warc
+from tidemark.llm import decontamination, exact_dedup, language_id, lm_scoring, near_dedup, quality, sentencepiece_codec, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,13 @@ def learned(column: str, folds: int, out: int):
     return F.crc32(F.col(column).cast("string")) % folds != out
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, learned("doc_id", 3, 1))
+    found = language_id.predict(docs, model, keep=["doc_id"], spans=False)
+    return found.select("doc_id", F.coalesce(~learned("doc_id", 3, 1), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"), learned("doc_id", 5, 0))
@@ -78,6 +85,7 @@ def queries() -> dict:
         "op5_lm_scoring": op5_lm_scoring,
         "op6_warc": op6_warc,
         "op7_near_dedup": op7_near_dedup,
+        "op8_language_id": op8_language_id,
         "op10_quality": op10_quality,
     }
 
