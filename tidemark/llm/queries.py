@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, language_id, lm_scoring, near_dedup, quality, sentencepiece_codec, token_files, warc
+from tidemark.llm import decontamination, exact_dedup, html_text, language_id, lm_scoring, near_dedup, quality, sentencepiece_codec, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(~learned("doc_id", 3, 1), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"), learned("doc_id", 5, 0))
@@ -86,6 +90,7 @@ def queries() -> dict:
         "op6_warc": op6_warc,
         "op7_near_dedup": op7_near_dedup,
         "op8_language_id": op8_language_id,
+        "op9_html_text": op9_html_text,
         "op10_quality": op10_quality,
     }
 
