@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+from pyspark.sql import DataFrame
 
+from tidemark.plans import indicator_queries
 
-def queries() -> dict:
-    return {}
 
+def flagship(spark, sf_dir: str) -> DataFrame:
+    return indicator_queries.window_plan(spark, sf_dir)
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable]:
+    return dict(indicator_queries.queries())
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(indicator_queries.oracle_sql())
