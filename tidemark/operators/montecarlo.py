@@ -144,7 +144,7 @@ def sharpe_interval(returns: DataFrame, block: int, n_boot: int = 1000, confiden
     w = Window.partitionBy("symbol")
     rows = rows.select("symbol", "ret", F.row_number().over(w.orderBy("ts")).cast("long").alias("i"), (F.count("*").over(w) + 1).alias("n"))
     ratio = F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0)) * math.sqrt(year)
-    made = rows.select("symbol", "i", "n").withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).cast("long"))
+    made = rows.select("symbol", "i", "n").withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))))
     made = _sources(made, "circular", block, seed).join(rows.select("symbol", F.col("i").alias("src"), "ret"), ["symbol", "src"])
     ends = made.groupBy("symbol", "sim").agg(ratio.alias("s")).groupBy("symbol")
     ends = ends.agg(F.percentile("s", (1 - confidence) / 2).alias("ci_low"), F.percentile("s", (1 + confidence) / 2).alias("ci_high"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from tidemark.plans import indicator_queries
+from tidemark.plans import indicator_queries, trading_queries
 
 
 def flagship(spark, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
-    return dict(indicator_queries.queries())
+    return indicator_queries.queries() | trading_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(indicator_queries.oracle_sql())
+    return indicator_queries.oracle_sql() | trading_queries.oracle_sql()
