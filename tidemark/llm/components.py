@@ -10,6 +10,8 @@ from tidemark.llm.common import staged
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One round over links (a, b) with a > b; returns such links again."""
+    if not large:  # what the large round gives is read twice
+        edges = staged(edges, "links")
     ends = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         ends = ends.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -20,7 +22,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         out = met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return staged(out.filter(F.col("a") > F.col("b")).distinct(), "links")
+    out = out.filter(F.col("a") > F.col("b"))
+    return out if large else staged(out.distinct(), "links")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

@@ -6,8 +6,9 @@ words, and candidates are screened by counting equal b-bit groups with the
 share of chance matches taken out. What passes is confirmed on full sets.
 
 Equal sets are one class from the start. A bucket of n classes gives n - 1
-candidates in a first round, each member with the bucket's smallest; only
-buckets that then still hold several components give further pairs, between
+candidates in a first round, each member with the one that meets most others.
+Buckets that then still hold several components are compared whole, in one
+task each (or in pairs of blocks), which gives only the links that join
 components. So a large group of copies costs a number of rows in proportion.
 """
 
@@ -28,7 +29,7 @@ HASHES, BITS = 128, 4
 #: Standard errors by which the estimate may fall short of the threshold: one true link in a million.
 SLACK = 5.0
 #: Classes of one bucket that one call compares; larger buckets are dealt out in pairs of such blocks.
-BLOCK = 4096
+BLOCK = 1024
 #: Rows of three longs that may be broadcast (some 100 MB); beyond that they are shuffled.
 BROADCAST_ROWS = 2_000_000
 #: Stands for a null doc_id where ids are ordered: after all others.
@@ -164,6 +165,15 @@ def _confirm(percent: int):
     return run
 
 
+def _class_texts(classes: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """(cls, text) with the text of one document of each class."""
+    need = staged(classes.join(reps.select("cls", F.col("least.doc").alias("doc"), F.col("least.text_key").alias("key")), "cls"), "need")
+    if need.count() <= BROADCAST_ROWS:
+        need = F.broadcast(need)
+    one = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc")) & (F.col("text_key") == F.col("key"))
+    return staged(rows.join(need, one).select("cls", "text").dropDuplicates(["cls"]), "texts")
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are links: screened by estimate, confirmed on whole texts."""
     packed = reps.select("cls", "packed")
@@ -174,45 +184,105 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, rows: DataFrame, percent: int)
         .select("a", "b")
     )
     near = staged(near, "near")
-    need = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(reps.select("cls", "least"), "cls")
-    need = staged(need.select("cls", F.col("least.doc").alias("doc"), F.col("least.text_key").alias("key")), "need")
-    if need.count() <= BROADCAST_ROWS:
-        need = F.broadcast(need)
-    one = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc")) & (F.col("text_key") == F.col("key"))
-    some = staged(rows.join(need, one).select("cls", "text"), "texts")
+    some = _class_texts(near.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), reps, rows)
     both = near.join(some.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     return staged(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
 
 def _across(floor: float):
-    """Pairs of one bucket (or of two of its blocks) that lie in different components and may be links."""
+    """The classes of one bucket (or of two of its blocks) that by estimate may be linked to another component."""
     chance, lanes = 2.0**-BITS, np.uint64(sum(1 << k for k in range(0, 64, BITS)))
     most = int(np.floor((1 - (floor * (1 - chance) + chance)) * HASHES))
 
     def run(table: pa.Table) -> pa.Table:
-        cls, comp = table.column("cls").to_numpy(), table.column("component").to_numpy()
-        block, lo, hi = table.column("block").to_numpy(), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        comp, block = table.column("component").to_numpy(), table.column("block").to_numpy()
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         sig = np.array(table.column("packed").to_pylist(), np.int64).view(np.uint64)
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        pairs = []
+        meets = np.zeros(len(comp), bool)
         for i in left.tolist():
             others = right[comp[right] != comp[i]]
-            if lo == hi:
-                others = others[others > i]
             z = sig[others] ^ sig[i]
             step = 1
             while step < BITS:
                 z = z | (z >> np.uint64(step))
                 step *= 2
-            apart = np.bitwise_count(z & lanes).sum(axis=1, dtype=np.int64)
-            close = cls[others[apart <= most]]
-            pairs.append(np.stack([np.maximum(close, cls[i]), np.minimum(close, cls[i])]))
-        found = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+            near = others[np.bitwise_count(z & lanes).sum(axis=1, dtype=np.int64) <= most]
+            if len(near):
+                meets[near] = meets[i] = True
+        return table.filter(pa.array(meets)).drop_columns(["packed"])
 
     return run
 
 
+def _sets(batches):
+    for whole in batches:
+        for batch in slices(whole):
+            with np.errstate(over="ignore"):
+                sets = shingle_sets(*column_words(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([x.tobytes() for x in sets], pa.binary())], ["cls", "shingles"])
+
+
+def _join(percent: int):
+    """Links between components of one bucket (or of two of its blocks), on whole sets; no more than it takes to join them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cls, comp, block = (table.column(c).to_numpy().copy() for c in ("cls", "component", "block"))
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        sets = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets], np.int64)
+        every, count = np.unique(np.concatenate(sets), return_counts=True)
+        common = every[count > 1]
+        bits = np.zeros((len(sets), -(-max(1, len(common)) // 64)), np.uint64)
+        for k, x in enumerate(sets):  # a row of bits for each set, over the shingles that sets share
+            at = np.searchsorted(common, x)
+            own = np.zeros(bits.shape[1] * 64, bool)
+            if len(common):
+                own[at[(at < len(common)) & (common[np.minimum(at, len(common) - 1)] == x)]] = True
+            bits[k] = np.packbits(own).view(np.uint64)
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        found = []
+        for i in left.tolist():
+            others = right[(comp[right] != comp[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
+            for k in range(0, len(others), 512):
+                some = others[k : k + 512]
+                shared = np.bitwise_count(bits[some] & bits[i]).sum(axis=1, dtype=np.int64)
+                for j in some[(shared > 0) & (100 * shared >= percent * (size[some] + size[i] - shared))].tolist():
+                    if comp[j] != comp[i]:
+                        found.append((max(cls[i], cls[j]), min(cls[i], cls[j])))
+                        comp[comp == comp[j]] = comp[i]
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return run
+
+
+def _between(members: DataFrame, groups: DataFrame, reps: DataFrame, rows: DataFrame, percent: int, block: int) -> DataFrame | None:
+    """Links between components that meet in a bucket; None if no bucket holds two.
+
+    Pairs never leave the task that compares them: a first pass tells, by
+    signature, which classes may have a link at all, a second one compares
+    the whole sets of those.
+    """
+    named = members.join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left")
+    named = staged(named.withColumn("component", F.coalesce("component", "cls")), "named")
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
+    mixed = staged(mixed, "mixed")
+    if mixed.isEmpty():
+        return None
+    share = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    dealt = (
+        named.join(mixed, "bucket", "left_semi")
+        .join(reps.select("cls", "packed"), "cls")
+        .withColumn("block", F.pmod(F.xxhash64("cls"), share).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), share - 1)))
+        .select("bucket", "cls", "component", "packed", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    )
+    kinds = "bucket long, cls long, component long, block int, lo int, hi int"
+    live = staged(dealt.groupBy("bucket", "lo", "hi").applyInArrow(_across(floor_of(percent)), kinds), "live")
+    sets = staged(_class_texts(live.select("cls").distinct(), reps, rows).mapInArrow(_sets, "cls long, shingles binary"), "sets")
+    return staged(live.join(sets, "cls").groupBy("bucket", "lo", "hi").applyInArrow(_join(percent), "a long, b long").distinct(), "links")
+
+
 def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept, text_key (xxhash64 of the text).
 
@@ -239,29 +309,21 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     reps = staged(classes.withColumn("cls", F.conv(F.substring("set_key", 1, 16), 16, -10).cast("long")), "classes")
 
     banded = reps.select("cls", F.posexplode("bands").alias("band", "value")).select("cls", F.xxhash64("band", "value").alias("bucket"))
-    buckets = staged(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cls").alias("b")).filter("n > 1"), "buckets")
-    members = staged(banded.join(buckets, "bucket"), "members")
-    stars = members.filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct()
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = staged(banded.join(staged(sizes, "sizes"), "bucket"), "members")
+    # a bucket's centre is the member that meets most others: of a group of copies, the text they come from
+    degrees = staged(members.groupBy("cls").agg(F.sum("n").alias("degree")), "degrees")
+    ranked = staged(members.join(degrees, "cls"), "ranked")
+    centres = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "cls")).alias("top")).select("bucket", F.col("top.cls").alias("centre"))
+    stars = ranked.join(staged(centres, "centres"), "bucket").filter("cls <> centre")
+    stars = stars.select(F.greatest("cls", "centre").alias("a"), F.least("cls", "centre").alias("b")).distinct()
 
     rows = _rows(docs, id_col, text_col)
     links = _confirmed(stars, reps, rows, percent)
-    groups = staged(components(links), "groups")
-
-    named = members.select("bucket", "cls", "n").join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left")
-    named = staged(named.withColumn("component", F.coalesce("component", "cls")), "named")
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    mixed = staged(mixed, "mixed")
-    share = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    dealt = (
-        named.join(mixed, "bucket", "left_semi")
-        .join(reps.select("cls", "packed"), "cls")
-        .withColumn("block", F.pmod(F.xxhash64("cls"), share).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), share - 1)))
-        .select("bucket", "cls", "component", "packed", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    )
-    more = dealt.groupBy("bucket", "lo", "hi").applyInArrow(_across(floor_of(percent)), "a long, b long").distinct()
-    more = _confirmed(more, reps, rows, percent)
-    final = staged(components(links.unionByName(more)), "groups")
+    final = staged(components(links), "groups")
+    more = _between(members, final, reps, rows, percent, block)
+    if more is not None and not more.isEmpty():
+        final = staged(components(final.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "groups")
 
     table = reps.join(final.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     table = staged(table.select("set_key", "component", "size", "least"), "table")
