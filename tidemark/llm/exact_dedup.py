@@ -63,14 +63,14 @@ def summarise(k: int, key: str):
 def heavy_hitters(rows: DataFrame, key: str = "digest", k: int = HITTERS) -> DataFrame:
     """At most k keys (binary), among them each that more than rows / (k + 1) rows have.
 
-    Summaries of tasks merge in two rounds, so no task reads more than a few
-    dozen summaries of k counters.
+    Summaries of tasks merge in two rounds, so no task reads more summaries than
+    the square root of the number of tasks.
     """
     schema = f"{key} binary, n long"
     out = staged(rows.select(key).mapInArrow(summarise(k, key), schema), "summaries")
-    for n in (max(1, int(rows.rdd.getNumPartitions() ** 0.5)), 1):
-        out = out.coalesce(n).mapInArrow(summarise(k, key), schema)
-    return out
+    some = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
+    out = out.repartition(some).mapInArrow(summarise(k, key), schema)
+    return out if some == 1 else out.repartition(1).mapInArrow(summarise(k, key), schema)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hitters: int = HITTERS) -> DataFrame:
