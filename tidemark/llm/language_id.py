@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Texts of a language that are learned from, about: those with the least hash of their id.
 MAX_TRAIN_DOCS = 3000
+#: Languages that a model may have; its tables take half a megabyte for each.
+MAX_LANGS = 500
 #: Log probability that a change of language between two words costs.
 SWITCH = 12.0
 #: A language uses a script if so large a share of its letters is in it.
@@ -184,6 +186,8 @@ def fit(docs: DataFrame, train=None, text_col: str = "text", lang_col: str = "la
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")).filter("lang is not null and text is not null")
     sizes = rows.groupBy("lang").count()
     grid = 1 << 20
+    if len(sizes.limit(MAX_LANGS + 1).collect()) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     shares = sizes.select("lang", F.least(F.lit(grid), F.ceil(F.lit(float(max_docs) * grid) / F.col("count"))).alias("share"))
     some = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(grid)) < F.col("share"))
     kinds = "lang string, counts binary, scripts binary"
