@@ -30,7 +30,7 @@ MAGIC = b"TIDEIDS1"
 #: Ids after which a file is closed; one document may be longer.
 FILE_IDS = 2_000_000
 #: Words whose ids a worker remembers; later ones are encoded each time.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 900_000
 #: Ids below this are counted and ranked by a table as long.
 TABLE_IDS = 1 << 24
 
@@ -95,11 +95,21 @@ def from_bytes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, sizes.astype(np.int64)
 
 
+#: Marks that may follow a word; fixed values.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space other than the space and the line feed; fixed values.
 _ODD_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _ODD_OTHER = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+class Words(dict):
+    """Ids by word; a word that is not there is noted and stands for itself."""
+
+    def __missing__(self, word: str) -> str:
+        self.missed.append(word)
+        return word
+
+
 class Encoder:
     """The tokenizers library with a bounded cache of words.
 
@@ -115,7 +125,8 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Ids of words at the start of a text, and of words with the space before them.
         self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.later = Words()
+        self.marks: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -126,33 +137,54 @@ class Encoder:
         odd = _ODD_ASCII if text.isascii() else _ODD_ASCII + _ODD_OTHER
         return not any(c in text for c in odd) and not any(s in text for s in self.special)
 
+    def _later(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words with the space before them. Letters never join the marks after them, so these are encoded apart."""
+        out: dict[str, bytes] = {}
+        need, marked = set(), []
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if len(core) < len(w) and core.isalpha():
+                marked.append((w, core, w[len(core) :]))
+                if core not in self.later:
+                    need.add(core)
+            else:
+                need.add(w)
+        marks = list({m for _, _, m in marked if m not in self.marks})
+        if len(self.marks) < CACHE_WORDS:
+            self.marks.update(zip(marks, self._whole(marks), strict=True))
+        out.update(zip(need, self._whole([" " + w for w in need]), strict=True))
+        for w, core, m in marked:
+            out[w] = (self.later.get(core) or out[core]) + (self.marks.get(m) or self._whole([m])[0])
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        missed, whole = [], []
-        new_first, new_later = set(), set()
+        waiting, whole = [], []
         first, later = self.first, self.later
+        later.missed = missed = []
+        new_first: set[str] = set()
         for k, text in enumerate(texts):
             if not self._plain(text):
                 whole.append(k)
                 continue
             words = text.split(" ")
-            try:
-                out[k] = first[words[0]] + b"".join(map(later.__getitem__, words[1:]))
-            except KeyError:
-                missed.append((k, words))
-                if words[0] not in first:
-                    new_first.add(words[0])
-                new_later.update(words[1:])
-        new_later -= later.keys()
+            known = len(missed)
+            head, parts = first.get(words[0]), list(map(later.__getitem__, words[1:]))
+            if head is not None and len(missed) == known:
+                out[k] = head + b"".join(parts)
+            else:
+                new_first.add(words[0])
+                waiting.append((k, words[0], parts))
+        new_first -= first.keys()
         more_first = dict(zip(new_first, self._whole(list(new_first)), strict=True))
-        more_later = dict(zip(new_later, self._whole([" " + w for w in new_later]), strict=True))
+        more_later = self._later(set(missed))
         if len(first) + len(later) < CACHE_WORDS:
             first.update(more_first)
             later.update(more_later)
-        for k, words in missed:
-            head = first.get(words[0]) or more_first[words[0]]
-            out[k] = head + b"".join([later[w] if w in later else more_later[w] for w in words[1:]])
+        for k, word, parts in waiting:
+            head = more_first[word] if word in more_first else first[word]
+            out[k] = head + b"".join([p if p.__class__ is bytes else more_later[p] for p in parts])
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
             out[k] = ids
         return out
