@@ -15,6 +15,7 @@ bounded cache: no piece has a space after another character.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -29,7 +30,7 @@ from tidemark.llm.common import staged
 GIANT, CHUNK = 65_536, 16_384
 #: Chunks whose matrices one task multiplies.
 BLOCK = 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 SPACE = "▁"
 
 State = tuple[int, int]
@@ -347,8 +348,8 @@ def _encode(model: str, keep: list[str], text_col: str):
     def run(batches):
         c = codec(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
                 ids = c.encode([t or "" for t in part.column(text_col).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), pa.array(ids, pa.binary())], [*keep, "ids"])
 
@@ -367,21 +368,25 @@ def encode(docs: DataFrame, model: str, keep: list[str] | None = None, text_col:
         raise ValueError("a column of docs is named ids")
     fields = {f.name: f for f in docs.schema.fields}
     schema = T.StructType([fields[c] for c in keep] + [T.StructField("ids", T.BinaryType())])
-    rows = docs.select(*dict.fromkeys([*keep, text_col]))
+    small, done = _parted(docs.select(*dict.fromkeys([*keep, text_col])), keep, text_col, model, giant, chunk)
+    return small.mapInArrow(_encode(model, keep, text_col), schema).unionByName(done)
+
+
+def _parted(rows: DataFrame, keep: list[str], text_col: str, model: str, giant: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that are no giants, and the columns keep and ids of those that are."""
     large = F.coalesce(F.length(text_col), F.lit(0)) > giant
-    small = rows.filter(~large).mapInArrow(_encode(model, keep, text_col), schema)
     giants = rows.filter(large).withColumn("_key", F.sha2(F.col(text_col), 256))
     found = encode_giants(giants.select(F.col("_key").alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"]), model, chunk)
     done = giants.select(*keep, "_key").join(found.withColumnRenamed("key", "_key"), "_key").select(*keep, "ids")
-    return small.unionByName(done)
+    return rows.filter(~large), done
 
 
 def _decode(model: str, keep: list[str]):
     def run(batches):
         c = codec(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
                 texts = c.decode([b or b"" for b in part.column("ids").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), pa.array(texts, pa.string())], [*keep, "decoded"])
 
@@ -396,19 +401,38 @@ def decode(rows: DataFrame, model: str, keep: list[str] | None = None) -> DataFr
     return rows.mapInArrow(_decode(model, keep), schema)
 
 
-def _digest(batches):
-    for batch in batches:
-        ids = [b or b"" for b in batch.column("ids").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array([zlib.crc32(b) for b in ids], pa.int64()), batch.column("decoded_sha256"), batch.column("round_trip")],
-            ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"],
-        )
+def _digest(model: str, known: bool):
+    """Digests of texts and of what comes back from their ids, a few texts at a time; ids are made here unless known."""
+
+    def run(batches):
+        c = codec(model)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                texts = part.column("text").to_pylist()
+                ids = part.column("ids").to_pylist() if known else c.encode(texts)
+                back = c.decode(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        pa.array([len(b) // 4 for b in ids], pa.int64()),
+                        pa.array([zlib.crc32(b) for b in ids], pa.int64()),
+                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
+                        pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
+                    ],
+                    ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"],
+                )
+
+    return run
+
 
+def digests(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, decoded_sha256 and round_trip (whether the text came back) of every text (null: empty).
 
-def digests(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, decoded_sha256 and round_trip (whether the text came back) of every text."""
-    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    back = decode(encode(rows, model), model)
-    rows = back.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    What encode() and decode() give, in one pass where texts are no giants, so
+    that a task needs one Python process.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
-    return rows.mapInArrow(_digest, kinds)
+    small, done = _parted(rows, ["doc_id", "text"], "text", model, giant, chunk)
+    return small.mapInArrow(_digest(model, False), kinds).unionByName(done.mapInArrow(_digest(model, True), kinds))
