@@ -36,7 +36,7 @@ BLOCK_BYTES = 256 << 20
 #: Words whose exact counts are broadcast (16 bytes each): the most frequent.
 FREQUENT = 1_000_000
 #: Tokens after which a task hands on what it has counted.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 
 _END, _START = np.uint64(0xA24BAED4963EE407), np.uint64(0x8CB92BA72F3D8DD7)
 _LEVEL = np.uint64(0xD1342543DE82EF95)
@@ -289,7 +289,7 @@ def _probe(block, frequent, base: tuple[float, float, int], first: bool, last: b
         added, norm, texts = base
         f = block.value
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, 256):
                 if not batch.num_rows:
                     continue
                 with np.errstate(over="ignore"):
