@@ -160,5 +160,14 @@ def test_decontamination(spark):
         assert Counter(tuple(r)[:6] for r in got.collect()) == Counter(expected)
     clean = decontamination.search(make(spark, docs), bench, clean_only=True)
     assert clean.columns == ["doc_id", "text", "digest", "keep_id", "bucket"] and clean.count() == sum(not e[5] for e in expected)
-    with pytest.raises(ValueError):
-        decontamination.search(make(spark, docs).withColumnRenamed("digest", "n_hit"), bench)
+    named = make(spark, docs).withColumnsRenamed({"digest": "N_hit", "bucket": "_hit", "keep_id": "_Items"})
+    got = decontamination.search(named, bench, block_bytes=100)
+    assert got.columns == ["doc_id", "text", "_Items", "_hit", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"]
+    assert Counter((r["doc_id"], *r[4:9]) for r in got.collect()) == Counter(expected)
+
+
+def test_dropping_copies_keeps_columns_of_any_name(spark):
+    docs = make(spark, corpus()).withColumnsRenamed({"digest": "_gone", "bucket": "_KEY"})
+    for drop in (exact_dedup.drop_copies, near_dedup.drop_near_copies):
+        kept = drop(docs)
+        assert kept.columns == docs.columns and 0 < kept.count() < docs.count()

@@ -48,6 +48,9 @@ def test_pieces_are_the_library_s(spark):
         for r in found:
             assert np.frombuffer(r["ids"], "<u4").tolist() == sp.encode(r["text"] or "")
             assert r["decoded"] == (r["text"] or "").replace("▁", " ")
+    named = df.withColumn("Ids", F.lit(1)).withColumnRenamed("key", "_key")
+    named = codec.decode(codec.encode(named, PIECES, giant=200, chunk=64).withColumn("Decoded", F.lit(1)), PIECES)
+    assert named.columns == ["doc_id", "text", "_key", "ids", "decoded"] and named.count() == len(rows)
     d = {r["doc_id"]: r for r in codec.digests(df, PIECES, giant=200, chunk=64).collect()}
     assert d[3]["round_trip"] and d[3]["ids_crc32"] == zlib.crc32(np.array(sp.encode("again " * 700), "<u4").tobytes()) and d[100]["n_tokens"] == 0
     assert codec.digests(df.limit(0), PIECES).count() == 0
@@ -169,6 +172,10 @@ def test_quality(spark):
     assert sum(held) / len(held) > 0.95 and all(0 <= s <= 1 for s in got.values()) and len(got) == len(rows) + 4
     kept = quality.score(docs, model, at_least=0.5)
     assert kept.columns == ["doc_id", "text", "label"] and kept.count() == sum(s >= 0.5 for s in got.values())
+    named = quality.score(docs.withColumnRenamed("label", "Score"), model)
+    assert named.columns == ["doc_id", "text", "score"] and {r["doc_id"]: r["score"] for r in named.collect()} == got
+    twice = quality.fit(docs.unionByName(docs), labels, F.col("doc_id") % 5 != 0)
+    assert all((twice.p[k] == v).all() for k, v in model.p.items())
     none = quality.fit(docs, labels.limit(0))
     assert quality.score(docs.filter("doc_id = 1"), none).first()["score"] == 0.5
     assert quality.score(docs.limit(0), none).count() == 0
@@ -213,8 +220,9 @@ def test_languages(spark):
     assert [(got[k]["lang_pred"], got[k]["score"]) for k in (2, 3, 5)] == [("und", 0.0)] * 3 and got[4]["lang_pred"] == "xb" and got[6]["lang_pred"] == "xa"
     nothing = language_id.fit(docs.limit(0))
     assert language_id.predict(ask, nothing).filter("lang_pred <> 'und'").count() == 0
-    with pytest.raises(ValueError):
-        language_id.predict(docs.withColumnRenamed("lang", "score"), model)
+    got = language_id.predict(docs.withColumnRenamed("lang", "Score"), model)
+    assert got.columns == ["doc_id", "text", "lang_pred", "score", "spans"] and dict(got.dtypes)["score"] == "double"
+    assert got.count() == len(rows)
 
 
 def brute_viterbi(s, pen):
@@ -259,6 +267,8 @@ def test_templates_go(spark):
     by = {r["page_id"]: r["text"] for r in got}
     assert by[3] == "One two three four\n\npage 3 <six>\n\ni\n\nj" and by[20].endswith("Sign up here") and by[21] == by[22] == ""
     assert all(r["n_chars"] == len(r["text"]) and r["host"] == "e" for r in got)
+    other = html_text.extract(pages.withColumnsRenamed({"html": "body", "host": "html"}).withColumn("Text", F.lit(1)), html_col="body")
+    assert other.columns == ["page_id", "url", "html", "text", "n_chars"] and {r["page_id"]: r["text"] for r in other.collect()} == by
     assert html_text.extract(pages.limit(0)).count() == 0
 
 

@@ -40,6 +40,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unlike(names: list[str], taken: list[str]) -> list[str]:
+    """Those of names that none of taken has, letter case aside."""
+    lower = {t.lower() for t in taken}
+    return [n for n in names if n.lower() not in lower]
+
+
+def free_name(stem: str, names: list[str]) -> str:
+    """stem, with as many underscores after it as it takes to differ from all names."""
+    while not unlike([stem], names):
+        stem += "_"
+    return stem
+
+
 def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """rows left-joined with table on keys, where a few keys may hold most of the rows.
 

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import free_name, unlike
+
 WINDOW = 13
 #: Bytes of benchmark texts that are broadcast and searched for at once; more items make more passes.
 BLOCK_BYTES = 4 << 20
@@ -82,7 +84,9 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int):
     yield block
 
 
-def _pass(items, window: int, keep: list[str], last: bool, first: bool, clean_only: bool, text_col: str):
+def _pass(items, window: int, keep: list[str], last: bool, first: bool, clean_only: bool, text_col: str, carried: list[str]):
+    marked, named = carried
+
     def run(batches):
         value = items.value
         if (id(value), window) not in _BUILT:  # a worker keeps the tables from task to task
@@ -91,8 +95,8 @@ def _pass(items, window: int, keep: list[str], last: bool, first: bool, clean_on
         tables = _BUILT[id(value), window][1]
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
-            masks = [b""] * len(texts) if first else batch.column("_hit").to_pylist()
-            found = [[]] * len(texts) if first else batch.column("_items").to_pylist()
+            masks = [b""] * len(texts) if first else batch.column(marked).to_pylist()
+            found = [[]] * len(texts) if first else batch.column(named).to_pylist()
             rows = []
             for text, mask, had in zip(texts, masks, found, strict=True):
                 w = words(text)
@@ -106,7 +110,7 @@ def _pass(items, window: int, keep: list[str], last: bool, first: bool, clean_on
                 rows.append((len(w), bytes(marks), sorted(ids)))
             columns = [batch.column(c) for c in keep]
             if not last:
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], [*keep, "_hit", "_items"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], [*keep, *carried])
                 continue
             hits = [sum(r[1]) for r in rows]
             bad = [h > 0 and 20 * h >= r[0] for h, r in zip(hits, rows, strict=True)]
@@ -129,7 +133,6 @@ _RESULT = [
     T.StructField("contaminated", T.BooleanType()),
     T.StructField("items", T.ArrayType(T.StringType())),
 ]
-_CARRIED = [T.StructField("_hit", T.BinaryType()), T.StructField("_items", T.ArrayType(T.StringType()))]
 
 
 def search(
@@ -154,14 +157,13 @@ def search(
 
     A null or empty text has no words and is clean; an item without words has
     no window; a null item_id counts as the id "null"; repeated items are one.
-    An empty benchmark leaves all documents clean. Kept columns must not carry
-    the names of the results, else a ValueError says so; further columns of
-    either table are not read. The benchmark is broadcast in blocks of
+    An empty benchmark leaves all documents clean. A kept column with the name of
+    a result gives way to it; further columns of either table are not read. The benchmark is broadcast in blocks of
     block_bytes; each further block is a further pass over the rows.
     """
-    keep = docs.columns if keep is None else keep
-    if clash := {f.name for f in (_CARRIED if clean_only else _RESULT + _CARRIED)} & set(keep):
-        raise ValueError(f"columns of docs clash with results: {sorted(clash)}")
+    results = [] if clean_only else _RESULT
+    keep = unlike(docs.columns if keep is None else keep, [f.name for f in results])
+    carried = [T.StructField(free_name("_hit", docs.columns), T.BinaryType()), T.StructField(free_name("_items", docs.columns), T.ArrayType(T.StringType()))]
     fields = {f.name: f for f in docs.schema.fields}
     kept = [fields[c] for c in keep]
     blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text, block_bytes)]
@@ -170,6 +172,6 @@ def search(
     for k, block in enumerate(blocks):
         last = k == len(blocks) - 1
         names = keep if last else passing
-        schema = kept + ([] if clean_only else _RESULT) if last else [fields[c] for c in passing] + _CARRIED
-        out = out.mapInArrow(_pass(block, window, names, last, k == 0, clean_only, text_col), T.StructType(schema))
+        schema = kept + results if last else [fields[c] for c in passing] + carried
+        out = out.mapInArrow(_pass(block, window, names, last, k == 0, clean_only, text_col, [f.name for f in carried]), T.StructType(schema))
     return out

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import free_name, staged
 
 #: Counters of a Misra-Gries summary: every digest with more than rows / (HITTERS + 1) rows is found.
 HITTERS = 1000
@@ -107,6 +107,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the copies; all columns stay. Only the ids of what goes are joined back."""
     groups = exact_groups(docs, id_col, text_col).filter(~F.col("kept"))
-    gone = groups.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(text_col) == F.col("_key"))
-    return docs.join(gone, same, "left_anti")
+    gone, key = free_name("_gone", docs.columns), free_name("_key", docs.columns)
+    groups = groups.select(F.col("doc_id").alias(gone), F.col("text_key").alias(key)).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(gone)) & (F.xxhash64(text_col) == F.col(key))
+    return docs.join(groups, same, "left_anti")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import join_hot, staged
+from tidemark.llm.common import join_hot, staged, unlike
 
 #: A subtree is a template's if it is on so many pages of a host, and on so large a share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.5
@@ -293,15 +293,14 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
     Blocks are parted by two line feeds, white space within is one space,
     character references are decoded. A null or empty page has an empty text.
     Pages without a host, or with a null url, share the empty host's templates.
-    Kept columns named text or n_chars are a ValueError.
+    A kept column named text or n_chars gives way to the result.
     """
-    keep = [c for c in pages.columns if c != html_col] if keep is None else keep
-    if clash := {"text", "n_chars"} & set(keep):
-        raise ValueError(f"columns of pages clash with results: {sorted(clash)}")
+    keep = unlike([c for c in pages.columns if c != html_col] if keep is None else keep, ["text", "n_chars"])
     fields = {f.name: f for f in pages.schema.fields}
     rows = pages.select(*[F.col(c).alias(f"k_{c}") for c in keep], host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     found = staged(templates(rows, min_pages, min_share), "templates")
     both = join_hot(rows, found, ["host"], "pages", pages.count())
-    both = both.select(*[F.col(f"k_{c}").alias(c) for c in keep], F.col("html").alias("html"), F.col("hashes").alias("hashes"))
-    schema = T.StructType([fields[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return both.mapInArrow(_extract(keep), schema)
+    own = [f"k_{c}" for c in keep]
+    schema = T.StructType([T.StructField(o, fields[c].dataType) for o, c in zip(own, keep, strict=True)] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    found = both.select(*own, "html", "hashes").mapInArrow(_extract(own), schema)
+    return found.select(*[F.col(o).alias(c) for o, c in zip(own, keep, strict=True)], "text", "n_chars")

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import unlike
+
 #: Texts of a language that are learned from, about: those with the least hash of their id.
 MAX_TRAIN_DOCS = 3000
 #: Languages that a model may have; its tables take half a megabyte for each.
@@ -252,13 +254,11 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
 
     score is the share of the text's letters in spans of lang_pred. A null text,
     or one without letters, is UNKNOWN with score 0 and no spans, as is every
-    text if nothing was learned. Ties go to the first language by name. Kept
-    columns with the names of results are a ValueError.
+    text if nothing was learned. Ties go to the first language by name. A
+    kept column with the name of a result gives way to it.
     """
-    keep = docs.columns if keep is None else keep
     results = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + ([T.StructField("spans", T.ArrayType(_SPAN))] if spans else [])
-    if clash := {f.name for f in results} & set(keep):
-        raise ValueError(f"columns of docs clash with results: {sorted(clash)}")
+    keep = unlike(docs.columns if keep is None else keep, [f.name for f in results])
     fields = {f.name: f for f in docs.schema.fields}
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*dict.fromkeys([*keep, text_col]))

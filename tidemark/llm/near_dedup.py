@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column_words, join_hot, mix64, slices, staged, word_hashes
+from tidemark.llm.common import column_words, free_name, join_hot, mix64, slices, staged, word_hashes
 from tidemark.llm.components import components
 
 SHINGLE = 5
@@ -339,6 +339,7 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
 def drop_near_copies(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group; all columns stay. Only the ids that go are joined back."""
     groups = near_groups(docs, percent, id_col, text_col).filter(~F.col("kept"))
-    gone = groups.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(text_col) == F.col("_key"))
-    return docs.join(gone, same, "left_anti")
+    gone, key = free_name("_gone", docs.columns), free_name("_key", docs.columns)
+    groups = groups.select(F.col("doc_id").alias(gone), F.col("text_key").alias(key)).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(gone)) & (F.xxhash64(text_col) == F.col(key))
+    return docs.join(groups, same, "left_anti")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import slices, text_bytes
+from tidemark.llm.common import slices, text_bytes, unlike
 
 PASSAGE = 512
 #: Labelled documents that a fit reads at most, and passages of each of them.
@@ -145,17 +145,19 @@ def fit(docs: DataFrame, labels: DataFrame, train=None, id_col: str = "doc_id",
 
     ``train`` is a condition on ``doc_id`` that says which rows may be learned
     from. Null labels and ids are left out; a document with several labels
-    counts as 1 if any is. With labels of one kind or none the model gives that
-    kind (or one half) throughout.
+    counts as 1 if any is, and of rows that repeat a doc_id one text is read.
+    With labels of one kind or none the model gives that kind (or one half)
+    throughout.
     """
     chosen = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
     if train is not None:
         chosen = chosen.filter(train)
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_bags, "label int, bag binary").toPandas()
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    found = one.select("label", "text").mapInArrow(_bags, "label int, bag binary").toPandas()
     # a fixed order, so that the fit doesn't depend on how rows were dealt out
-    found = found.sort_values(["bag", "label"], kind="stable").head(2 * max_docs)
+    found = found.sort_values(["bag", "label"], kind="stable")
     model = AttentionModel()
     bags = [features(np.frombuffer(b, np.uint16).reshape(-1, WIDTH - 1).astype(np.int64)) for b in found["bag"]]
     y = found["label"].to_numpy()
@@ -188,12 +190,11 @@ def score(docs: DataFrame, model: AttentionModel, keep: list[str] | None = None,
     """The columns ``keep`` of docs (all unless given) and score, from 0 to 1; one row per row.
 
     With at_least, instead the rows that reach it, without the score. A null
-    text counts as empty and has a score too. A kept column named score is a
-    ValueError; other columns are not read.
+    text counts as empty and has a score too. A kept column named score gives
+    way to the result; other columns are not read.
     """
     keep = docs.columns if keep is None else keep
-    if at_least is None and "score" in keep:
-        raise ValueError("a column of docs is named score")
+    keep = unlike(keep, ["score"]) if at_least is None else keep
     fields = {f.name: f for f in docs.schema.fields}
     schema = T.StructType([fields[c] for c in keep] + ([T.StructField("score", T.DoubleType())] if at_least is None else []))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some ten thousand floats

@@ -43,7 +43,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"), learned("doc_id", 5, 0))
     scored = quality.score(docs, model, keep=["doc_id"])
-    return scored.select("doc_id", (~learned("doc_id", 5, 0)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(~learned("doc_id", 5, 0), F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

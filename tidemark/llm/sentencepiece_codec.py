@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import free_name, staged, unlike
 
 #: Texts of more characters are giant and go through the scan, in chunks of CHUNK characters.
 GIANT, CHUNK = 65_536, 16_384
@@ -361,11 +361,9 @@ def encode(docs: DataFrame, model: str, keep: list[str] | None = None, text_col:
 
     The ids are those the library gives for the same model. One row per row of
     docs; a null or empty text has no ids. Equal giant texts are encoded once.
-    A kept column named ids is a ValueError.
+    A kept column named ids gives way to the result.
     """
-    keep = docs.columns if keep is None else keep
-    if "ids" in keep:
-        raise ValueError("a column of docs is named ids")
+    keep = unlike(docs.columns if keep is None else keep, ["ids"])
     fields = {f.name: f for f in docs.schema.fields}
     schema = T.StructType([fields[c] for c in keep] + [T.StructField("ids", T.BinaryType())])
     small, done = _parted(docs.select(*dict.fromkeys([*keep, text_col])), keep, text_col, model, giant, chunk)
@@ -375,9 +373,10 @@ def encode(docs: DataFrame, model: str, keep: list[str] | None = None, text_col:
 def _parted(rows: DataFrame, keep: list[str], text_col: str, model: str, giant: int, chunk: int) -> tuple[DataFrame, DataFrame]:
     """The rows that are no giants, and the columns keep and ids of those that are."""
     large = F.coalesce(F.length(text_col), F.lit(0)) > giant
-    giants = rows.filter(large).withColumn("_key", F.sha2(F.col(text_col), 256))
-    found = encode_giants(giants.select(F.col("_key").alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"]), model, chunk)
-    done = giants.select(*keep, "_key").join(found.withColumnRenamed("key", "_key"), "_key").select(*keep, "ids")
+    own = free_name("_key", rows.columns)
+    giants = rows.filter(large).withColumn(own, F.sha2(F.col(text_col), 256))
+    found = encode_giants(giants.select(F.col(own).alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"]), model, chunk)
+    done = giants.select(*keep, own).join(found.withColumnRenamed("key", own), own).select(*keep, "ids")
     return rows.filter(~large), done
 
 
@@ -394,11 +393,14 @@ def _decode(model: str, keep: list[str]):
 
 
 def decode(rows: DataFrame, model: str, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of rows (all unless given) and decoded: the text of the column ids; null ids give an empty text."""
-    keep = rows.columns if keep is None else keep
+    """The columns ``keep`` of rows (all unless given) and decoded: the text of the column ids; null ids give an empty text.
+
+    A kept column named decoded gives way to the result.
+    """
+    keep = unlike(rows.columns if keep is None else keep, ["decoded"])
     fields = {f.name: f for f in rows.schema.fields}
     schema = T.StructType([fields[c] for c in keep] + [T.StructField("decoded", T.StringType())])
-    return rows.mapInArrow(_decode(model, keep), schema)
+    return rows.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(_decode(model, keep), schema)
 
 
 def _digest(model: str, known: bool):
