@@ -31,8 +31,10 @@ ENTRY_BITS, SET_BITS = 10, 4
 BIGRAM_WEIGHT = 0.25
 #: Added to each count of the base model.
 ADDED = 0.1
-#: Bytes of filter that are broadcast at once; a larger one makes further passes over the rows.
+#: Bytes of filter that are broadcast at once and held by a task; a larger one is broadcast in several blocks.
 BLOCK_BYTES = 256 << 20
+#: Bytes of text that a task probes the blocks for at once, where there are several.
+GROUP_BYTES = 8 << 20
 #: Words whose exact counts are broadcast (16 bytes each): the most frequent.
 FREQUENT = 1_000_000
 #: Tokens after which a task hands on what it has counted.
@@ -282,47 +284,57 @@ def frequent_words(model: Model, most: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _probe(block, frequent, base: tuple[float, float, int], first: bool, last: bool, weight: float):
-    """One pass over the rows with one block of the filter."""
+def _groups(batches, limit: int):
+    """Rows in tables of at least limit bytes of text, the last one aside."""
+    some, held = [], 0
+    for whole in batches:
+        for batch in slices(whole, 256):
+            some.append(batch)
+            held += batch.nbytes
+            if held >= limit:
+                yield pa.Table.from_batches(some)
+                some, held = [], 0
+    if some:
+        yield pa.Table.from_batches(some)
+
+
+def _values(blocks):
+    """The filter's blocks one after the other; a worker keeps one only if there is no other."""
+    for block in blocks:
+        yield block.value if len(blocks) == 1 else block.load_from_path(block._path)
+
+
+def _probe(blocks, frequent, base: tuple[float, float, int], weight: float):
+    """Scores of rows; of several blocks of the filter a task holds one at a time, for GROUP_BYTES of text each."""
 
     def run(batches):
         added, norm, texts = base
-        f = block.value
-        for whole in batches:
-            for batch in slices(whole, 256):
-                if not batch.num_rows:
-                    continue
-                with np.errstate(over="ignore"):
-                    t, edges = tokens(batch.column("text"))
-                    pairs = bigrams(t, edges)
-                    if first:
-                        single, double = np.zeros(len(t)), np.zeros(len(t))
-                    else:
-                        both = np.frombuffer(b"".join(batch.column("_counts").to_pylist()), "<f4").astype(np.float64).reshape(-1, 2)
-                        single, double = both[:, 0].copy(), both[:, 1].copy()
+        for rows in _groups(batches, GROUP_BYTES if len(blocks) > 1 else 1):
+            if not rows.num_rows:
+                continue
+            with np.errstate(over="ignore"):
+                t, edges = tokens(rows.column("text"))
+                pairs = bigrams(t, edges)
+                single, double = np.zeros(len(t)), np.zeros(len(t))
+                for f in _values(blocks):
                     f.fill(0, t, single)
                     f.fill(1, pairs, double)
-                if not last:
-                    both = np.stack([single, double], axis=1).astype("<f4")
-                    blobs = [both[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(blobs, pa.binary())], ["doc_id", "text", "_counts"])
-                    continue
-                context = np.empty(len(t))
-                context[1:] = single[:-1]
-                context[edges[:-1]] = texts
-                share = np.minimum(1.0, double / np.maximum(1.0, np.maximum(context, double)))
-                p = weight * share + (1 - weight) * (single + added) / norm
-                starts = edges[:-1]
-                score = np.add.reduceat(np.log10(p), starts)
-                h, n = frequent.value
-                at = np.minimum(np.searchsorted(h, t), max(0, len(h) - 1))
-                known = h[at] == t if len(h) else np.zeros(len(t), bool)
-                logs = np.where(known, np.log10((np.where(known, n[at] if len(h) else 0, 0) + added) / norm), 0.0)
-                rest = [t[a:b][~known[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(np.diff(edges)), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(logs, starts)), pa.array(score), pa.array(rest, pa.binary())],
-                    ["doc_id", "n_tokens", "n_known", "base_score", "score", "rest"],
-                )
+            context = np.empty(len(t))
+            context[1:] = single[:-1]
+            context[edges[:-1]] = texts
+            share = np.minimum(1.0, double / np.maximum(1.0, np.maximum(context, double)))
+            p = weight * share + (1 - weight) * (single + added) / norm
+            starts = edges[:-1]
+            score = np.add.reduceat(np.log10(p), starts)
+            h, n = frequent.value
+            at = np.minimum(np.searchsorted(h, t), max(0, len(h) - 1))
+            known = h[at] == t if len(h) else np.zeros(len(t), bool)
+            logs = np.where(known, np.log10((np.where(known, n[at] if len(h) else 0, 0) + added) / norm), 0.0)
+            rest = [t[a:b][~known[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id").combine_chunks(), pa.array(np.diff(edges)), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(logs, starts)), pa.array(score), pa.array(rest, pa.binary())],
+                ["doc_id", "n_tokens", "n_known", "base_score", "score", "rest"],
+            )
 
     return run
 
@@ -384,13 +396,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
     sent = spark.sparkContext.broadcast(frequent_words(model, frequent))
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    first, block = True, None
-    for following in _blocks(model, block_bytes):
-        if block is not None:
-            out = out.mapInArrow(_probe(block, sent, base, first, False, weight), f"doc_id {kind}, text string, _counts binary")
-            first = False
-        block = spark.sparkContext.broadcast(following)
-    scored = out.mapInArrow(_probe(block, sent, base, first, True, weight), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rest binary")
+    blocks = [spark.sparkContext.broadcast(block) for block in _blocks(model, block_bytes)]
+    scored = out.mapInArrow(_probe(blocks, sent, base, weight), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rest binary")
     scored = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     asked = scored.filter(F.length("rest") > 0).select("row", "rest").mapInArrow(_deal(model.buckets), "kind int, bucket int, hashes binary, counts binary")
     known = model.table.filter("kind = 0").select("kind", "bucket", "hashes", "counts")
