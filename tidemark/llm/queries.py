@@ -71,6 +71,47 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+#: A text with A-Z lower-cased (null: empty), and the words of operators 1 and 7, in DuckDB's SQL.
+LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ITEM_WORD, SPACED_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
+
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER.format("text")}, '{ITEM_WORD}') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all({LOWER.format("text")}, '{ITEM_WORD}') AS w FROM benchmark),
+bn AS (SELECT item, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM bn, unnest(range(1, len(w) - n + 2)) AS u(k)),
+dw AS (SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM d, (SELECT DISTINCT n FROM bw) AS l, unnest(range(1, len(w) - n + 2)) AS u(k)),
+found AS (SELECT r, k, n, item FROM dw JOIN bw USING (n, win)),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, k, n FROM found) AS f, unnest(range(k, k + n)) AS u(p) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+"""
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT hex, max(page_id) AS keep FROM p GROUP BY hex)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM p JOIN g USING (hex)
+"""
+
+OP7_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER.format("text")}, '{SPACED_WORD}') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE [array_to_string(w[k:k + 4], ' ') FOR k IN range(1, len(w) - 3)] END)) AS x FROM d),
+c AS (SELECT min(doc_id) AS c, x, len(x) AS n FROM s WHERE len(x) > 0 GROUP BY x),
+e AS (SELECT c, n, unnest(x) AS y FROM c),
+link AS (SELECT a.c AS a, b.c AS b FROM e AS a JOIN e AS b ON a.y = b.y AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT c AS a, c AS b FROM c UNION SELECT r.a, l.b FROM reach AS r JOIN link AS l ON r.b = l.a),
+least AS (SELECT a AS c, min(b) AS component FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s.x) AS BIGINT) AS n_shingles, coalesce(l.component, s.doc_id) AS component_id, s.doc_id = coalesce(l.component, s.doc_id) AS kept
+FROM s LEFT JOIN c ON s.x = c.x LEFT JOIN least AS l ON c.c = l.c
+"""
+
 OP3_SQL = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -97,5 +138,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": OP1_SQL,
         "op3_exact_dedup": OP3_SQL,
+        "op6_warc": OP6_SQL,
+        "op7_near_dedup": OP7_SQL,
     }
