@@ -146,8 +146,8 @@ def test_filter_reads_back_counts():
         words = lm_scoring.build_filter(h, n)
         f = lm_scoring.Filter(1, 0, 1, [words, words], [np.zeros(1, np.int64)] * 2, [np.array([len(words)])] * 2)
         out, other = np.zeros(5000), np.zeros(5000)
-        f.fill(0, h, out)
-        f.fill(0, g.integers(0, 2**63, 5000, dtype=np.uint64), other)
+        f.fill(0, h, np.zeros(5000, np.int64), out)
+        f.fill(0, g.integers(0, 2**63, 5000, dtype=np.uint64), np.zeros(5000, np.int64), other)
     assert (lm_scoring.levels(np.maximum(out, 1)) >= lm_scoring.levels(n)).all() and (np.abs(out / n - 1) < 0.35).mean() > 0.9 and (other > 0).mean() < 0.1
 
 

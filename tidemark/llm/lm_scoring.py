@@ -32,9 +32,9 @@ BIGRAM_WEIGHT = 0.25
 #: Added to each count of the base model.
 ADDED = 0.1
 #: Bytes of filter that are broadcast at once and held by a task; a larger one is broadcast in several blocks.
-BLOCK_BYTES = 256 << 20
-#: Bytes of text that a task probes the blocks for at once, where there are several.
-GROUP_BYTES = 8 << 20
+BLOCK_BYTES = 128 << 20
+#: Bytes of text that a task probes one block for at once, and several blocks, which it reads again for each such group.
+GROUP_BYTES = 1 << 20, 16 << 20
 #: Words whose exact counts are broadcast (16 bytes each): the most frequent.
 FREQUENT = 1_000_000
 #: Tokens after which a task hands on what it has counted.
@@ -109,14 +109,10 @@ class Filter:
     def __init__(self, buckets: int, low: int, high: int, words: list[np.ndarray], starts: list[np.ndarray], sizes: list[np.ndarray]):
         self.buckets, self.low, self.high, self.words, self.starts, self.sizes = buckets, low, high, words, starts, sizes
 
-    def fill(self, kind: int, h: np.ndarray, out: np.ndarray) -> None:
-        """Set out to the counts of those hashes whose bucket is in this block."""
-        bucket = bucket_of(h, self.buckets)
-        own = np.flatnonzero((bucket >= self.low) & (bucket < self.high))
-        if not len(own):
-            return
-        x, back = np.unique(h[own], return_inverse=True)
-        b = bucket_of(x, self.buckets) - self.low
+    def fill(self, kind: int, x: np.ndarray, bucket: np.ndarray, out: np.ndarray) -> None:
+        """Set out to the counts of those of the ascending hashes x whose bucket is in this block."""
+        own = slice(*np.searchsorted(bucket, [self.low, self.high]))
+        x, b = x[own], bucket[own] - self.low
         start, size = self.starts[kind][b], self.sizes[kind][b]
         level, live = np.zeros(len(x), np.int64), np.arange(len(x))
         for q in range(1, 120):
@@ -125,7 +121,7 @@ class Filter:
             if not len(live):
                 break
             level[live] = q
-        out[own] = level_counts()[level[back]]
+        out[own] = level_counts()[level]
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -304,21 +300,24 @@ def _values(blocks):
         yield block.value if len(blocks) == 1 else block.load_from_path(block._path)
 
 
-def _probe(blocks, frequent, base: tuple[float, float, int], weight: float):
+def _probe(blocks, buckets: int, frequent, base: tuple[float, float, int], weight: float):
     """Scores of rows; of several blocks of the filter a task holds one at a time, for GROUP_BYTES of text each."""
 
     def run(batches):
         added, norm, texts = base
-        for rows in _groups(batches, GROUP_BYTES if len(blocks) > 1 else 1):
+        for rows in _groups(batches, GROUP_BYTES[len(blocks) > 1]):
             if not rows.num_rows:
                 continue
             with np.errstate(over="ignore"):
                 t, edges = tokens(rows.column("text"))
-                pairs = bigrams(t, edges)
-                single, double = np.zeros(len(t)), np.zeros(len(t))
+                asked = [np.unique(h, return_inverse=True) for h in (t, bigrams(t, edges))]
+                bucket = [bucket_of(x, buckets) for x, _ in asked]
+                counts = [np.zeros(len(x)) for x, _ in asked]
                 for f in _values(blocks):
-                    f.fill(0, t, single)
-                    f.fill(1, pairs, double)
+                    for kind in (0, 1):
+                        f.fill(kind, asked[kind][0], bucket[kind], counts[kind])
+            single, double = (n[back] for n, (_, back) in zip(counts, asked, strict=True))
+            del asked, bucket, counts
             context = np.empty(len(t))
             context[1:] = single[:-1]
             context[edges[:-1]] = texts
@@ -397,7 +396,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     blocks = [spark.sparkContext.broadcast(block) for block in _blocks(model, block_bytes)]
-    scored = out.mapInArrow(_probe(blocks, sent, base, weight), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rest binary")
+    scored = out.mapInArrow(_probe(blocks, model.buckets, sent, base, weight), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rest binary")
     scored = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     asked = scored.filter(F.length("rest") > 0).select("row", "rest").mapInArrow(_deal(model.buckets), "kind int, bucket int, hashes binary, counts binary")
     known = model.table.filter("kind = 0").select("kind", "bucket", "hashes", "counts")
