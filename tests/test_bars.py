@@ -20,7 +20,7 @@ from tidemark.operators.search import CategoricalParam, FloatParam, IntParam, be
 from tidemark.operators.signals import Cyclical, External, HeikinAshi, LogReturns
 from tidemark.operators.simulate import Account, backtest
 from tidemark.operators.strategy import Learned, Rules, Weighted
-from tidemark.plans import registry
+from tidemark.plans import registry, trading_queries
 from tidemark.plans.oracle import Steps
 from tidemark.sources.bars import read_bars, to_bars, validate
 from tidemark.sources.report import report
@@ -139,6 +139,27 @@ def test_folds():
         X.walk_forward(3, 5)
 
 
+def test_folds_reach_the_end_of_each_series(spark, tmp_path):
+    start = datetime(2026, 1, 1)
+    sizes = {"long": 611, "short": 41}
+    rows = [(k, s, start + timedelta(hours=k), float(k % 7 + 1)) for s, n in sizes.items() for k in range(n)]
+    spark.createDataFrame(rows, "event_id long, event_type string, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r["symbol"], r["fold"], r["part"]): (r["n"], r["first_row"], r["last_row"]) for r in trading_queries.folds(spark, str(tmp_path)).collect()}
+    want = {}
+    for s, n in sizes.items():
+        for f in X.walk_forward(n, 4, 0.6, embargo=5):
+            want[s, f.fold, "train"] = (f.train_to - f.train_from, f.train_from, f.train_to - 1)
+            want[s, f.fold, "test"] = (f.test_to - f.test_from, f.test_from, f.test_to - 1)
+    assert got == want and {s: got[s, 3, "test"][2] + 1 for s in sizes} == sizes
+    rolling = spark.range(43).withColumn("n", F.lit(43))
+    for expanding, embargo in ((False, 0), (False, 9), (True, 40)):
+        made = X.with_folds(rolling, X.walk_forward_columns(F.col("n"), 5, 0.3, expanding, embargo), "id").groupBy("fold", "part").agg(F.min("id"), F.max("id") + 1).collect()
+        known = X.with_folds(rolling, X.walk_forward(43, 5, 0.3, expanding, embargo), "id").groupBy("fold", "part").agg(F.min("id"), F.max("id") + 1).collect()
+        assert sorted(made) == sorted(known)
+    with pytest.raises(Exception, match="3 rows are too few for 5 folds"):
+        X.with_folds(spark.range(3).withColumn("n", F.lit(3)), X.walk_forward_columns(F.col("n")), "id").collect()
+
+
 def test_scaler_of_a_constant_column(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0), (5.0, 5.0)], "a double, b double")
     assert [r["b"] for r in X.Scaler.fit(df, ["a", "b"]).transform(df).collect()] == [0, 0, 0]

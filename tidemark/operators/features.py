@@ -107,11 +107,13 @@ class Scaler:
 
 @dataclass(frozen=True)
 class Fold:
+    """Bounds of rows, from and up to: numbers, or columns where they differ by series."""
+
     fold: int
-    train_from: int
-    train_to: int
-    test_from: int
-    test_to: int
+    train_from: int | Column
+    train_to: int | Column
+    test_from: int | Column
+    test_to: int | Column
 
 
 def walk_forward(n: int, n_splits: int = 5, initial_train_ratio: float = 0.6, expanding: bool = True, embargo: int = 0) -> list[Fold]:
@@ -133,6 +135,24 @@ def walk_forward(n: int, n_splits: int = 5, initial_train_ratio: float = 0.6, ex
     return out
 
 
+def walk_forward_columns(n: Column, n_splits: int = 5, initial_train_ratio: float = 0.6, expanding: bool = True, embargo: int = 0) -> list[Fold]:
+    """walk_forward with bounds that are columns: n is the number of rows of the row's own series.
+
+    A series that is too short for the folds is an error when the rows are read.
+    """
+    if n_splits < 1 or not 0 < initial_train_ratio < 1 or embargo < 0:
+        raise ValueError("n_splits from 1, initial_train_ratio between 0 and 1, embargo from 0")
+    first = (n * F.lit(float(initial_train_ratio))).cast("long")
+    size = F.floor((n - first) / F.lit(n_splits))
+    size = F.when(size >= 1, size).otherwise(F.raise_error(F.concat(n.cast("string"), F.lit(f" rows are too few for {n_splits} folds"))))
+    out = []
+    for k in range(n_splits):
+        at = first + F.lit(k) * size
+        start = F.lit(0) if expanding else F.greatest(F.lit(0), at - first)
+        out.append(Fold(k, start, F.greatest(start, at - F.lit(embargo)), at, at + size if k < n_splits - 1 else n))
+    return out
+
+
 def purged_split(n: int, val_fraction: float = 0.2, embargo: int = 0, min_val: int = 1) -> tuple[int, int]:
     """(rows to train on, first row to validate on) of n rows in order of time."""
     if not 0 < val_fraction < 1 or embargo < 0:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators import features as X
 from tidemark.operators import indicators as I
@@ -214,8 +215,8 @@ MINMAX_SQL = Steps().select("symbol, ts, " + ", ".join(f"round(({c} - min({c}) O
 
 
 def folds(spark, sf_dir):
-    frame = X.numbered(hourly(spark, sf_dir)).filter("row < 500")
-    made = X.with_folds(frame, X.walk_forward(500, 4, 0.6, embargo=5))
+    frame = X.numbered(hourly(spark, sf_dir)).withColumn("bars", F.count("*").over(Window.partitionBy("symbol")))
+    made = X.with_folds(frame, X.walk_forward_columns(F.col("bars"), 4, 0.6, embargo=5))
     return made.groupBy("symbol", "fold", "part").agg(F.count("*").alias("n"), F.min("row").alias("first_row"), F.max("row").alias("last_row"))
 
 
