@@ -130,6 +130,15 @@ def test_significance():
     assert M.deflated_sharpe_ratio(0.1, 101, 0.01, 50) < M.probabilistic_sharpe_ratio(0.1, 101)
 
 
+def test_gates_on_all_baselines(spark):
+    values = spark.createDataFrame([("a", 1499.5), ("b", None)], "name string, value double")
+    baselines = spark.range(2500).select(F.col("id").cast("string").alias("baseline"), F.col("id").cast("double").alias("threshold"))
+    got = M.promotion_gates(values, baselines, 0.5)
+    assert got.columns == ["name", "value", "baseline", "threshold", "passed"]
+    rows = {(r["name"], r["baseline"]): r["passed"] for r in got.collect()}
+    assert rows == {("a", str(k)): k < 1499 for k in range(2500)} | {("b", str(k)): None for k in range(2500)}
+
+
 def test_folds():
     made = X.walk_forward(10, 2, 0.6)
     assert [(f.train_from, f.train_to, f.test_from, f.test_to) for f in made] == [(0, 6, 6, 8), (0, 8, 8, 10)]

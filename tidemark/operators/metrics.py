@@ -117,9 +117,13 @@ def regime_breakdown(returns: DataFrame, regimes: DataFrame, on: tuple[str, ...]
 
 
 def promotion_gates(values: DataFrame, baselines: DataFrame, min_margin: float = 0.0) -> DataFrame:
-    """Each of values (name, value) against each of the few baselines (baseline, threshold): strictly above it and the margin."""
-    marked = values.withColumn("_k", F.lit(1)).join(F.broadcast(baselines.limit(1000).withColumn("_k", F.lit(1))), "_k").drop("_k")
-    return marked.withColumn("passed", F.col("value") > F.col("threshold") + F.lit(min_margin))
+    """Each of values (name, value) against each of baselines (baseline, threshold): strictly above it and the margin.
+
+    The result has a row for each pair. baselines is broadcast whole; a table
+    that is too large for that is an error, and none of it is left out.
+    """
+    pairs = values.crossJoin(F.broadcast(baselines))
+    return pairs.withColumn("passed", F.col("value") > F.col("threshold") + F.lit(min_margin))
 
 
 def min_trade_gate(scores: DataFrame, least: int) -> DataFrame:
