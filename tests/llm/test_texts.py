@@ -272,6 +272,25 @@ def test_templates_go(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_templates_are_counted_on_distinct_pages(spark):
+    page = "<body><div class=x1>{notice}</div><div class=x2><h2>Size</h2>Story {k} is told here</div></body>"
+    notices = [f"Notice {k} of this site is shown today" for k in range(4)]
+    rows = [("http://big.example/", page.format(notice=notices[k % 4], k=k)) for k in range(480)]
+    rows += [("http://copies.example/", page.format(notice="One page only", k=0))] * 6 + [("http://copies.example/", page.format(notice=f"Other {k}", k=k)) for k in range(1, 5)]
+    rows += [(None, page.format(notice="Short", k=1000 + k)) for k in range(120)] + [(None, f"<p>Unlike {k}</p>") for k in range(130)]
+    got = html_text.extract(spark.createDataFrame(rows, "url string, html string").withColumn("html_", F.col("html")), keep=["url", "html_"]).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["url"], []).append(r["text"])
+    assert len(got) == len(rows)
+    # each notice is on a quarter of the host's pages: a template; the heading is on all of them
+    assert sorted(by["http://big.example/"]) == sorted(f"Story {k} is told here" for k in range(480))
+    # copies of one page are one page; only the heading is on five distinct ones
+    assert by["http://copies.example/"].count("One page only\n\nStory 0 is told here") == 6
+    # short blocks on less than half of the pages stay
+    assert sum(t.startswith("Short\n\nSize\n\nStory") for t in by[None]) == 120
+
+
 def test_archives(spark):
     rows = [(k, f"http://x/{k} a", "same page") for k in range(8)] + [(10, None, None), (11, "u", ""), (12, "u", "é\r\n\r\nbody"), (None, "u", "same page"), (12, "u", "é\r\n\r\nbody"), (13, "u", "long " * 200_000)]
     pages = spark.createDataFrame([(*r, "d") for r in rows], "page_id long, url string, html string, digest string").repartition(3)

@@ -1,8 +1,8 @@
 """Main text of web pages, with the templates of their sites removed.
 
 A page's markup is read into a light tree. Subtrees that could be part of a
-site's template are hashed; Spark counts on how many pages of a host each hash
-stands, and those on many of them are taken out of the host's pages, besides
+site's template are hashed; Spark counts on how many distinct pages of a host
+each hash stands, and those on many are taken out of the host's pages, besides
 what its tag, role or class names as menu, notice, advert, form and the like.
 """
 
@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import join_hot, staged, unlike
+from tidemark.llm.common import join_hot, slices, staged, unlike
 
-#: A subtree is a template's if it is on so many pages of a host, and on so large a share of them.
+#: A subtree is a template's if it is on so many distinct pages of a host, and on so large a share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.5
+#: One of so many words is a template's too if it is on so many distinct pages, and on this smaller share: of a large host's sections or rotating notices. Shorter ones (cells, headings) may be equal by chance.
+MANY_PAGES, MANY_SHARE, MANY_WORDS = 100, 0.01, 5
 
 # Names of elements, roles and words in class or id.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,7 +44,8 @@ _CLOSE_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
-_MASK = (1 << 63) - 1
+#: Bits of a subtree's hash: the lowest is always set, the next one if the subtree has MANY_WORDS words.
+_MASK, _SOME, _LONG = (1 << 63) - 4, 1, 2
 
 
 class Node:
@@ -164,24 +167,24 @@ def roots(tree: Node) -> list[Node]:
 
 
 def subtree_hash(node: Node, memo: dict) -> int:
-    """A hash of the subtree's names, classes and text, white space aside; 0 if it has no text."""
+    """A hash of the subtree's names, classes and text, white space aside; 0 if it has no text. memo: hashes and words of nodes."""
     from xxhash import xxh3_64_intdigest
 
     order = list(_walk(node))
     for n in reversed(order):
         if n in memo:
             continue
-        parts, some = [n.tag, n.label], False
+        parts, size = [n.tag, n.label], 0
         for c in n.children:
             if isinstance(c, Node):
-                h = memo[c]
-                some = some or h != 0
+                h, k = memo[c]
+                size += k
                 parts.append(str(h))
             elif words := c.split():
-                some = True
+                size += len(words)
                 parts.append(" ".join(words))
-        memo[n] = xxh3_64_intdigest("\x00".join(parts)) & _MASK | 1 if some else 0
-    return memo[node]
+        memo[n] = (xxh3_64_intdigest("\x00".join(parts)) & _MASK | _SOME | (_LONG if size >= MANY_WORDS else 0) if size else 0), size
+    return memo[node][0]
 
 
 def candidates(tree: Node) -> list[tuple[Node, int]]:
@@ -204,8 +207,8 @@ def candidates(tree: Node) -> list[tuple[Node, int]]:
         inside = inside or whole and any(node is m for m in main)
         if inside and node.tag in PROSE:
             continue
-        if node.tag not in ("", "html", "body", "article", "main") and memo[node]:
-            out.append((node, memo[node]))
+        if node.tag not in ("", "html", "body", "article", "main") and memo[node][0]:
+            out.append((node, memo[node][0]))
         stack.extend((c, inside) for c in node.children if isinstance(c, Node))
     return out
 
@@ -255,11 +258,11 @@ def _in_article(node: Node) -> bool:
 
 
 def _hashes(batches):
-    for batch in batches:
-        hosts = batch.column("host").to_pylist()
+    for batch in (part for whole in batches for part in slices(whole)):
+        hosts, digests = batch.column("host").to_pylist(), batch.column("page").to_pylist()
         rows = [sorted({h for _, h in candidates(parse(page))}) if page else [] for page in batch.column("html").to_pylist()]
-        flat = [(host, h) for host, own in zip(hosts, rows, strict=True) for h in own]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.int64())], ["host", "hash"])
+        flat = [(host, h, page) for host, page, own in zip(hosts, digests, rows, strict=True) for h in own]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in flat], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "hash", "page"])
 
 
 def host_of(url):
@@ -268,26 +271,47 @@ def host_of(url):
     return host
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, pages (their number) and hashes of the host's templates, of pages (host, html)."""
-    sizes = staged(pages.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
-    found = pages.select("host", "html").mapInArrow(_hashes, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    # at most 1 / min_share times a page's subtrees pass for one host
-    lists = found.join(sizes, "host").filter(F.col("n") >= F.col("pages") * min_share).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
-    return sizes.join(lists, "host", "inner")
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:
+    """host, pages (its rows) and hashes of the host's templates, of pages (host, html).
+
+    Rows of equal html, told by a 64-bit hash, count as one page, those without html as none.
+    """
+    pages = pages.select("host", "html", F.when(F.col("html") != "", F.xxhash64("html")).alias("page"))
+    sizes = pages.groupBy("host", "page").agg(F.count("*").alias("copies")).groupBy("host").agg(F.sum("copies").alias("pages"), F.count("page").alias("distinct"))
+    sizes = staged(sizes, "hosts")
+    seen = pages.mapInArrow(_hashes, "host string, hash long, page long").distinct()
+    found = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min(min_pages, many_pages))
+    n, of = F.col("n"), F.col("distinct")
+    usual = (n >= min_pages) & (n >= of * min_share)
+    many = (n >= many_pages) & (n >= of * many_share) & (F.col("hash").bitwiseAND(F.lit(_LONG)) != 0)
+    # at most 1 / share times a page's subtrees pass for one host
+    lists = found.join(sizes, "host").filter(usual | many).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    return sizes.drop("distinct").join(lists, "host", "inner")
+
+
+def _sets(lists):
+    """Each list of a column as a set, made once for the lists of a host."""
+    made: dict = {}
+    for row in lists:
+        values = row.values
+        own = values.to_numpy(zero_copy_only=False) if values is not None else np.zeros(0, np.int64)
+        key = own.tobytes()
+        if key not in made:
+            made[key] = frozenset(own.tolist())
+        yield made[key]
 
 
 def _extract(keep: list[str]):
     def run(batches):
         for batch in batches:
-            texts = [main_text(page, frozenset(hashes or ())) if page else "" for page, hashes in zip(batch.column("html").to_pylist(), batch.column("hashes").to_pylist(), strict=True)]
+            texts = [main_text(page, hashes) if page else "" for page, hashes in zip(batch.column("html").to_pylist(), _sets(batch.column("hashes")), strict=True)]
             sizes = np.array([len(t) for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(sizes)], [*keep, "text", "n_chars"])
 
     return run
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:
     """The columns ``keep`` of pages (all but the html unless given), text and n_chars; one row per row.
 
     Blocks are parted by two line feeds, white space within is one space,
@@ -298,7 +322,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
     keep = unlike([c for c in pages.columns if c != html_col] if keep is None else keep, ["text", "n_chars"])
     fields = {f.name: f for f in pages.schema.fields}
     rows = pages.select(*[F.col(c).alias(f"k_{c}") for c in keep], host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    found = staged(templates(rows, min_pages, min_share), "templates")
+    found = staged(templates(rows, min_pages, min_share, many_pages, many_share), "templates")
     both = join_hot(rows, found, ["host"], "pages", pages.count())
     own = [f"k_{c}" for c in keep]
     schema = T.StructType([T.StructField(o, fields[c].dataType) for o, c in zip(own, keep, strict=True)] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
