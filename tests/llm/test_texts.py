@@ -258,6 +258,13 @@ def test_main_text():
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_text_beside_articles_stays():
+    card = "<article><h3>Card</h3></article>"
+    assert html_text.main_text(f"<body><nav>n</nav><main><header><h1>Title</h1></header><p>Story{card}<div>end</div></main><footer>f</footer></body>") == "Title\n\nStory\n\nCard\n\nend"
+    assert html_text.main_text(f"<body><header>Site</header><div>Story</div>{card}<section><header>Part</header>more</section></body>after") == "Story\n\nCard\n\nPart\n\nmore\n\nafter"
+    assert html_text.main_text(f"<body><p>out</p><main>one</main>{card}<main>two</main></body>") == "one\n\nCard\n\ntwo"
+
+
 def test_templates_go(spark):
     rows = [(k, f"http://h.example/{k}", PAGE.replace("five", f"page {k}")) for k in range(12)]
     rows += [(20, "http://other.example/", PAGE), (21, None, None), (22, "http://h.example/x", ""), (20, "http://other.example/", PAGE)]

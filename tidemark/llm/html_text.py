@@ -146,24 +146,18 @@ def _walk(root: Node):
 
 
 def roots(tree: Node) -> list[Node]:
-    """The outermost articles that are main text, else the main element, else the body, else all."""
-    mains: list[Node] = []
-    bodies: list[Node] = []
-    articles: list[Node] = []
+    """Where main text is looked for: every main element and the articles beside them, outermost ones; without a main element the whole page."""
+    found: list[Node] = []
     stack = [tree]
     while stack:
         node = stack.pop()
         if node.dropped:
             continue
-        if node.tag == "article":
-            articles.append(node)
+        if node.tag in ("main", "article"):
+            found.append(node)
             continue
-        if node.tag == "main":
-            mains.append(node)
-        elif node.tag == "body":
-            bodies.append(node)
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
-    return articles or mains[:1] or bodies[:1] or [tree]
+    return found if any(n.tag == "main" for n in found) else [tree]
 
 
 def subtree_hash(node: Node, memo: dict) -> int:
@@ -190,21 +184,19 @@ def subtree_hash(node: Node, memo: dict) -> int:
 def candidates(tree: Node) -> list[tuple[Node, int]]:
     """Subtrees with text that may be part of a template, and their hashes.
 
-    Not: the page, its body, articles and the main element; inside those
-    articles, or the main element, blocks of prose and what is within them; and
-    what is dropped anyhow.
+    Not: the page, its body, articles and main elements; inside those articles
+    and main elements, blocks of prose and what is within them; and what is
+    dropped anyhow.
     """
     memo: dict = {}
     subtree_hash(tree, memo)
-    main = roots(tree)
-    whole = main[0].tag in ("article", "main")
     out = []
     stack = [(tree, False)]
     while stack:
         node, inside = stack.pop()
         if node.dropped:
             continue
-        inside = inside or whole and any(node is m for m in main)
+        inside = inside or node.tag in ("article", "main")
         if inside and node.tag in PROSE:
             continue
         if node.tag not in ("", "html", "body", "article", "main") and memo[node][0]:
@@ -235,7 +227,7 @@ def main_text(page: str, templates: frozenset | set = frozenset()) -> str:
                 close()
             elif isinstance(node, str):
                 pieces.append(html.unescape(node) if "&" in node else node)
-            elif node.dropped or gone and id(node) in gone or node.tag == "header" and not _in_article(node):
+            elif node.dropped or gone and id(node) in gone or node.tag == "header" and not _in_content(node):
                 continue
             elif node.tag == "br":
                 pieces.append(" ")
@@ -249,9 +241,10 @@ def main_text(page: str, templates: frozenset | set = frozenset()) -> str:
     return "\n\n".join(blocks)
 
 
-def _in_article(node: Node) -> bool:
+def _in_content(node: Node) -> bool:
+    """Whether a header is that of an article, a section or the main element, not of the page."""
     while node is not None:
-        if node.tag == "article":
+        if node.tag in ("article", "main", "section"):
             return True
         node = node.parent
     return False
