@@ -1,5 +1,6 @@
 """Indicators against pandas, plans, features, resampling, streams."""
 
+import inspect
 import json
 import math
 from datetime import datetime, timedelta
@@ -16,7 +17,7 @@ from tidemark.operators import montecarlo as MC
 from tidemark.operators.base import compute, strength_name
 from tidemark.operators.kernels import KERNELS, KernelRegression, kernel_name, weights
 from tidemark.operators.network import Network
-from tidemark.operators.search import CategoricalParam, FloatParam, IntParam, best, load_trials, optimize, trials_table
+from tidemark.operators.search import RANDOM_TRIALS, CategoricalParam, FloatParam, IntParam, best, load_trials, optimize, trials_table
 from tidemark.operators.signals import Cyclical, External, HeikinAshi, LogReturns
 from tidemark.operators.simulate import Account, backtest
 from tidemark.operators.strategy import Learned, Rules, Weighted
@@ -130,6 +131,26 @@ def test_significance():
     assert M.deflated_sharpe_ratio(0.1, 101, 0.01, 50) < M.probabilistic_sharpe_ratio(0.1, 101)
 
 
+def test_registered_search_and_interval_use_the_defaults(spark, tmp_path, monkeypatch):
+    rows = [(k, "a", datetime(2026, 1, 1) + timedelta(hours=k), float(k % 7 + 1)) for k in range(30)]
+    spark.createDataFrame(rows, "event_id long, event_type string, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
+    calls = {}
+    for module, name in ((trading_queries, "optimize"), (MC, "sharpe_interval")):
+        bound = inspect.signature(getattr(module, name))
+
+        def called(*args, _name=name, _bound=bound, **options):
+            full = _bound.bind(*args, **options)
+            full.apply_defaults()
+            calls[_name] = full.arguments
+            return []
+
+        monkeypatch.setattr(module, name, called)
+    trading_queries.parameter_search(spark, str(tmp_path))
+    trading_queries.sharpe_interval(spark, str(tmp_path))
+    # the first batches are random, the later ones near good trials
+    assert calls["optimize"]["n_trials"] == 100 and RANDOM_TRIALS < 100 - calls["optimize"]["batch"] and calls["sharpe_interval"]["n_boot"] == 1000
+
+
 def test_gates_on_all_baselines(spark):
     values = spark.createDataFrame([("a", 1499.5), ("b", None)], "name string, value double")
     baselines = spark.range(2500).select(F.col("id").cast("string").alias("baseline"), F.col("id").cast("double").alias("threshold"))

@@ -286,7 +286,7 @@ def monte_carlo(spark, sf_dir):
 
 def sharpe_interval(spark, sf_dir):
     frame = compute(hourly(spark, sf_dir), [LogReturns()]).select("symbol", "ts", F.col("signal__log_return_close").alias("ret"))
-    return MC.sharpe_interval(frame, block=10, n_boot=50, seed=3)
+    return MC.sharpe_interval(frame, block=10, seed=3)
 
 
 def parameter_search(spark, sf_dir):
@@ -295,7 +295,7 @@ def parameter_search(spark, sf_dir):
     def factory(p):
         return Weighted(((I.SMA(period=p["fast"]), p["weight"]), (I.SMA(period=p["slow"]), -0.7)), RULES)
 
-    return trials_table(spark, optimize(hourly(spark, sf_dir).cache(), space, factory, "total_return", n_trials=4, batch=4))
+    return trials_table(spark, optimize(hourly(spark, sf_dir).cache(), space, factory, "total_return"))
 
 
 def learned(spark, sf_dir):
