@@ -181,6 +181,19 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), none).count() == 0
 
 
+def test_quality_learns_from_all_passages(monkeypatch):
+    sizes = [100 * quality.PASSAGE - 7, 3, 0]
+    batch = pa.RecordBatch.from_pydict({"label": pa.array([1, 0, 0], pa.int32()), "text": pa.array(["word " * (n // 5) + "x" * (n % 5) for n in sizes])})
+    made = [r for b in quality._bags([batch]) for r in b.column("bag").to_pylist()]
+    assert [len(r) // 2 // (quality.WIDTH - 1) for r in made] == [100, 1, 1]
+    g = np.random.default_rng(4)
+    bags, y = [g.standard_normal((n, quality.WIDTH)).astype(np.float32) for n in (50, 1, 7, 3, 9)], np.array([1, 0, 1, 0, 1], np.float32)
+    whole = quality.AttentionModel()._step(bags, y)
+    monkeypatch.setattr(quality, "STEP_PASSAGES", 20)
+    for k, part in quality.AttentionModel()._step(bags, y).items():
+        assert np.allclose(part, whole[k], atol=1e-5), k
+
+
 def test_attention_gradients():
     m = quality.AttentionModel()
     g = np.random.default_rng(0)

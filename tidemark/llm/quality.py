@@ -19,8 +19,10 @@ from pyspark.sql import types as T
 from tidemark.llm.common import slices, text_bytes, unlike
 
 PASSAGE = 512
-#: Labelled documents that a fit reads at most, and passages of each of them.
-MAX_TRAIN_DOCS, MAX_TRAIN_PASSAGES = 4000, 24
+#: Labelled documents that a fit reads at most; all passages of each are read.
+MAX_TRAIN_DOCS = 4000
+#: Padded passages that a step of the fit works on at once; a longer document is by itself.
+STEP_PASSAGES = 8192
 THRESHOLD = 0.3
 #: Byte classes, in order of precedence; what is in none is class 0.
 CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n\r", b".", b",", b"!?", b";:", b"\"'`", b"-_/\\", b"|*#~^=+", b"%&$@", b"()[]{}<>", bytes(range(128, 256))]
@@ -83,11 +85,7 @@ class AttentionModel:
             order = g.permutation(len(bags))
             for at in range(0, len(order), batch):
                 some = order[at : at + batch]
-                longest = max(len(bags[i]) for i in some)
-                x, mask = np.zeros((len(some), longest, WIDTH), np.float32), np.zeros((len(some), longest), bool)
-                for row, i in enumerate(some):
-                    x[row, : len(bags[i])], mask[row, : len(bags[i])] = (bags[i] - self.mean) / self.std, True
-                grads = self._gradients(x, mask, labels[some].astype(np.float32))
+                grads = self._step([bags[i] for i in some], labels[some].astype(np.float32))
                 step += 1
                 for k, grad in grads.items():
                     m, v = moments[k]
@@ -96,6 +94,24 @@ class AttentionModel:
                     self.p[k] -= rate * ((m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) + decay * self.p[k])
         return self
 
+    def _step(self, bags: list[np.ndarray], y: np.ndarray) -> dict:
+        """The gradients of a batch, summed over parts of documents of like length that are padded together."""
+        order = sorted(range(len(bags)), key=lambda i: len(bags[i]))
+        parts: list[list[int]] = [[]]
+        for i in order:
+            if parts[-1] and (len(parts[-1]) + 1) * len(bags[i]) > STEP_PASSAGES:
+                parts.append([])
+            parts[-1].append(i)
+        total: dict = {}
+        for some in parts:
+            longest = len(bags[some[-1]])
+            x, mask = np.zeros((len(some), longest, WIDTH), np.float32), np.zeros((len(some), longest), bool)
+            for row, i in enumerate(some):
+                x[row, : len(bags[i])], mask[row, : len(bags[i])] = (bags[i] - self.mean) / self.std, True
+            for k, g in self._gradients(x, mask, y[some]).items():
+                total[k] = total.get(k, 0) + g * np.float32(len(some) / len(bags))
+        return total
+
     def _gradients(self, x, mask, y) -> dict:
         p = self.p
         h = np.tanh(x @ p["W"] + p["b"])
@@ -133,10 +149,7 @@ def _bags(batches):
             counts, first = passages(*text_bytes(batch.column("text")))
             rows = []
             for k in range(batch.num_rows):
-                own = counts[first[k] : first[k + 1]]
-                if len(own) > MAX_TRAIN_PASSAGES:  # evenly over the whole document
-                    own = own[np.linspace(0, len(own) - 1, MAX_TRAIN_PASSAGES).astype(int)]
-                rows.append(own.astype(np.uint16).tobytes())
+                rows.append(counts[first[k] : first[k + 1]].astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.binary())], ["label", "bag"])
 
 
