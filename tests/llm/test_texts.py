@@ -278,6 +278,49 @@ def test_text_beside_articles_stays():
     assert html_text.main_text(f"<body><p>out</p><main>one</main>{card}<main>two</main></body>") == "one\n\nCard\n\ntwo"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><div class='content has-sidebar'><article><p>Story</p></article></div></body>", "Story"),
+        ("<body><div class='no-sidebar'><p>Story of some words</p></div></body>", "Story of some words"),
+        ("<body><div class='wrapper menu-open'><p>Story</p><div class=menu>m</div></div></body>", "Story"),
+        ("<body><article class='post share-buttons-on'><p>Story</p></article></body>", "Story"),
+        ("<body><article><p class='notice'>Mind</p><p>Story</p></article></body>", "Mind\n\nStory"),
+        ("<body><article><h2 class='social'>Head</h2><p>Story</p></article></body>", "Head\n\nStory"),
+        ("<body><form action=x><div class=sidebar>s</div><main><p>Story</p></main><input value=v></form></body>", "Story"),
+        ("<body><div class='sidebar'><article><h1>T</h1>Story</article></div><aside><article>A card of more words than the story</article></aside></body>", "T\n\nStory"),
+        ("<body><article>Story</article><div class=ad>Longer than the story</div><section id=comments><article>And the longest of all of them</article></section></body>", "Story"),
+        ("<body><div class='widget-box'>All that the page has to say</div></body>", "All that the page has to say"),
+        ("<body><article></article><div class=ad>Buy</div></body>", ""),
+        ("<body><article>Story</article><div class='cookie-notice bottom'>c</div><div class=comment-list>d</div></body>", "Story"),
+    ],
+)
+def test_names_take_out_no_article(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_template_counts_are_those_of_brute_force(spark):
+    g = random.Random(12)
+    parts = ["<nav><ul><li>Home</li><li>News</li></ul></nav>", "<div class=ad>Buy one of these for little</div>", "<footer>All rights</footer>", "<div><p>Seen on this site today and always</p></div>", "<div class=q>x</div>"]
+    rows = [(k, g.choice(["http://a.example/", "http://b.example/", None]), "<body>" + "".join(g.sample(parts, g.randint(0, 5))) + f"<article><p>Story {k // 2}</p></article></body>") for k in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = html_text.templates(pages.select(html_text.host_of(F.col("url")).alias("host"), "html"), many_pages=12, many_share=0.3).collect()
+    on, distinct = {}, {}
+    for _, url, page in rows:
+        host = re.sub("^http://|/$", "", url or "")
+        distinct.setdefault(host, set()).add(page)
+        for n in html_text.candidates(html_text.measure(html_text.parse(page))):
+            on.setdefault((host, n.hash, n.words), set()).add(page)
+    expected = {}
+    for (host, h, words), where in on.items():
+        n, of = len(where), len(distinct[host])
+        if n >= 5 and 2 * n >= of or n >= 12 and n >= 0.3 * of and words >= 5:
+            expected.setdefault(host, set()).add(h)
+    assert {r["host"]: set(r["hashes"]) for r in found} == expected and sum(map(len, expected.values())) > 6
+    gone = html_text.extract(pages).agg(F.sum("n_removed")).first()[0]
+    assert gone > 100
+
+
 def test_templates_go(spark):
     rows = [(k, f"http://h.example/{k}", PAGE.replace("five", f"page {k}")) for k in range(12)]
     rows += [(20, "http://other.example/", PAGE), (21, None, None), (22, "http://h.example/x", ""), (20, "http://other.example/", PAGE)]

@@ -1,9 +1,12 @@
 """Main text of web pages, with the templates of their sites removed.
 
-A page's markup is read into a light tree. Subtrees that could be part of a
-site's template are hashed; Spark counts on how many distinct pages of a host
-each hash stands, and those on many are taken out of the host's pages, besides
-what its tag, role or class names as menu, notice, advert, form and the like.
+A page's markup is read into a light tree. Every block with text, whether its
+tag or class names it a menu, notice or advert or not, is hashed with all in it;
+Spark counts on how many distinct pages of a host each hash stands, and those
+on many are taken out of the host's pages. What differs from page to page and
+so recurs nowhere (a page's comments, adverts in rotation, its own form) goes by
+its element, its role or the whole of a class that names it, but never where it
+holds the article.
 """
 
 from __future__ import annotations
@@ -22,65 +25,90 @@ from tidemark.llm.common import join_hot, slices, staged, unlike
 #: A subtree is a template's if it is on so many distinct pages of a host, and on so large a share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.5
 #: One of so many words is a template's too if it is on so many distinct pages, and on this smaller share: of a large host's sections or rotating notices. Shorter ones (cells, headings) may be equal by chance.
-MANY_PAGES, MANY_SHARE, MANY_WORDS = 100, 0.01, 5
+MANY_PAGES, MANY_SHARE, MANY_WORDS = 10, 0.01, 5
 
 # Names of elements, roles and words in class or id.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg math object button select input textarea label dialog menu canvas audio video noembed noframes title".split())
+#: Never text, and parts of a page that are no article (of these, the last four go unless they hold the main element).
+DROPPED = frozenset("head script style noscript template iframe svg math object button select input textarea canvas audio video noembed noframes title".split())
+PARTS = frozenset("form dialog label nav footer aside menu".split())
+ASIDE = frozenset("nav footer aside menu".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that are a block of prose by themselves: never a template inside an article.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dd dt blockquote pre table tbody thead tfoot tr td th b i em strong a span code sub sup u s small cite q figure figcaption br hr img".split())
+#: Elements within a line: no template by themselves.
+INLINE = frozenset("b i em strong a span code sub sup u s small cite q br hr img".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
-WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner sidebar sidenav widget widgets cookie cookies consent gdpr notice notices "
+#: Elements that a class or id may name.
+CONTAINERS = frozenset("div section ul ol dl table center details fieldset figure span ins header article".split())
+#: A class names such a part if it is one of NAMES, or of these and PLAIN with hyphens or underscores between.
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+NAMES = COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidenav widget widgets cookie cookies consent gdpr notice notices "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations breadcrumb breadcrumbs menu nav navbar navigation footer masthead "
-    "comment comments disqus respond reply replies discussion pagination pager toolbar topbar skip paywall".split()
+    "pagination pager toolbar topbar paywall".split()
 )
+PLAIN = frozenset("area bar block body bottom box button buttons center column container content footer form group header holder inner item items left link links list main outer pane panel policy post posts right section site slot text thread top unit wrap wrapper".split())
 #: What an opening tag closes before it, within the given elements.
 CLOSES = {"li": (frozenset(["li"]), frozenset("ul ol menu".split())), "dt": (frozenset("dt dd".split()), frozenset(["dl"])), "dd": (frozenset("dt dd".split()), frozenset(["dl"])), "tr": (frozenset("tr td th".split()), frozenset(["table"])), "td": (frozenset("td th".split()), frozenset("tr table".split())), "th": (frozenset("td th".split()), frozenset("tr table".split())), "option": (frozenset(["option"]), frozenset(["select"]))}
 _CLOSE_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+_JOINT = re.compile(r"[-_]+")
 #: Bits of a subtree's hash: the lowest is always set, the next one if the subtree has MANY_WORDS words.
 _MASK, _SOME, _LONG = (1 << 63) - 4, 1, 2
 
 
+#: How an element is marked: as never text, as a part by tag or role, as a part by name, as reader comments.
+_GONE, _PART, _NAMED, _COMMENTS = 1, 2, 3, 4
+
+
 class Node:
-    __slots__ = ("children", "dropped", "label", "parent", "tag")
+    """An element; after measure() with the hash of the subtree, its words, and what it holds."""
+
+    __slots__ = ("article", "children", "hash", "heading", "label", "main", "mark", "parent", "size", "tag", "words")
 
-    def __init__(self, tag: str, parent: Node | None, label: str, dropped: bool):
-        self.tag, self.parent, self.label, self.dropped = tag, parent, label, dropped
+    def __init__(self, tag: str, parent: Node | None, label: str, mark: int):
+        self.tag, self.parent, self.label, self.mark = tag, parent, label, mark
         self.children: list = []
 
 
-def _is_dropped(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element is no main text by its name, role or class; its class and id."""
+def _named(token: str) -> int:
+    """The mark that a class or id gives."""
+    parts = _JOINT.split(token)
+    if not all(p in NAMES or p in PLAIN for p in parts):
+        return 0
+    return _COMMENTS if not COMMENTS.isdisjoint(parts) else 0 if NAMES.isdisjoint(parts) else _NAMED
+
+
+def _mark(tag: str, attributes: str) -> tuple[int, str]:
+    """How an element is marked by its tag, role, class or id; its class and id."""
+    if tag in DROPPED:
+        return _GONE, ""
+    mark, label = _PART if tag in PARTS else 0, ""
     if not attributes:
-        return tag in DROPPED, ""
-    label, dropped = "", tag in DROPPED
+        return mark, label
     for name, value in _ATTRIBUTE.findall(attributes):
         value = html.unescape(value.strip("\"'")).lower()
         name = name.lower()
         if name in ("class", "id"):
             label += " " + value
-            dropped = dropped or any(w in WORDS for w in _WORD.findall(value))
+            if tag in CONTAINERS:
+                mark = max(mark, max(map(_named, value.split()), default=0))
         elif name == "role":
-            dropped = dropped or value in ROLES
-        elif name == "hidden" or name == "aria-hidden" and value == "true":
-            dropped = True
-        elif name == "style":
-            dropped = dropped or "display:none" in value.replace(" ", "")
+            mark = max(mark, _PART if value in ROLES else 0)
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+            mark = max(mark, _PART)
     if tag in ("html", "body", "main"):  # a page's class may name what stands in it
-        dropped = False
-    return dropped, label
+        mark = 0
+    return mark, label
 
 
 def parse(page: str) -> Node:
     """The tree of a page: children are nodes and texts. Left-out end tags are made up for, wrong ones passed over."""
-    root = here = Node("", None, "", False)
+    root = here = Node("", None, "", 0)
     at, end = 0, len(page)
     match = _TOKEN.match
     while at < end:
@@ -121,8 +149,8 @@ def parse(page: str) -> Node:
                 node = node.parent
             if last is not None:
                 here = last.parent
-        dropped, label = _is_dropped(tag, m[3])
-        node = Node(tag, here, label, dropped)
+        mark, label = _mark(tag, m[3])
+        node = Node(tag, here, label, mark)
         here.children.append(node)
         if tag in RAW:
             stop = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
@@ -145,13 +173,67 @@ def _walk(root: Node):
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
 
 
+def measure(tree: Node) -> Node:
+    """tree with what each node holds: a main element, headings of the first rank, letters, words, its largest article, and a hash.
+
+    The hash is of the subtree's names, classes and text, white space aside; it
+    is 0 where there is no text. What is never text counts nothing.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    for n in reversed(list(_walk(tree))):
+        n.main, n.heading, n.article, n.size, n.words, n.hash = n.tag == "main", n.tag == "h1", -1, 0, 0, 0
+        if n.mark == _GONE:
+            n.main = n.heading = False
+            continue
+        parts = [n.tag, n.label]
+        for c in n.children:
+            if isinstance(c, Node):
+                n.main |= c.main
+                n.heading |= c.heading
+                n.article = max(n.article, c.article)
+                n.size += c.size
+                n.words += c.words
+                if c.words:
+                    parts.append(str(c.hash))
+            elif own := c.split():
+                n.words += len(own)
+                n.size += len(c)
+                parts.append(" ".join(own))
+        if n.tag == "article" and n.mark != _COMMENTS:
+            n.article = max(n.article, n.size)
+        if n.words:
+            n.hash = xxh3_64_intdigest("\x00".join(parts)) & _MASK | _SOME | (_LONG if n.words >= MANY_WORDS else 0)
+    return tree
+
+
+def _holds(node: Node, tree: Node) -> bool:
+    """Whether a node holds the page's article: the main element, the largest article or the heading; without any of these, half of the text."""
+    if tree.main or tree.article >= 0 or tree.heading:
+        return node.main or node.heading or node.article >= 0 and node.article == tree.article
+    return 2 * node.size >= tree.size
+
+
+def dropped(node: Node, tree: Node) -> bool:
+    """Whether an element goes by what it is: never text, or a marked part that does not hold the article."""
+    if node.mark == _GONE:
+        return True
+    if node.tag in ASIDE:
+        return not node.main
+    if node.tag == "header" and not _in_content(node):
+        return not (node.main or node.article >= 0)
+    if not node.mark:
+        return False
+    return not (node.main or node.heading if node.mark == _COMMENTS else _holds(node, tree))
+
+
 def roots(tree: Node) -> list[Node]:
     """Where main text is looked for: every main element and the articles beside them, outermost ones; without a main element the whole page."""
     found: list[Node] = []
     stack = [tree]
     while stack:
         node = stack.pop()
-        if node.dropped:
+        if dropped(node, tree):
             continue
         if node.tag in ("main", "article"):
             found.append(node)
@@ -160,57 +242,37 @@ def roots(tree: Node) -> list[Node]:
     return found if any(n.tag == "main" for n in found) else [tree]
 
 
-def subtree_hash(node: Node, memo: dict) -> int:
-    """A hash of the subtree's names, classes and text, white space aside; 0 if it has no text. memo: hashes and words of nodes."""
-    from xxhash import xxh3_64_intdigest
+def candidates(tree: Node) -> list[Node]:
+    """Blocks with text that may be part of a template, of a measured tree, marked ones among them.
 
-    order = list(_walk(node))
-    for n in reversed(order):
-        if n in memo:
-            continue
-        parts, size = [n.tag, n.label], 0
-        for c in n.children:
-            if isinstance(c, Node):
-                h, k = memo[c]
-                size += k
-                parts.append(str(h))
-            elif words := c.split():
-                size += len(words)
-                parts.append(" ".join(words))
-        memo[n] = (xxh3_64_intdigest("\x00".join(parts)) & _MASK | _SOME | (_LONG if size >= MANY_WORDS else 0) if size else 0), size
-    return memo[node][0]
-
-
-def candidates(tree: Node) -> list[tuple[Node, int]]:
-    """Subtrees with text that may be part of a template, and their hashes.
-
-    Not: the page, its body, articles and main elements; inside those articles
-    and main elements, blocks of prose and what is within them; and what is
-    dropped anyhow.
+    Not: the page, its body, articles and main elements and what holds one;
+    inside articles and main elements, blocks of prose and what is within them.
     """
-    memo: dict = {}
-    subtree_hash(tree, memo)
     out = []
     stack = [(tree, False)]
     while stack:
         node, inside = stack.pop()
-        if node.dropped:
-            continue
         inside = inside or node.tag in ("article", "main")
-        if inside and node.tag in PROSE:
+        if not node.words or node.tag in INLINE or inside and node.tag in PROSE:
             continue
-        if node.tag not in ("", "html", "body", "article", "main") and memo[node][0]:
-            out.append((node, memo[node][0]))
+        if node.tag not in ("", "html", "body", "article", "main") and not node.main and (node.article < 0 or node.tag in ASIDE or node.mark == _COMMENTS):
+            out.append(node)
         stack.extend((c, inside) for c in node.children if isinstance(c, Node))
     return out
 
 
 def main_text(page: str, templates: frozenset | set = frozenset()) -> str:
     """The blocks of a page's main text, joined by two line feeds."""
-    tree = parse(page)
-    gone = {id(node) for node, h in candidates(tree) if h in templates} if templates else ()
+    return text_and_removed(page, templates)[0]
+
+
+def text_and_removed(page: str, templates: frozenset | set = frozenset()) -> tuple[str, int]:
+    """main_text(), and how many outermost blocks of the page went because they are a template's."""
+    tree = measure(parse(page))
+    gone = {id(n) for n in candidates(tree) if n.hash in templates} if templates else set()
     blocks: list[str] = []
     pieces: list[str] = []
+    removed = sum(id(n) in gone and not _under(n, gone) for n in _walk(tree)) if gone else 0
 
     def close():
         words = " ".join("".join(pieces).split())
@@ -227,7 +289,7 @@ def main_text(page: str, templates: frozenset | set = frozenset()) -> str:
                 close()
             elif isinstance(node, str):
                 pieces.append(html.unescape(node) if "&" in node else node)
-            elif node.dropped or gone and id(node) in gone or node.tag == "header" and not _in_content(node):
+            elif id(node) in gone or dropped(node, tree):
                 continue
             elif node.tag == "br":
                 pieces.append(" ")
@@ -238,7 +300,14 @@ def main_text(page: str, templates: frozenset | set = frozenset()) -> str:
             else:
                 stack.extend(reversed(node.children))
         close()
-    return "\n\n".join(blocks)
+    return "\n\n".join(blocks), removed
+
+
+def _under(node: Node, gone: set) -> bool:
+    node = node.parent
+    while node is not None and id(node) not in gone:
+        node = node.parent
+    return node is not None
 
 
 def _in_content(node: Node) -> bool:
@@ -253,7 +322,7 @@ def _in_content(node: Node) -> bool:
 def _hashes(batches):
     for batch in (part for whole in batches for part in slices(whole)):
         hosts, digests = batch.column("host").to_pylist(), batch.column("page").to_pylist()
-        rows = [sorted({h for _, h in candidates(parse(page))}) if page else [] for page in batch.column("html").to_pylist()]
+        rows = [sorted({n.hash for n in candidates(measure(parse(page)))}) if page else [] for page in batch.column("html").to_pylist()]
         flat = [(host, h, page) for host, page, own in zip(hosts, digests, rows, strict=True) for h in own]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in flat], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "hash", "page"])
 
@@ -296,28 +365,31 @@ def _sets(lists):
 
 def _extract(keep: list[str]):
     def run(batches):
-        for batch in batches:
-            texts = [main_text(page, hashes) if page else "" for page, hashes in zip(batch.column("html").to_pylist(), _sets(batch.column("hashes")), strict=True)]
-            sizes = np.array([len(t) for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(sizes)], [*keep, "text", "n_chars"])
+        for batch in (part for whole in batches for part in slices(whole)):
+            found = [text_and_removed(page, hashes) if page else ("", 0) for page, hashes in zip(batch.column("html").to_pylist(), _sets(batch.column("hashes")), strict=True)]
+            sizes = np.array([len(t) for t, _ in found], np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([t for t, _ in found], pa.string()), pa.array(sizes), pa.array([n for _, n in found], pa.int64())], [*keep, "text", "n_chars", "n_removed"])
 
     return run
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:
-    """The columns ``keep`` of pages (all but the html unless given), text and n_chars; one row per row.
+    """The columns ``keep`` of pages (all but the html unless given), text, n_chars and n_removed; one row per row.
 
-    Blocks are parted by two line feeds, white space within is one space,
+    n_removed counts the page's blocks that are its site's template. Blocks of
+    the text are parted by two line feeds, white space within is one space,
     character references are decoded. A null or empty page has an empty text.
     Pages without a host, or with a null url, share the empty host's templates.
-    A kept column named text or n_chars gives way to the result.
+    Rows that repeat a page have equal results and count once for templates; an
+    empty table gives an empty result; a page of any length is read whole. A
+    kept column with the name of a result gives way to it.
     """
-    keep = unlike([c for c in pages.columns if c != html_col] if keep is None else keep, ["text", "n_chars"])
+    keep = unlike([c for c in pages.columns if c != html_col] if keep is None else keep, ["text", "n_chars", "n_removed"])
     fields = {f.name: f for f in pages.schema.fields}
     rows = pages.select(*[F.col(c).alias(f"k_{c}") for c in keep], host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     found = staged(templates(rows, min_pages, min_share, many_pages, many_share), "templates")
     both = join_hot(rows, found, ["host"], "pages", pages.count())
     own = [f"k_{c}" for c in keep]
-    schema = T.StructType([T.StructField(o, fields[c].dataType) for o, c in zip(own, keep, strict=True)] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    schema = T.StructType([T.StructField(o, fields[c].dataType) for o, c in zip(own, keep, strict=True)] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_removed", T.LongType())])
     found = both.select(*own, "html", "hashes").mapInArrow(_extract(own), schema)
-    return found.select(*[F.col(o).alias(c) for o, c in zip(own, keep, strict=True)], "text", "n_chars")
+    return found.select(*[F.col(o).alias(c) for o, c in zip(own, keep, strict=True)], "text", "n_chars", "n_removed")
