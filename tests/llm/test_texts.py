@@ -56,6 +56,32 @@ def test_pieces_are_the_library_s(spark):
     assert codec.digests(df.limit(0), PIECES).count() == 0
 
 
+def test_every_character_is_walked_by_the_lattice(monkeypatch):
+    c = codec.Codec(PIECES)
+    text = c.sp.normalize(" ".join(texts(30, 9)) + " the  end " + "x" * 300 + "中" * 90)
+    expected = np.array(c.sp.encode_as_ids(text.replace("▁", " ")[1:]), "<u4").tobytes()
+    walked, real = [], c.path
+
+    def path(word):
+        walked.append(word)
+        return real(word)
+
+    c.path = path
+    monkeypatch.setattr(c.sp, "encode", None)
+    for by_word in (True, False):
+        c.by_word = by_word
+        for chunk in (50, 333):
+            cuts = range(0, len(text), chunk)
+            parts = []
+            for cut in cuts:
+                lo, hi = max(0, cut - c.longest), min(len(text), cut + chunk + c.longest)
+                parts.append((text[lo:hi], cut - lo, cut + chunk - lo, cut == 0, cut == cuts[-1]))
+            states = codec.best_states([codec.transfer(c, *p) for p in parts], codec.START, codec.START)
+            ids = [codec.trace_back(c, body, left, cut, None if first else a, None if last else b) for (body, left, cut, first, last), a, b in zip(parts, states, states[1:], strict=False)]
+            assert b"".join(ids) == expected
+    assert c.encode([text.replace("▁", " ")[1:]]) == [expected] and walked
+
+
 def test_max_plus_products_are_associative():
     g = random.Random(2)
     s = [(0, k) for k in range(4)]

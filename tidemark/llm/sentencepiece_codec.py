@@ -9,13 +9,19 @@ there. Each chunk yields its max-plus transfer matrix between the states of
 its two cuts; products of matrices, which are associative, give the state at
 every cut, and each chunk is then traced back on its own.
 
-Other texts are encoded by the library where they lie, word by word through a
-bounded cache: no piece has a space after another character.
+No piece reaches over the place where a space follows another character, if the
+model's pieces say so. There the lattice has one state, and what lies between
+two such places, a word, has a matrix of one row and one column whose path
+depends on the word alone: a worker walks each distinct word once and remembers
+its ids. Other texts are so many words, encoded where they lie. The library
+reads the model's file, normalises texts and decodes; every id that encode()
+gives comes from the lattice.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -30,8 +36,12 @@ from tidemark.llm.common import free_name, staged, unlike
 GIANT, CHUNK = 65_536, 16_384
 #: Chunks whose matrices one task multiplies.
 BLOCK = 64
-CACHE_WORDS = 250_000
+CACHE_WORDS, CACHE_STEPS = 250_000, 1_000_000
+#: Words of more characters are walked each time.
+CACHE_CHARS = 64
 SPACE = "▁"
+_BREAK = re.compile(f"[^{SPACE}](?={SPACE})")
+_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 State = tuple[int, int]
 #: Rows and finite entries of a max-plus matrix.
@@ -43,7 +53,7 @@ class Codec:
     """A model, its lattice and a cache of words; one in each worker."""
 
     def __init__(self, model: str):
-        import sentencepiece
+        import sentencepiece  # reads the model, normalises and decodes; encodes nothing
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         ids = range(self.sp.get_piece_size())
@@ -52,27 +62,91 @@ class Codec:
         self.rank = {piece: -self.sp.get_score(i) for piece, i in self.ids.items()}
         self.byte = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.ids))
+        #: Whether words can be told by spaces: no piece has one after another character.
+        self.by_word = all(SPACE not in piece.lstrip(SPACE) for piece in self.ids)
         self.cache: dict[str, bytes] = {}
-        self.steps: dict[tuple[str, str], bool] = {}
+        self.older: dict[str, bytes] = {}
+        #: Pieces by number, characters outside the vocabulary among them as they come; 0 is the beginning of a text.
+        self.pieces: list[str] = [""]
+        self.coded: list[bytes] = [b""]
+        self.number: dict[str, int] = {"": 0}
+        #: A node has nodes by character, and at "" the number of the piece that ends there.
+        self.tree: dict = {}
+        for piece in self.ids:
+            self.add(piece)
+        #: Which piece may follow which, by both numbers.
+        self.steps: dict[int, bool] = {}
+
+    def add(self, piece: str) -> int:
+        """The number of a piece, or of a character that stands for its bytes."""
+        n = self.number.get(piece)
+        if n is None:
+            n = self.number[piece] = len(self.pieces)
+            self.pieces.append(piece)
+            self.coded.append(np.array([self.ids[piece]] if piece in self.ids else [self.byte[b] for b in piece.encode()], "<u4").tobytes())
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = n
+        return n
+
+    def word(self, word: str) -> bytes:
+        """Ids of a normalised word or text; a distinct word is walked once and remembered."""
+        known = self.cache.get(word)
+        if known is None:
+            known = self.older.get(word) or self.path(word)
+            if len(word) <= CACHE_CHARS:
+                if len(self.cache) > CACHE_WORDS:  # words not met again since go
+                    self.cache, self.older = {}, self.cache
+                self.cache[word] = known
+        return known
+
+    def path(self, text: str) -> bytes:
+        """Ids of the best path through the whole lattice of a text.
+
+        The pieces on the way to a place are the encoding of what is before
+        it, so of all pieces that end there one alone can be reached.
+        """
+        end, tree, steps = len(text), self.tree, self.steps
+        last, came = [-1] * (end + 1), [0] * (end + 1)
+        last[0] = 0
+        for at in range(end):
+            before = last[at]
+            key = before << 32
+            node = tree.get(text[at])
+            if node is None or "" not in node:
+                self.add(text[at])
+                node = tree[text[at]]
+            j = at + 1
+            while node is not None:
+                n = node.get("")
+                if n is not None and last[j] < 0:
+                    fits = steps.get(key | n)
+                    if fits or fits is None and self.follows(before, n):
+                        last[j], came[j] = n, at
+                node = node.get(text[j]) if j < end else None
+                j += 1
+        out, at = [], end
+        while at:
+            out.append(self.coded[last[at]])
+            at = came[at]
+        return b"".join(reversed(out))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        split = [t.split(" ") for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        plain = [bool(t) and "" not in w for t, w in zip(texts, split, strict=True)]
-        new = list({w for own, ok in zip(split, plain, strict=True) if ok for w in own if w not in cache})
-        for word, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True):
-            cache[word] = np.array(ids, "<u4").tobytes()
-        return [b"".join([cache[w] for w in own]) if ok else np.array(self.sp.encode(t), "<u4").tobytes() for t, own, ok in zip(texts, split, plain, strict=True)]
+        return [b"".join(map(self.word, self.split(self.sp.normalize(t)))) if t else b"" for t in texts]
+
+    def split(self, text: str) -> list[str]:
+        """A normalised text cut wherever a space follows another character."""
+        if not text or not self.by_word:
+            return [text] if text else []
+        if SPACE + SPACE not in text and text[0] == SPACE != text[-1]:
+            return [SPACE + w for w in text[1:].split(SPACE)]
+        return _WORD.findall(text)
 
     def decode(self, blobs: list[bytes]) -> list[str]:
         return self.sp.decode([np.frombuffer(b, "<u4").tolist() for b in blobs], num_threads=1)
 
-    def piece_ids(self, piece: str) -> list[int]:
-        return [self.ids[piece]] if piece in self.ids else [self.byte[b] for b in piece.encode()]
-
     # --- the lattice
 
     def merge(self, text: str) -> list[str]:
@@ -86,14 +160,15 @@ class Codec:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def follows(self, a: str, b: str) -> bool:
-        """Whether piece b may stand after piece a."""
-        key = (a, b)
+    def follows(self, a: int, b: int) -> bool:
+        """Whether piece number b may stand after piece number a; at the beginning (0) whether it is its own encoding."""
+        key = a << 32 | b
         known = self.steps.get(key)
         if known is None:
-            if len(self.steps) > CACHE_WORDS:
+            if len(self.steps) > CACHE_STEPS:
                 self.steps.clear()
-            known = self.steps[key] = self.merge(a + b) == [a, b]
+            first, then = self.pieces[a], self.pieces[b]
+            known = self.steps[key] = self.merge(first + then) == ([first, then] if a else [then])
         return known
 
     def states(self, text: str, cut: int) -> list[State]:
@@ -101,7 +176,7 @@ class Codec:
         out = []
         for i in range(max(0, cut - self.longest + 1), cut + 1):
             for j in range(cut + 1, min(len(text), i + self.longest) + 1):
-                if (j == i + 1 or text[i:j] in self.rank) and self.merge(text[i:j]) == [text[i:j]]:
+                if (j == i + 1 or text[i:j] in self.rank) and self.follows(0, self.add(text[i:j])):
                     out.append((i, j))
         return out
 
@@ -124,18 +199,21 @@ class Codec:
             put(piece, 1 << k)
         at = min((p for _, p in entries), default=end)
         stop = end - 1 if cut is None else cut
-        rank, follows, longest = self.rank, self.follows, self.longest
+        follows, tree = self.follows, self.tree
         while at <= stop:
             here = alive.pop(at, None)
             if here:
-                named = [(text[p[0] : p[1]], p, bits) for p, bits in here]
-                for j in range(at + 1, min(end, at + longest) + 1):
-                    piece = text[at:j]
-                    if j > at + 1 and piece not in rank:
+                named = [(self.add(text[p[0] : p[1]]), p, bits) for p, bits in here]
+                node, j = tree, at
+                self.add(text[at])
+                while j < end and (node := node.get(text[j])) is not None:
+                    j += 1
+                    n = node.get("")
+                    if n is None:
                         continue
                     bits = 0
                     for before, p, b in named:
-                        if (not before or follows(before, piece)) and (before or self.merge(piece) == [piece]):
+                        if follows(before, n):
                             bits |= b
                             if trace is not None:
                                 trace[at, j] = p
@@ -203,32 +281,24 @@ def _moved(states, by: int):
     return [(i - by, j - by) for i, j in states]
 
 
-def _spaces(body: str, low: int, high: int) -> tuple[int, int] | None:
-    """The first and last place in [low, high] where a space follows another character, if they differ.
-
-    No piece reaches over such a place, so what lies between two of them is
-    encoded alike whatever the states: there the lattice is one path.
-    """
-    first = low
-    while first <= high and not (0 < first < len(body) and body[first] == SPACE != body[first - 1]):
-        first += 1
-    last = min(high, len(body) - 1)
-    while last > first and not (body[last] == SPACE != body[last - 1]):
-        last -= 1
-    return (first, last) if first < last else None
+def _places(c: Codec, body: str, low: int, high: int) -> list[int]:
+    """The places in [low, high] where a space follows another character: there the lattice has one state."""
+    return [m.start() + 1 for m in _BREAK.finditer(body, max(low - 1, 0), min(high + 1, len(body)))] if c.by_word else []
 
 
 def transfer(c: Codec, body: str, left: int, cut: int, first: bool, last: bool) -> Matrix:
     """The matrix of one chunk, its states relative to the cuts; first and last have one row or column, START."""
     entries = [(0, 0)] if first else c.states(body, left)
     goal = None if last else cut
-    between = _spaces(body, max(j for _, j in entries), len(body) - 1 if last else cut)
-    if between:
+    places = _places(c, body, max(j for _, j in entries), len(body) - 1 if last else cut)
+    if places:
         head = 0
-        for bits in c.walk(body[: between[0]], entries, None).values():
+        for bits in c.walk(body[: places[0]], entries, None).values():
             head |= bits
-        tail = c.walk(body[between[1] :], [(0, 0)], None if last else cut - between[1])
-        reached = {(i + between[1], j + between[1]): head for i, j in tail}
+        for a, b in zip(places, places[1:], strict=False):  # matrices of one row and one column
+            head = head if c.word(body[a:b]) else 0
+        tail = c.walk(body[places[-1] :], [START], None if last else cut - places[-1])
+        reached = {(i + places[-1], j + places[-1]): head for i, j in tail}
     else:
         reached = c.walk(body, entries, goal)
     names = [START] if first else _moved(entries, left)
@@ -241,7 +311,7 @@ def transfer(c: Codec, body: str, left: int, cut: int, first: bool, last: bool)
     return out
 
 
-def _path(c: Codec, body: str, start: State, cut: int | None, leave: State | None) -> list[int]:
+def _path(c: Codec, body: str, start: State, cut: int | None, leave: State | None) -> bytes:
     before: dict[State, State] = {}
     reached = c.walk(body, [start], cut, before)
     at = next(iter(reached)) if leave is None else leave
@@ -249,20 +319,23 @@ def _path(c: Codec, body: str, start: State, cut: int | None, leave: State | Non
     while at != start:
         pieces.append(body[at[0] : at[1]])
         at = before[at]
-    return [i for piece in reversed(pieces) for i in c.piece_ids(piece)]
+    return b"".join([c.coded[c.add(piece)] for piece in reversed(pieces)])
 
 
-def trace_back(c: Codec, body: str, left: int, cut: int, entry: State | None, leave: State | None) -> list[int]:
+def trace_back(c: Codec, body: str, left: int, cut: int, entry: State | None, leave: State | None) -> bytes:
     """Ids of the pieces after the entry piece up to and with the leaving piece (or the text's end)."""
     start = (0, 0) if entry is None else (entry[0] + left, entry[1] + left)
     at = None if leave is None else (leave[0] + cut, leave[1] + cut)
-    between = _spaces(body, max(start[1], 1), len(body) - 1 if leave is None else cut)
-    if not between or at is not None and at[0] < between[1]:
+    places = _places(c, body, max(start[1], 1), len(body) - 1 if leave is None else cut)
+    while places and at is not None and at[0] < places[-1]:
+        places.pop()
+    if not places:
         return _path(c, body, start, None if leave is None else cut, at)
-    low, high = between
-    middle = c.encode([body[low + 1 : high].replace(SPACE, " ")])[0]
-    end = None if at is None else (at[0] - high, at[1] - high)
-    return _path(c, body[:low], start, None, None) + np.frombuffer(middle, "<u4").tolist() + _path(c, body[high:], (0, 0), None if leave is None else cut - high, end)
+    end = None if at is None else (at[0] - places[-1], at[1] - places[-1])
+    head = _path(c, body[: places[0]], start, None, None)
+    tail = _path(c, body[places[-1] :], START, None if leave is None else cut - places[-1], end)
+    middle = [c.word(body[a:b]) for a, b in zip(places, places[1:], strict=False)]
+    return b"".join([head, *middle, tail])
 
 
 def _matrices(model: str):
@@ -322,7 +395,7 @@ def _traced(model: str):
         for batch in batches:
             rows = batch.to_pylist()
             ids = [trace_back(c, r["body"], r["left"], r["cut"], None if r["k"] == 0 else tuple(r["entry"]), None if r["last"] else tuple(r["leave"])) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], ["key", "k", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array(ids, pa.binary())], ["key", "k", "ids"])
 
     return run
 
@@ -432,7 +505,8 @@ def digests(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK)
     """doc_id, n_tokens, ids_crc32, decoded_sha256 and round_trip (whether the text came back) of every text (null: empty).
 
     What encode() and decode() give, in one pass where texts are no giants, so
-    that a task needs one Python process.
+    that a task needs one Python process. Rows that repeat a text have equal
+    results, an empty table gives an empty one, other columns are not read.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
