@@ -403,6 +403,44 @@ def test_small_payloads_are_no_revisits(spark):
 
 
 def test_a_record_holds_its_digest():
-    raw = next(warc.members(warc.record("response", "urn:a", "http://x", warc.payload_digest(b"abc"), b"abc", None)))
+    raw = next(warc.members(warc.record("response", "urn:a", 7, "http://x", warc.payload_digest(b"abc"), b"abc", "2020-01-01T00:00:00Z")))
     fields, payload = warc.parse(raw)
     assert payload == b"abc" and fields["warc-type"] == "response" and hashlib.sha1(payload).digest() == __import__("base64").b32decode(fields["warc-payload-digest"][5:])
+
+
+def test_headers_are_fresh(spark):
+    rows = [(k, f"http://x/{k}", "same page" if k % 3 else f"page {k}") for k in range(30)] + [(29, "http://x/again", "same page"), (None, None, "same page"), (40, "http://x/40", "é" * 3_000_000), (41, "http://x/41", "é" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    ids, revisits, dates = [], [], set()
+    for run in range(2):
+        folder = f"{shared_dir(spark)}/fresh{run}"
+        for file in warc.write_archives(pages, folder).collect():
+            kinds = []
+            for raw in warc.members(read_file(folder, file["file"])):
+                fields, _ = warc.parse(raw)
+                ids.append(fields["warc-record-id"])
+                kinds.append(fields["warc-type"])
+                dates.add(fields["warc-date"])
+                if kinds[-1] == "revisit":
+                    revisits.append(fields)
+            assert kinds.count("warcinfo") == 1 == 1 + kinds.index("warcinfo") and len(kinds) == file["n_records"] + 1
+    assert len(set(ids)) == len(ids) and all(x.startswith("<urn:uuid:") for x in ids) and all(d > "2024" for d in dates)
+    assert len(revisits) == 2 * 21 and all(r["warc-refers-to-date"] in dates and r["warc-profile"] == warc.PROFILE for r in revisits)
+    # a response that is one row alone is named by its record id
+    named = [r for r in revisits if r["x-refers-to-row-id"] == "41"]
+    assert [r["warc-refers-to-target-uri"] for r in named] == ["http://x/41"] * 2 and all(r["warc-refers-to"] in ids for r in named)
+    assert all("warc-refers-to" not in r for r in revisits if r["x-refers-to-row-id"] == "29")
+
+
+def test_archives_are_read_in_time_in_proportion():
+    import time
+
+    one = warc.record("response", "urn:a", 1, "http://x", "D", bytes(np.random.default_rng(1).integers(0, 256, 300, np.uint8)), "2020-01-01T00:00:00Z")
+
+    def took(n):
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.members(one * n)) == n
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(16_000) < 10 * took(4_000) + 0.5

@@ -7,29 +7,39 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key that holds one row in so many is hot; at most so many keys can be.
+#: A key that holds one row in so many, or in 4 for each shuffle partition if that is more, is hot; at most so many keys can be.
 HOT_SHARE = 1000
+#: Rows of a few numbers and short strings that may be broadcast (some 100 MB); beyond that they are shuffled.
+BROADCAST_ROWS = 2_000_000
+#: Folders that this session has written and not cleared.
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Where the setting is absent (tests in one process) a temporary folder is set.
+    Where the setting is absent a temporary folder is set, but only if driver
+    and executors are one machine; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -40,6 +50,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> int:
+    """Delete what operators of this session have left in the shared folder, and say how many folders that was.
+
+    For after results are written: tables that operators have returned read
+    these folders and can't be read any more.
+    """
+    jvm = spark.sparkContext._jvm
+    count = len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
+def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table, to be broadcast if it has no more than so many rows."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def unlike(names: list[str], taken: list[str]) -> list[str]:
     """Those of names that none of taken has, letter case aside."""
     lower = {t.lower() for t in taken}
@@ -57,10 +86,11 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], size: str, tota
     """rows left-joined with table on keys, where a few keys may hold most of the rows.
 
     table has one row per key and in ``size`` the number of rows of that key.
-    Keys that hold at least total / HOT_SHARE rows are at most HOT_SHARE, so
-    that part of table is broadcast; the other keys are shuffled.
+    Keys that hold at least one row in ``share`` are at most so many, so that
+    part of table is broadcast; the other keys are shuffled.
     """
-    limit = max(2, total // HOT_SHARE + 1)
+    share = max(HOT_SHARE, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    limit = max(2, total // share + 1)
     others = [c for c in table.columns if c not in keys]
     hot = table.filter(F.col(size) >= limit).withColumn("_hot", F.lit(True))
     hot = hot.select(*keys, "_hot", *[F.col(c).alias(f"_h_{c}") for c in others])
@@ -188,10 +218,28 @@ def column_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(*text_bytes(column))
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512):
-    """batch in pieces of a bounded number of rows."""
-    for k in range(0, batch.num_rows, rows):
-        yield batch.slice(k, rows)
+def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 4 << 20):
+    """batch in pieces of a bounded number of rows, and of about so many bytes if they have several rows."""
+    if batch.num_rows <= rows and batch.nbytes <= size:
+        if batch.num_rows:
+            yield batch
+        return
+    each = sum(_row_bytes(c) for c in batch.columns) if batch.num_rows else np.zeros(0)
+    start, held = 0, 0.0
+    for k, n in enumerate(each.tolist()):
+        if k > start and (k - start >= rows or held + n > size):
+            yield batch.slice(start, k - start)
+            start, held = k, 0.0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def _row_bytes(column: pa.Array) -> np.ndarray:
+    """Bytes of each row of a column, about."""
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+        return pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+    return np.full(len(column), column.nbytes / max(1, len(column)))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
