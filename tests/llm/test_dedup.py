@@ -166,6 +166,28 @@ def test_decontamination(spark):
     assert Counter((r["doc_id"], *r[4:9]) for r in got.collect()) == Counter(expected)
 
 
+def test_a_bucket_of_many_windows_is_not_read_through():
+    import time
+
+    def took(n):
+        items = [(str(k), f"a{k} b{k} the same end") for k in range(n)]
+        (table,) = decontamination.build(items)
+        text = decontamination.words("x y the same end " * 4000)
+        began = time.perf_counter()
+        assert not list(table.find(text))
+        assert [names for _, names in table.find(decontamination.words("z a7 b7 the same end"))] == [{"7"}]
+        return time.perf_counter() - began
+
+    assert took(20_000) < 20 * took(20) + 0.2
+
+
+def test_a_very_long_text_is_searched_whole(spark):
+    text = "filler words " * 400_000 + "the item of nine words is at the end"
+    bench = spark.createDataFrame([("i", "The item of nine words is at the end")], "item_id string, text string")
+    r = decontamination.search(make(spark, [(1, text)]), bench).first()
+    assert (r["n_words"], r["n_hit"], r["items"]) == (800_009, 9, ["i"])
+
+
 def test_dropping_copies_keeps_columns_of_any_name(spark):
     docs = make(spark, corpus()).withColumnsRenamed({"digest": "_gone", "bucket": "_KEY"})
     for drop in (exact_dedup.drop_copies, near_dedup.drop_near_copies):

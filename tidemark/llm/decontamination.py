@@ -4,26 +4,38 @@ A window is WINDOW consecutive words of a benchmark item, or the whole item if
 it has fewer. For each window length there is a table of shifts by block (the
 last two words under the cursor): a block that no window ends with moves the
 cursor on by as many words as no window can end in. Only where a shift is zero
-the bucket of that suffix is compared word by word.
+the bucket of that suffix is looked at: its windows are compared word by word,
+or, if there are many, only those of the same words before the suffix.
+
+The tables are built by tasks, in blocks of bounded bytes, and written to the
+shared folder. A worker reads one after the other for a group of rows and keeps
+few, so that a benchmark of any size takes one pass and one process.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import free_name, unlike
+from tidemark.llm.common import fresh_path, slices, staged, unlike
+from tidemark.llm.files import read_file, write_file
 
 WINDOW = 13
-#: Bytes of benchmark texts that are broadcast and searched for at once; more items make more passes.
-BLOCK_BYTES = 4 << 20
+#: Bytes of benchmark texts whose tables are in one block (some 100 bytes of tables for each), and blocks that a worker keeps.
+BLOCK_BYTES, KEPT_BLOCKS = 1 << 20, 2
+#: Bytes of document texts that are searched for one block after the other.
+GROUP_BYTES = 8 << 20
+#: Windows of a bucket that are compared one after the other; in larger ones they are looked up by the words before the suffix.
+FEW = 4
 
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_BUILT: dict = {}
+#: Tables by file, in a worker.
+_LOADED: dict = {}
 
 
 def words(text: str | None) -> list[bytes]:
@@ -38,12 +50,15 @@ class WordSearch:
         self.length, self.block = length, min(2, length)
         self.far = length - self.block + 1
         self.shift: dict[bytes, int] = {}
-        self.buckets: dict[bytes, list] = {}
+        self.buckets: dict[bytes, list | dict] = {}
         for pattern, items in patterns.items():
             for end in range(self.block, length + 1):
                 block = b" ".join(pattern[end - self.block : end])
                 self.shift[block] = min(self.shift.get(block, self.far), length - end)
             self.buckets.setdefault(block, []).append((list(pattern), items))
+        for block, bucket in self.buckets.items():
+            if len(bucket) > FEW:
+                self.buckets[block] = {tuple(pattern[: -self.block]): (pattern, items) for pattern, items in bucket}
 
     def find(self, text: list[bytes]):
         """(end, items) of each occurrence in text, in order."""
@@ -56,7 +71,11 @@ class WordSearch:
                 at += step
                 continue
             first = at - length + 1
-            for pattern, items in self.buckets[block]:
+            bucket = self.buckets[block]
+            if isinstance(bucket, dict):
+                found = bucket.get(tuple(text[first : at - self.block + 1]))
+                bucket = (found,) if found else ()
+            for pattern, items in bucket:
                 if text[first] == pattern[0] and text[first : at + 1] == pattern:
                     yield at, items
             at += 1
@@ -72,55 +91,66 @@ def build(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[Wor
     return [WordSearch(size, patterns) for size, patterns in sorted(by_length.items())]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int):
-    """The benchmark's items in lists of at most limit bytes (or of one item)."""
-    block, size = [], 0
-    for item, text in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text_col).toLocalIterator():
-        block.append((item, text))
-        size += len((text or "").encode()) + 64
-        if size >= limit:
-            yield block
-            block, size = [], 0
-    yield block
+def _tables(folder: str, window: int, limit: int):
+    """Files of tables for at most limit bytes of items each, or for one item."""
 
+    def run(batches):
+        some, held = [], 0
 
-def _pass(items, window: int, keep: list[str], last: bool, first: bool, clean_only: bool, text_col: str, carried: list[str]):
-    marked, named = carried
+        def close():
+            name = write_file(folder, "tables", ".bin", pickle.dumps(build(some, window), pickle.HIGHEST_PROTOCOL))
+            some.clear()
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
 
-    def run(batches):
-        value = items.value
-        if (id(value), window) not in _BUILT:  # a worker keeps the tables from task to task
-            _BUILT.clear()
-            _BUILT[id(value), window] = (value, build(value, window))
-        tables = _BUILT[id(value), window][1]
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            masks = [b""] * len(texts) if first else batch.column(marked).to_pylist()
-            found = [[]] * len(texts) if first else batch.column(named).to_pylist()
-            rows = []
-            for text, mask, had in zip(texts, masks, found, strict=True):
-                w = words(text)
-                marks, ids = bytearray(mask), set(had)
-                for table in tables:
-                    for at, names in table.find(w):
-                        if not marks:
-                            marks = bytearray(len(w))
-                        marks[at - table.length + 1 : at + 1] = b"\1" * table.length
-                        ids |= names
-                rows.append((len(w), bytes(marks), sorted(ids)))
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                size = len((text or "").encode()) + 64
+                if some and held + size > limit:
+                    yield close()
+                    held = 0
+                some.append((item, text))
+                held += size
+        if some:
+            yield close()
+
+    return run
+
+
+def _loaded(folder: str, files: list[str]):
+    """The tables of each file; a worker keeps those of few files from task to task, else one at a time."""
+    for file in files:
+        tables = _LOADED.get((folder, file))
+        if tables is None:
+            if len(_LOADED) >= KEPT_BLOCKS:
+                _LOADED.clear()
+            tables = _LOADED[folder, file] = pickle.loads(read_file(folder, file))
+        yield tables
+
+
+def _search(folder: str, files: list[str], keep: list[str], clean_only: bool, text_col: str):
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, 4096, GROUP_BYTES)):
+            texts = [words(t) for t in batch.column(text_col).to_pylist()]
+            marks: list[bytearray | None] = [None] * len(texts)
+            items: list[set] = [set() for _ in texts]
+            for tables in _loaded(folder, files):
+                for k, w in enumerate(texts):
+                    for table in tables:
+                        for at, names in table.find(w):
+                            if marks[k] is None:
+                                marks[k] = bytearray(len(w))
+                            marks[k][at - table.length + 1 : at + 1] = b"\1" * table.length
+                            items[k] |= names
+            sizes, hits = [len(w) for w in texts], [sum(m) if m else 0 for m in marks]
+            bad = [h > 0 and 20 * h >= n for h, n in zip(hits, sizes, strict=True)]
             columns = [batch.column(c) for c in keep]
-            if not last:
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], [*keep, *carried])
-                continue
-            hits = [sum(r[1]) for r in rows]
-            bad = [h > 0 and 20 * h >= r[0] for h, r in zip(hits, rows, strict=True)]
             if clean_only:
-                whole = pa.RecordBatch.from_arrays(columns, keep)
-                yield whole.filter(pa.array([not b for b in bad]))
+                yield pa.RecordBatch.from_arrays(columns, keep).filter(pa.array([not b for b in bad]))
                 continue
-            sums = [hashlib.sha256(",".join(r[2]).encode()).hexdigest() for r in rows]
-            out = [pa.array([r[0] for r in rows], pa.int64()), pa.array(hits, pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()), pa.array(sums), pa.array(bad, pa.bool_()), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*columns, *out], [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+            names = [sorted(x) for x in items]
+            sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
+            out = [pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(sums), pa.array(bad, pa.bool_()), pa.array(names, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*columns, *out], [*keep, *(f.name for f in _RESULT)])
 
     return run
 
@@ -157,21 +187,20 @@ def search(
 
     A null or empty text has no words and is clean; an item without words has
     no window; a null item_id counts as the id "null"; repeated items are one.
-    An empty benchmark leaves all documents clean. A kept column with the name of
-    a result gives way to it; further columns of either table are not read. The benchmark is broadcast in blocks of
-    block_bytes; each further block is a further pass over the rows.
+    An empty benchmark leaves all documents clean. Rows that repeat a document
+    have equal results, an empty table gives an empty one, a text of any length
+    is read whole. A kept column with the name of a result gives way to it;
+    further columns of either table are not read. The benchmark's tables are
+    files of at most block_bytes of items each; several are read in turn for
+    each GROUP_BYTES of texts, in the one pass over the rows.
     """
-    results = [] if clean_only else _RESULT
-    keep = unlike(docs.columns if keep is None else keep, [f.name for f in results])
-    carried = [T.StructField(free_name("_hit", docs.columns), T.BinaryType()), T.StructField(free_name("_items", docs.columns), T.ArrayType(T.StringType()))]
+    keep = unlike(docs.columns if keep is None else keep, [] if clean_only else [f.name for f in _RESULT])
     fields = {f.name: f for f in docs.schema.fields}
-    kept = [fields[c] for c in keep]
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, item_text, block_bytes)]
-    out = docs.select(*dict.fromkeys([*keep, text_col]))
-    passing = out.columns
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        names = keep if last else passing
-        schema = kept + results if last else [fields[c] for c in passing] + carried
-        out = out.mapInArrow(_pass(block, window, names, last, k == 0, clean_only, text_col, [f.name for f in carried]), T.StructType(schema))
-    return out
+    spark = docs.sparkSession
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("text"))
+    total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    folder = fresh_path(spark, "tables")
+    made = items.repartition(max(1, -(-int(total) // block_bytes))).mapInArrow(_tables(folder, window, block_bytes), "file string")
+    files = sorted(r["file"] for r in staged(made, "blocks").collect())  # one short name for each block
+    schema = T.StructType([fields[c] for c in keep] + ([] if clean_only else _RESULT))
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(_search(folder, files, keep, clean_only, text_col), schema)
