@@ -188,6 +188,45 @@ def test_a_very_long_text_is_searched_whole(spark):
     assert (r["n_words"], r["n_hit"], r["items"]) == (800_009, 9, ["i"])
 
 
+def test_one_row_of_each_group_is_left(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long), (1, long), (1, long.upper()), (2, long), (None, "null ids of five words here"), (None, "null ids of five words here"), (7, ""), (7, ""), (8, None)]
+    docs = make(spark, rows).repartition(3)
+    norm = lambda r: (r["doc_id"], (r["text"] or "").translate(LOWER))
+    left = [norm(r) for r in exact_dedup.drop_copies(docs).collect()]
+    assert Counter(left) == Counter([(2, long), (None, rows[4][1]), (8, "")])
+    left = [norm(r) for r in near_dedup.drop_near_copies(docs).collect()]
+    assert Counter(left) == Counter([(1, long), (None, rows[4][1]), (7, ""), (7, ""), (8, "")])
+
+
+def test_a_very_long_text_among_near_copies(spark):
+    g = random.Random(4)
+    words = [f"w{g.randrange(10**6)}" for _ in range(150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-3])), (3, " ".join(words[:120_000])), (4, "x" * 2_000_000), (5, "x" * 2_000_000)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(make(spark, rows)).collect()}
+    assert got == {1: (149_996, 1), 2: (149_993, 1), 3: (119_996, 3), 4: (1, 4), 5: (1, 4)}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidemark.llm.common import shared_dir
+
+    context = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(context(master))
+
+
+def test_slices_are_bounded_by_bytes():
+    from tidemark.llm.common import slices
+
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 100, None, "y" * 5000, "z", "z" * 60], "n": [1, 2, 3, 4, 5]})
+    parts = list(slices(batch, 4, 200))
+    assert [p.num_rows for p in parts] == [2, 1, 2] and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert [p.num_rows for p in slices(batch, 2)] == [2, 2, 1] and not list(slices(batch.slice(0, 0)))
+
+
 def test_dropping_copies_keeps_columns_of_any_name(spark):
     docs = make(spark, corpus()).withColumnsRenamed({"digest": "_gone", "bucket": "_KEY"})
     for drop in (exact_dedup.drop_copies, near_dedup.drop_near_copies):

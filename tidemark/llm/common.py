@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key that holds one row in so many, or in 4 for each shuffle partition if that is more, is hot; at most so many keys can be.
 HOT_SHARE = 1000
@@ -82,6 +83,30 @@ def free_name(stem: str, names: list[str]) -> str:
     return stem
 
 
+def one_of_each(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows that decisions (doc_id, text_key, kept, group_key) lets go, and one row of each group.
+
+    Where a group keeps several rows because they repeat its doc_id, the least
+    of them by their columns stays. Rows without a group_key all stay. What goes
+    is joined by id and hash of the text, broadcast if it is few rows; beyond
+    that whole rows are shuffled.
+    """
+    doc, key, group, row = (free_name(n, docs.columns) for n in ("_doc", "_key", "_group", "_row"))
+    named = [F.col("doc_id").alias(doc), F.col("text_key").alias(key)]
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & F.xxhash64(text_col).eqNullSafe(F.col(key))
+    left = docs.join(small(staged(decisions.filter(~F.col("kept")).select(*named).distinct(), "gone")), same, "left_anti")
+    kept = decisions.filter(F.col("kept") & F.col("group_key").isNotNull())
+    many = kept.groupBy("group_key").count().filter("count > 1").select("group_key")
+    twins = staged(kept.join(many, "group_key", "left_semi").select(*named, F.col("group_key").alias(group)).distinct(), "twins")
+    if twins.isEmpty():
+        return left
+    marked = left.join(small(twins), same, "left")
+    order = [F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = marked.filter(F.col(group).isNotNull()).groupBy(group).agg(F.min_by(whole, F.struct(*order)).alias(row)).select(f"{row}.*")
+    return marked.filter(F.col(group).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one)
+
+
 def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """rows left-joined with table on keys, where a few keys may hold most of the rows.
 

@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, staged
+from tidemark.llm.common import one_of_each, staged
 
-#: Counters of a Misra-Gries summary: every digest with more than rows / (HITTERS + 1) rows is found.
+#: Counters of a Misra-Gries summary, or 4 for each shuffle partition if that is more: every digest with more than rows / (counters + 1) rows is found.
 HITTERS = 1000
 
 
@@ -73,7 +73,7 @@ def heavy_hitters(rows: DataFrame, key: str = "digest", k: int = HITTERS) -> Dat
     return out if some == 1 else out.repartition(1).mapInArrow(summarise(k, key), schema)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hitters: int = HITTERS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hitters: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256,
     text_key (xxhash64 of the text as it is).
 
@@ -84,6 +84,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of them counts in group_size. Other columns of docs, whatever their names,
     are not read. An empty table gives an empty result.
     """
+    hitters = hitters or max(HITTERS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = staged(text_digests(docs, id_col, text_col), "digests")
     # at most `hitters` digests of 32 bytes: that bounds both broadcasts
     suspects = F.broadcast(staged(heavy_hitters(rows, "digest", hitters).select("digest"), "suspects"))
@@ -105,9 +106,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies; all columns stay. Only the ids of what goes are joined back."""
-    groups = exact_groups(docs, id_col, text_col).filter(~F.col("kept"))
-    gone, key = free_name("_gone", docs.columns), free_name("_key", docs.columns)
-    groups = groups.select(F.col("doc_id").alias(gone), F.col("text_key").alias(key)).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(gone)) & (F.xxhash64(text_col) == F.col(key))
-    return docs.join(groups, same, "left_anti")
+    """docs with one row of each group of equal texts; all columns stay.
+
+    That is the row with the largest doc_id; where several rows have it, or all
+    doc_ids of a group are null, the least of these rows by their columns.
+    """
+    groups = exact_groups(docs, id_col, text_col).select("doc_id", "text_key", "kept", F.unhex("text_sha256").alias("group_key"))
+    return one_of_each(docs, staged(groups, "decisions"), id_col, text_col)

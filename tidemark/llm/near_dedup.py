@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column_words, free_name, join_hot, mix64, slices, staged, word_hashes
+from tidemark.llm.common import column_words, join_hot, mix64, one_of_each, slices, small, staged, word_hashes
 from tidemark.llm.components import components
 
 SHINGLE = 5
@@ -29,9 +29,7 @@ HASHES, BITS = 128, 4
 #: Standard errors by which the estimate may fall short of the threshold: one true link in a million.
 SLACK = 5.0
 #: Classes of one bucket that one call compares; larger buckets are dealt out in pairs of such blocks.
-BLOCK = 1024
-#: Rows of three longs that may be broadcast (some 100 MB); beyond that they are shuffled.
-BROADCAST_ROWS = 2_000_000
+BLOCK = 512
 #: Stands for a null doc_id where ids are ordered: after all others.
 NO_ID = 2**63 - 1
 
@@ -167,9 +165,7 @@ def _confirm(percent: int):
 
 def _class_texts(classes: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     """(cls, text) with the text of one document of each class."""
-    need = staged(classes.join(reps.select("cls", F.col("least.doc").alias("doc"), F.col("least.text_key").alias("key")), "cls"), "need")
-    if need.count() <= BROADCAST_ROWS:
-        need = F.broadcast(need)
+    need = small(staged(classes.join(reps.select("cls", F.col("least.doc").alias("doc"), F.col("least.text_key").alias("key")), "cls"), "need"))
     one = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc")) & (F.col("text_key") == F.col("key"))
     return staged(rows.join(need, one).select("cls", "text").dropDuplicates(["cls"]), "texts")
 
@@ -284,7 +280,7 @@ def _between(members: DataFrame, groups: DataFrame, reps: DataFrame, rows: DataF
 
 
 def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept, text_key (xxhash64 of the text).
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, text_key (xxhash64 of the text), group_key (a number of the group, null for empty sets).
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a
     text's set is its distinct SHINGLE-word shingles, or its whole sequence of
@@ -304,9 +300,9 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     sigs = staged(signatures(docs, id_col, text_col), "signatures")
     total = sigs.count()
     classes = sigs.filter(F.col("set_key").isNotNull()).groupBy("set_key")
-    # a class is named by a hash of its set; the set's size and both hashes tell sets apart
+    # sets are told apart by 128 bits of hash; a class is numbered, and the numbers hold once they are written
     classes = classes.agg(F.count("*").alias("size"), F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text_key")).alias("least"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
-    reps = staged(classes.withColumn("cls", F.conv(F.substring("set_key", 1, 16), 16, -10).cast("long")), "classes")
+    reps = staged(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     banded = reps.select("cls", F.posexplode("bands").alias("band", "value")).select("cls", F.xxhash64("band", "value").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -330,16 +326,18 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     least = F.nullif(F.min("least.doc"), F.lit(NO_ID))
     names = table.groupBy("component").agg(least.alias("component_id"), F.count("*").alias("classes"))
     table = join_hot(table, staged(names, "names"), ["component"], "classes", total)
-    table = staged(table.select("set_key", "size", "component_id"), "table")
+    table = staged(table.select("set_key", "size", "component_id", F.col("component").alias("group_key")), "table")
     both = join_hot(sigs.select("doc_id", "text_key", "n_shingles", "set_key"), table, ["set_key"], "size", total)
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return both.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key")
+    return both.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key", "group_key")
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group; all columns stay. Only the ids that go are joined back."""
-    groups = near_groups(docs, percent, id_col, text_col).filter(~F.col("kept"))
-    gone, key = free_name("_gone", docs.columns), free_name("_key", docs.columns)
-    groups = groups.select(F.col("doc_id").alias(gone), F.col("text_key").alias(key)).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(gone)) & (F.xxhash64(text_col) == F.col(key))
-    return docs.join(groups, same, "left_anti")
+    """docs with one row of each group; all columns stay.
+
+    That is the row with the smallest doc_id; where several rows have it, or all
+    doc_ids of a group are null, the least of these rows by their columns. Texts
+    without words are in no group and all stay.
+    """
+    groups = near_groups(docs, percent, id_col, text_col).select("doc_id", "text_key", "kept", "group_key")
+    return one_of_each(docs, staged(groups, "decisions"), id_col, text_col)
