@@ -264,6 +264,37 @@ def test_languages(spark):
     assert got.count() == len(rows)
 
 
+def test_any_number_of_languages(spark):
+    g = random.Random(3)
+    own = {f"l{k:03d}": ["".join(g.choice("abcdefghij") for _ in range(4)) for _ in range(12)] for k in range(600)}
+    rows = [(k * 600 + j, " ".join(g.choices(words, k=30)), lang) for j, (lang, words) in enumerate(own.items()) for k in range(2)] + [(None, "aaaa bbbb", "l000"), (None, "cccc", "digits"), (None, "12", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, whole = language_id.fit(docs), language_id.fit(docs, block_langs=10_000)
+    assert len(model.langs) == 602 and len(model.files) == 10 and whole.langs == model.langs and not whole.files
+    ask = spark.createDataFrame([(k, " ".join(g.choices(own[lang], k=20)), lang) for k, lang in enumerate(list(own)[::20])] + [(900, " ".join(own["l001"] + own["l002"]), None)], "doc_id long, text string, real string")
+    got = language_id.predict(ask, model).orderBy("doc_id").collect()
+    assert got == language_id.predict(ask, whole).orderBy("doc_id").collect()
+    assert sum(r["lang_pred"] == r["real"] for r in got) >= 28 and [x["lang"] for x in got[-1]["spans"]] == ["l001", "l002"]
+
+
+def test_counts_of_features_are_those_of_brute_force():
+    texts = ["abc ab", None, "αβ a1b", "", "x"]
+    batch = pa.RecordBatch.from_pydict({"lang": pa.array(["p", "p", "q", "q", "r"]), "text": pa.array(texts)})
+    got = Counter()
+    for b in language_id._count([batch]):
+        for r in b.to_pylist():
+            got[r["lang"], r["feature"]] += r["n"]
+    expected = Counter()
+    for lang, text in zip(batch.column("lang").to_pylist(), texts, strict=True):
+        w = language_id.Words([text])
+        for k, x in enumerate(w.triple.tolist()):
+            expected[lang, x] += 1
+            expected[lang, language_id.BUCKETS + int(w.pair[k])] += 1
+        for script, n in zip(w.script.tolist(), w.lengths.tolist(), strict=True):
+            expected[lang, 2 * language_id.BUCKETS + script] += n
+    assert +got == +expected and {x[0] for x in got} == {"p", "q", "r"}
+
+
 def brute_viterbi(s, pen):
     best = None
     import itertools

@@ -5,29 +5,37 @@ triples in it. Languages that do not use the word's script are out of question
 for it. Viterbi over a text's words, with a penalty for changing the language
 between neighbours, labels spans; the language with most letters is the text's.
 The tables are counts over a bounded sample of labelled texts, made in tasks.
+They stand in blocks of a bounded number of languages: one is broadcast, of
+several each is a file that a worker reads in turn.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import unlike
+from tidemark.llm.common import fresh_path, slices, small, staged, unlike
+from tidemark.llm.files import read_file, write_file
 
 #: Texts of a language that are learned from, about: those with the least hash of their id.
 MAX_TRAIN_DOCS = 3000
-#: Languages that a model may have; its tables take half a megabyte for each.
-MAX_LANGS = 500
+#: Languages in a block of tables, which take half a megabyte for each.
+BLOCK_LANGS = 64
+#: Scores of words that a task holds at once, but for those of one text.
+HELD_SCORES = 8 << 20
+#: Letters that are looked up at once.
+LETTERS = 1 << 16
 #: Log probability that a change of language between two words costs.
 SWITCH = 12.0
 #: A language uses a script if so large a share of its letters is in it.
 SCRIPT_SHARE = 0.005
 #: Hash buckets of character pairs and triples.
 BUCKETS = 1 << 16
+#: Number of the first script's letters among a language's counts; pairs' features come after those of triples.
+_SCRIPT = 2 * BUCKETS
 #: Added to each bucket's count.
 ADDED = 0.5
 UNKNOWN = "und"
@@ -110,22 +118,59 @@ class Words:
         return len(self.starts)
 
 
-class LanguageModel:
-    """Tables by feature and language; some megabytes for a hundred languages."""
+class Tables:
+    """Logarithms by feature and language of a block of languages, and where their scripts bar them."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray):
-        self.langs = langs
+    def __init__(self, counts: np.ndarray, scripts: np.ndarray):
         shares = (counts + ADDED) / (counts.sum(axis=1, keepdims=True) + ADDED * counts.shape[1])
         self.logs = np.ascontiguousarray(np.log(shares).T.astype(np.float32))
-        used = scripts / np.maximum(1, scripts.sum(axis=1, keepdims=True)) >= SCRIPT_SHARE
-        #: By script and language: 0 where a language may be, else far below.
-        self.bars = np.where(used.T | ~used.T.any(axis=1, keepdims=True), 0.0, -1e4).astype(np.float32)
+        #: By language and script: whether the language uses it.
+        self.used = scripts / np.maximum(1, scripts.sum(axis=1, keepdims=True)) >= SCRIPT_SHARE
+
+    def word_scores(self, w: Words, known: np.ndarray) -> np.ndarray:
+        """Scores by word and language; known: by script, whether any language of the model uses it."""
+        out = np.zeros((len(w), self.logs.shape[1]), np.float32)
+        ends = w.starts + w.lengths
+        bars = np.where(self.used.T | ~known[:, None], 0.0, -1e4).astype(np.float32)
+        low = 0
+        while low < len(w):  # a bounded number of letters at a time
+            high = max(low + 1, int(np.searchsorted(ends, w.starts[low] + LETTERS, "right")))
+            a, b = int(w.starts[low]), int(ends[high - 1])
+            letters = self.logs[w.triple[a:b]] + self.logs[w.pair[a:b] + BUCKETS]
+            out[low:high] = np.add.reduceat(letters, w.starts[low:high] - a, axis=0) + bars[w.script[low:high]]
+            low = high
+        return out
+
+    def to_bytes(self) -> bytes:
+        return np.array(self.logs.shape, "<i8").tobytes() + self.logs.astype("<f4").tobytes() + np.packbits(self.used, axis=None).tobytes()
+
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> Tables:
+        rows, n = np.frombuffer(blob, "<i8", 2).tolist()
+        out = cls.__new__(cls)
+        out.logs = np.frombuffer(blob, "<f4", rows * n, 16).reshape(rows, n)
+        bits = np.unpackbits(np.frombuffer(blob, np.uint8, offset=16 + 4 * rows * n))
+        out.used = bits[: n * len(_NAMES)].reshape(n, len(_NAMES)).astype(bool)
+        return out
+
+
+class LanguageModel:
+    """The languages in order of their names, and their tables in blocks: one block here, several in files under folder."""
+
+    def __init__(self, langs: list[str], tables: Tables | None, known: np.ndarray, folder: str = "", files: list[str] | None = None):
+        self.langs, self.tables, self.known, self.folder, self.files = langs, tables, known, folder, files or []
 
     def word_scores(self, w: Words) -> np.ndarray:
-        if not len(w):
-            return np.zeros((0, len(self.langs)), np.float32)
-        letters = self.logs[w.triple] + self.logs[w.pair + BUCKETS]
-        return np.add.reduceat(letters, w.starts, axis=0) + self.bars[w.script]
+        if not len(w) or not self.langs:
+            return np.zeros((len(w), max(1, len(self.langs))), np.float32)
+        if self.tables is not None:
+            return self.tables.word_scores(w, self.known)
+        out, at = np.empty((len(w), len(self.langs)), np.float32), 0
+        for file in self.files:
+            block = Tables.from_bytes(read_file(self.folder, file))
+            out[:, at : at + block.logs.shape[1]] = block.word_scores(w, self.known)
+            at += block.logs.shape[1]
+        return out
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -159,43 +204,68 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
 
 
 def _count(batches):
-    sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-        for lang in set(langs):
-            own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
-            counts, scripts = sums.setdefault(lang, (np.zeros(2 * BUCKETS, np.int64), np.zeros(len(_NAMES), np.int64)))
-            for k in range(0, len(own), 256):
-                w = Words(own[k : k + 256])
-                counts += np.bincount(w.triple, minlength=2 * BUCKETS) + np.bincount(w.pair + BUCKETS, minlength=2 * BUCKETS)
-                scripts += np.bincount(w.script, weights=w.lengths, minlength=len(_NAMES)).astype(np.int64)
-    for lang, (counts, scripts) in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([counts.tobytes()], pa.binary()), pa.array([scripts.tobytes()], pa.binary())], ["lang", "counts", "scripts"])
-
-
-def _add(table: pa.Table) -> pa.Table:
-    sums = [sum(np.frombuffer(b, np.int64) for b in table.column(c).to_pylist()) for c in ("counts", "scripts")]
-    return pa.table({"lang": [table.column("lang")[0].as_py()], "counts": pa.array([sums[0].tobytes()], pa.binary()), "scripts": pa.array([sums[1].tobytes()], pa.binary())})
-
-
-def fit(docs: DataFrame, train=None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS) -> LanguageModel:
+    """(lang, feature, n) of texts: how often a language has a feature; a few hundred thousand counts at most stand in a batch."""
+    for batch in (part for whole in batches for part in slices(whole, 256, 1 << 20)):
+        langs, own = np.unique(np.array(batch.column("lang").to_pylist(), object), return_inverse=True)
+        w = Words(batch.column("text").to_pylist())
+        of_word = np.repeat(own, np.diff(w.texts))
+        of_letter = np.repeat(of_word, w.lengths)
+        width = _SCRIPT + len(_NAMES)
+        keys = np.concatenate([of_letter * width + w.triple, of_letter * width + BUCKETS + w.pair, np.repeat(of_word * width + _SCRIPT + w.script, w.lengths)])
+        keys, n = np.unique(np.concatenate([keys, np.arange(len(langs)) * width + _SCRIPT]), return_counts=True)
+        n[np.searchsorted(keys, np.arange(len(langs)) * width + _SCRIPT)] -= 1  # so that a language without letters is learned too
+        yield pa.RecordBatch.from_arrays([pa.array(langs[keys // width], pa.string()), pa.array(keys % width, pa.int32()), pa.array(n, pa.int64())], ["lang", "feature", "n"])
+
+
+def _dense(rows) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by language and feature, and by language and script, of (features, counts) in binary."""
+    every = np.zeros((len(rows), _SCRIPT + len(_NAMES)), np.int64)
+    for k, (features, counts) in enumerate(rows):
+        every[k, np.frombuffer(features, "<i4")] = np.frombuffer(counts, "<i8")
+    return every[:, :_SCRIPT], every[:, _SCRIPT:]
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """One language's counts in one row, and its scripts."""
+    features, counts = table.column("feature").to_numpy().astype("<i4"), table.column("n").to_numpy().astype("<i8")
+    scripts = Tables(*_dense([(features.tobytes(), counts.tobytes())])).used[0]
+    return pa.table({"lang": [table.column("lang")[0].as_py()], "features": pa.array([features.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "scripts": pa.array([np.flatnonzero(scripts).tolist()], pa.list_(pa.int32()))})
+
+
+def _write_block(folder: str):
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("lang").to_pylist(), table.column("features").to_pylist(), table.column("counts").to_pylist(), strict=True))
+        name = write_file(folder, "languages", ".bin", Tables(*_dense([r[1:] for r in rows])).to_bytes())
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "file": [name]})
+
+    return run
+
+
+def fit(docs: DataFrame, train=None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS, block_langs: int = BLOCK_LANGS) -> LanguageModel:
     """A model from about max_docs texts of each language among the rows that ``train`` (a condition) lets in.
 
-    Null texts and languages are left out. The tables of a language are added
-    up over tasks by language.
+    Null texts and languages are left out; a row without id is drawn by its
+    text. Counts are added up by language and feature. Any number of languages
+    is learned; the driver holds their names and one block of tables.
     """
     rows = docs if train is None else docs.filter(F.coalesce(train, F.lit(True)))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")).filter("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count()
+    drawn = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), drawn.alias("drawn")).filter("lang is not null and text is not null")
     grid = 1 << 20
-    if len(sizes.limit(MAX_LANGS + 1).collect()) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    shares = sizes.select("lang", F.least(F.lit(grid), F.ceil(F.lit(float(max_docs) * grid) / F.col("count"))).alias("share"))
-    some = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(grid)) < F.col("share"))
-    kinds = "lang string, counts binary, scripts binary"
-    found = sorted(some.select("lang", "text").mapInArrow(_count, kinds).groupBy("lang").applyInArrow(_add, kinds).collect(), key=lambda r: r["lang"])
-    stack = lambda c, n: np.stack([np.frombuffer(r[c], np.int64) for r in found]) if found else np.zeros((0, n), np.int64)
-    return LanguageModel([r["lang"] for r in found], stack("counts", 2 * BUCKETS), stack("scripts", len(_NAMES)))
+    shares = rows.groupBy("lang").count().select("lang", F.least(F.lit(grid), F.ceil(F.lit(float(max_docs) * grid) / F.col("count"))).alias("share"))
+    some = rows.join(small(staged(shares, "shares")), "lang").filter(F.pmod("drawn", F.lit(grid)) < F.col("share"))
+    summed = some.select("lang", "text").mapInArrow(_count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    table = staged(summed.groupBy("lang").applyInArrow(_pack, "lang string, features binary, counts binary, scripts array<int>"), "languages")
+    langs = sorted(r["lang"] for r in table.select("lang").collect())
+    known = np.zeros(len(_NAMES), bool)
+    known[[r[0] for r in table.select(F.explode("scripts")).distinct().collect()]] = True
+    if len(langs) <= block_langs:
+        found = sorted(table.select("lang", "features", "counts").toLocalIterator(), key=lambda r: r["lang"])
+        return LanguageModel(langs, Tables(*_dense([r[1:] for r in found])) if found else None, known)
+    folder = fresh_path(docs.sparkSession, "languages")
+    numbered = docs.sparkSession.createDataFrame([(lang, k // block_langs) for k, lang in enumerate(langs)], "lang string, block int")
+    made = staged(table.join(numbered, "lang").select("block", "lang", "features", "counts").groupBy("block").applyInArrow(_write_block(folder), "block int, file string"), "blocks")
+    return LanguageModel(langs, None, known, folder, [r["file"] for r in made.orderBy("block").collect()])
 
 
 _SPAN = T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -204,33 +274,30 @@ _SPAN = T.StructType([T.StructField("lang", T.StringType()), T.StructField("star
 def _predict(sent, keep: list[str], text_col: str, spans: bool, switch: float):
     def run(batches):
         m = sent.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                texts = batch.column(text_col).to_pylist()
-                n = len(m.langs)
-                scores, first, lengths, offsets = [np.zeros((0, max(1, n)), np.float32)], [0], [], []
-                for k in range(0, len(texts), 256):
-                    w = Words(texts[k : k + 256])
-                    scores.append(m.word_scores(w) if n else np.zeros((len(w), 1), np.float32))
-                    first += (w.texts[1:] + first[-1]).tolist()
-                    lengths.append(w.lengths)
-                    offsets.append(w.offsets)
-                scores, first = np.concatenate(scores), np.array(first)
-                lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-                lang = viterbi(scores, first, switch)
-                text = np.repeat(np.arange(len(texts)), np.diff(first))
-                letters = np.bincount(text * max(1, n) + lang, weights=lengths, minlength=len(texts) * max(1, n)).reshape(len(texts), max(1, n))
-                total = letters.sum(axis=1)
-                best = letters.argmax(axis=1)
-                share = letters[np.arange(len(texts)), best] / np.maximum(1, total)
-                names = [m.langs[b] if t and n else UNKNOWN for b, t in zip(best.tolist(), total.tolist(), strict=True)]
-                columns = [*(batch.column(c) for c in keep), pa.array(names), pa.array(np.where(total > 0, share, 0.0) if n else np.zeros(len(texts)))]
-                out = [*keep, "lang_pred", "score"]
-                if spans:
-                    columns.append(pa.array(_spans(m.langs or [UNKNOWN], lang, first, np.concatenate(offsets), lengths), pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))))
-                    out.append("spans")
-                yield pa.RecordBatch.from_arrays(columns, out)
+        n = max(1, len(m.langs))
+        for batch in (part for whole in batches for part in slices(whole, 4096, max(1 << 16, min(1 << 20, 4 * HELD_SCORES // n)))):
+            texts = batch.column(text_col).to_pylist()
+            w = Words(texts)
+            first = w.texts
+            lang = viterbi(m.word_scores(w), first, switch)
+            text = np.repeat(np.arange(len(texts)), np.diff(first))
+            seen, at = np.unique(text * n + lang, return_inverse=True)
+            letters = np.bincount(at, weights=w.lengths, minlength=len(seen)).astype(np.int64)
+            of = seen // n
+            total = np.bincount(of, weights=letters, minlength=len(texts)).astype(np.int64)
+            order = np.lexsort((seen % n, -letters, of))  # by text, the language with most letters first, of equal ones the first by name
+            top = order[np.flatnonzero(np.concatenate([[True], np.diff(of[order]) > 0]))] if len(seen) else order
+            best, share = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            best[of[top]] = seen[top] % n
+            share[of[top]] = letters[top] / np.maximum(1, total[of[top]])
+            learned = bool(m.langs)
+            names = [m.langs[b] if t and learned else UNKNOWN for b, t in zip(best.tolist(), total.tolist(), strict=True)]
+            columns = [*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(share if learned else np.zeros(len(texts)))]
+            out = [*keep, "lang_pred", "score"]
+            if spans:
+                columns.append(pa.array(_spans(m.langs or [UNKNOWN], lang, first, w.offsets, w.lengths), pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))))
+                out.append("spans")
+            yield pa.RecordBatch.from_arrays(columns, out)
 
     return run
 
@@ -254,8 +321,10 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
 
     score is the share of the text's letters in spans of lang_pred. A null text,
     or one without letters, is UNKNOWN with score 0 and no spans, as is every
-    text if nothing was learned. Ties go to the first language by name. A
-    kept column with the name of a result gives way to it.
+    text if nothing was learned. Ties go to the first language by name. Rows
+    that repeat a text have equal results, an empty table gives an empty one, a
+    text of any length is read whole. A kept column with the name of a result
+    gives way to it.
     """
     results = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + ([T.StructField("spans", T.ArrayType(_SPAN))] if spans else [])
     keep = unlike(docs.columns if keep is None else keep, [f.name for f in results])
