@@ -150,7 +150,9 @@ def test_lm_scores(spark, frequent, block):
         text = next(t for i, t in rows if i == r["doc_id"])
         if r["n_tokens"] == len(tokens(text)):
             w = tokens(text)
-            p = [0.25 * pairs[a, b] / (len(learn) if a == "<s>" else max(1, c[a])) + 0.75 * (c[b] + 0.1) / (n + 0.1 * (v + 1)) for a, b in zip(["<s>", *w[:-1]], w, strict=True)]
+            seen = lambda a: len(learn) if a == "<s>" else c[a]
+            own = lambda a: 0.5 * seen(a) / (seen(a) + 1)
+            p = [own(a) * pairs[a, b] / max(1, seen(a)) + (1 - own(a)) * (c[b] + 0.1) / (n + 0.1 * (v + 1)) for a, b in zip(["<s>", *w[:-1]], w, strict=True)]
             assert abs(r["score"] - sum(map(math.log10, p))) <= 0.12 * len(w) + 1e-9
     expected = Counter()
     for i, t in rows:
@@ -159,6 +161,32 @@ def test_lm_scores(spark, frequent, block):
     assert got == expected
 
 
+def test_probabilities_of_what_may_follow_sum_to_one():
+    learn = [tokens(t) for t in ("a b a c", "a b", "d")]
+    c = Counter(x for t in learn for x in t)
+    pairs = Counter(p for t in learn for p in zip(["<s>", *t[:-1]], t, strict=True))
+    n, kinds = sum(c.values()), [*c, b"unknown"]
+    for before in ["<s>", b"a", b"b", b"d", b"never"]:
+        seen = len(learn) if before == "<s>" else c[before]
+        p = lm_scoring.probabilities(np.array([c[w] for w in kinds], float), np.array([pairs[before, w] for w in kinds], float), np.full(len(kinds), float(seen)), (0.1, n + 0.1 * len(kinds)))
+        assert math.isclose(p.sum(), 1.0) and (p > 0).all()
+
+
+def test_a_bucket_asked_for_a_lot_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "ASKED_BYTES", 64)
+    rows = [(k, "hot cold " * (1 + k % 5) + f"w{k % 7}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    model = lm_scoring.train(docs)
+    few, all_ = (lm_scoring.score(docs, model, frequent=f).select("doc_id", "n_known", F.round("base_score", 6)) for f in (1, 1000))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, all_.collect()))
+
+
+def test_a_very_long_text_is_scored_whole(spark):
+    docs = spark.createDataFrame([(1, "one two three " * 300_000), (2, "x" * 3_000_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in lm_scoring.score(docs, lm_scoring.train(docs)).collect()}
+    assert got == {1: 900_001, 2: 2}
+
+
 def test_lm_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = lm_scoring.score(docs, lm_scoring.train(docs.limit(0))).first()

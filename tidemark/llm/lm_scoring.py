@@ -4,41 +4,50 @@ Tokens are words and one end mark a text. Unigram and bigram counts of the
 training texts are quantised on a logarithmic scale, and an n-gram of level q
 is put into a Bloom filter q times, once for each level up to its own; a count
 is read back by probing level after level until one is missing. The filter is
-made in buckets by hash, broadcast in blocks of bounded size, and every token's
-probability is an interpolation of the bigram and unigram shares so read.
+made in buckets by hash, as many as the texts' bytes ask for. It is broadcast
+if it is one block of bounded size; several blocks are files that a worker reads
+in turn. A token's probability is a mean of the bigram and unigram shares so
+read, in which the bigram weighs more the more often its context was seen, and
+nothing where it never was.
 
 Exact unigram counts stay in tables by bucket; they give the base scores. The
-most frequent words, a bounded number, are broadcast, the others are looked up
-by a shuffle on the bucket.
+most frequent words, a bounded number, are broadcast; words that the filter does
+not hold were never learned; the others are looked up by a shuffle on the bucket.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column_words, mix64, slices, staged
+from tidemark.llm.common import column_words, fresh_path, mix64, slices, small, staged
+from tidemark.llm.files import read_file, write_file
 
 #: A level holds counts up to this factor apart.
 LOG_BASE = 1.5
 #: Filter bits for an entry and level; bits that one sets, all in one 64-bit word.
 ENTRY_BITS, SET_BITS = 10, 4
-#: Weight of the bigram share.
-BIGRAM_WEIGHT = 0.25
+#: The most that the bigram share weighs; after a context of c tokens it weighs c / (c + 1) of that.
+BIGRAM_WEIGHT = 0.5
 #: Added to each count of the base model.
 ADDED = 0.1
-#: Bytes of filter that are broadcast at once and held by a task; a larger one is broadcast in several blocks.
+#: Bytes of training text for each bucket of n-grams.
+BUCKET_TEXT = 4 << 20
+#: Bytes of filter that are broadcast, and that a task holds at once; a larger one is dealt out in files, by even ranges of buckets.
 BLOCK_BYTES = 128 << 20
 #: Bytes of text that a task probes one block for at once, and several blocks, which it reads again for each such group.
 GROUP_BYTES = 1 << 20, 16 << 20
+#: Bytes of words asked for that one call looks up; a bucket of more is dealt out over several.
+ASKED_BYTES = 16 << 20
 #: Words whose exact counts are broadcast (16 bytes each): the most frequent.
 FREQUENT = 1_000_000
 #: Tokens after which a task hands on what it has counted.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 _END, _START = np.uint64(0xA24BAED4963EE407), np.uint64(0x8CB92BA72F3D8DD7)
 _LEVEL = np.uint64(0xD1342543DE82EF95)
@@ -220,38 +229,57 @@ class Model:
         self.bytes = sum(r["bytes"] for r in sums)
 
 
-def _buckets(spark) -> int:
-    """A power of two: some buckets for each shuffle partition, so that one holds no more than a partition should."""
-    return 1 << max(6, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+def _buckets(spark, size: int) -> int:
+    """A power of two: some buckets for each shuffle partition, and so many that each has a bounded part of size bytes of text."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return 1 << max(6, (2 * parts - 1).bit_length(), (size // BUCKET_TEXT).bit_length())
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Count the unigrams and bigrams of all texts of docs (null: empty) and build the filter's buckets."""
-    buckets = _buckets(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"))
+    texts, size = rows.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
+    buckets = _buckets(docs.sparkSession, size or 0)
     counted = rows.mapInArrow(_count(buckets), _COUNTED)
     table = staged(counted.groupBy("kind", "bucket").applyInArrow(_reduce, _MODEL), "lm")
-    return Model(table, buckets, rows.count())
-
-
-def _blocks(model: Model, limit: int):
-    """The filter in blocks of buckets of at most limit bytes (or of one bucket)."""
-    sizes = {(r["kind"], r["bucket"]): r["n"] // 8 for r in model.table.select("kind", "bucket", F.length("filter").alias("n")).collect()}
-    low = 0
-    while low < model.buckets:
-        high, held = low, 0
-        while high < model.buckets and (high == low or held + 8 * sum(sizes.get((k, high), 1) for k in (0, 1)) <= limit):
-            held += 8 * sum(sizes.get((k, high), 1) for k in (0, 1))
-            high += 1
-        size = [np.array([sizes.get((k, b), 1) for b in range(low, high)], np.int64) for k in (0, 1)]
-        start = [np.cumsum(s) - s for s in size]
-        words = [np.zeros(int(s.sum()), np.uint64) for s in size]
-        part = model.table.filter((F.col("bucket") >= low) & (F.col("bucket") < high)).select("kind", "bucket", "filter")
-        for r in part.toLocalIterator():
-            at = int(start[r["kind"]][r["bucket"] - low])
-            words[r["kind"]][at : at + len(r["filter"]) // 8] = np.frombuffer(r["filter"], "<u8")
-        yield Filter(model.buckets, low, high, words, start, size)
-        low = high
+    return Model(table, buckets, texts)
+
+
+def _filter(buckets: int, low: int, high: int, rows: list[tuple[int, int, bytes]]) -> Filter:
+    """The filter of a range of buckets from (kind, bucket, words)."""
+    size = [np.ones(high - low, np.int64) for _ in (0, 1)]
+    for kind, bucket, blob in rows:
+        size[kind][bucket - low] = len(blob) // 8
+    start = [np.cumsum(n) - n for n in size]
+    words = [np.zeros(int(n.sum()), np.uint64) for n in size]
+    for kind, bucket, blob in rows:
+        at = int(start[kind][bucket - low])
+        words[kind][at : at + len(blob) // 8] = np.frombuffer(blob, "<u8")
+    return Filter(buckets, low, high, words, start, size)
+
+
+def _write_block(folder: str, buckets: int, shift: int):
+    def run(table: pa.Table) -> pa.Table:
+        k = table.column("block")[0].as_py()
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "filter")), strict=True))
+        name = write_file(folder, "filter", ".bin", pickle.dumps(_filter(buckets, k << shift, (k + 1) << shift, rows), pickle.HIGHEST_PROTOCOL))
+        return pa.table({"block": pa.array([k], pa.int32()), "file": [name]})
+
+    return run
+
+
+def _blocks(model: Model, limit: int) -> list:
+    """The filter in blocks of about limit bytes: a broadcast if it is one, else (folder, file) of each."""
+    spark = model.table.sparkSession
+    rows = model.table.select("kind", "bucket", "filter")
+    count = min(model.buckets, 1 << max(0, -(-model.bytes // limit) - 1).bit_length())
+    if count == 1:
+        found = [(r["kind"], r["bucket"], r["filter"]) for r in rows.toLocalIterator()]
+        return [spark.sparkContext.broadcast(_filter(model.buckets, 0, model.buckets, found))]
+    shift = (model.buckets // count).bit_length() - 1
+    folder = fresh_path(spark, "filter")
+    made = rows.withColumn("block", F.shiftright("bucket", shift)).groupBy("block").applyInArrow(_write_block(folder, model.buckets, shift), "block int, file string")
+    return [(folder, r["file"]) for r in staged(made, "blocks").orderBy("block").collect()]
 
 
 def _frequent(limit_power: int):
@@ -297,7 +325,15 @@ def _groups(batches, limit: int):
 def _values(blocks):
     """The filter's blocks one after the other; a worker keeps one only if there is no other."""
     for block in blocks:
-        yield block.value if len(blocks) == 1 else block.load_from_path(block._path)
+        yield pickle.loads(read_file(*block)) if isinstance(block, tuple) else block.value
+
+
+def probabilities(single: np.ndarray, double: np.ndarray, context: np.ndarray, base: tuple[float, float], weight: float = BIGRAM_WEIGHT) -> np.ndarray:
+    """Of tokens, from their counts, those of the bigrams they end and those of what stands before them."""
+    added, norm = base
+    context = np.maximum(context, double)
+    own = weight * context / (context + 1)
+    return own * double / np.maximum(1.0, context) + (1 - own) * (single + added) / norm
 
 
 def _probe(blocks, buckets: int, frequent, base: tuple[float, float, int], weight: float):
@@ -321,15 +357,15 @@ def _probe(blocks, buckets: int, frequent, base: tuple[float, float, int], weigh
             context = np.empty(len(t))
             context[1:] = single[:-1]
             context[edges[:-1]] = texts
-            share = np.minimum(1.0, double / np.maximum(1.0, np.maximum(context, double)))
-            p = weight * share + (1 - weight) * (single + added) / norm
+            p = probabilities(single, double, context, (added, norm), weight)
             starts = edges[:-1]
             score = np.add.reduceat(np.log10(p), starts)
             h, n = frequent.value
             at = np.minimum(np.searchsorted(h, t), max(0, len(h) - 1))
             known = h[at] == t if len(h) else np.zeros(len(t), bool)
-            logs = np.where(known, np.log10((np.where(known, n[at] if len(h) else 0, 0) + added) / norm), 0.0)
-            rest = [t[a:b][~known[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            asked = ~known & (single > 0)  # the filter misses nothing: what it does not hold has a count of 0
+            logs = np.where(asked, 0.0, np.log10((np.where(known, n[at] if len(h) else 0, 0) + added) / norm))
+            rest = [t[a:b][asked[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id").combine_chunks(), pa.array(np.diff(edges)), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(logs, starts)), pa.array(score), pa.array(rest, pa.binary())],
                 ["doc_id", "n_tokens", "n_known", "base_score", "score", "rest"],
@@ -339,7 +375,7 @@ def _probe(blocks, buckets: int, frequent, base: tuple[float, float, int], weigh
 
 
 def _deal(buckets: int):
-    """Words outside the frequent ones, with their rows' numbers, by bucket."""
+    """Words that are to be looked up, with their rows' numbers, by bucket."""
 
     def run(batches):
         for whole in batches:
@@ -388,19 +424,24 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
     the unigram model with ADDED added to exact counts (one more kind of word
     standing for all unknown ones). A null or empty text is its end mark alone.
     A model of no texts gives every token the same probability. Rows that
-    repeat a doc_id are scored apart; other columns are not read.
+    repeat a doc_id are scored apart, an empty table gives an empty result, a
+    text of any length is read whole; other columns are not read.
     """
-    spark = docs.sparkSession
     base = (ADDED, model.total + ADDED * (model.distinct + 1), model.texts)
-    sent = spark.sparkContext.broadcast(frequent_words(model, frequent))
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_words(model, frequent))
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = [spark.sparkContext.broadcast(block) for block in _blocks(model, block_bytes)]
-    scored = out.mapInArrow(_probe(blocks, model.buckets, sent, base, weight), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rest binary")
+    scored = out.mapInArrow(_probe(_blocks(model, block_bytes), model.buckets, sent, base, weight), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rest binary")
     scored = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     asked = scored.filter(F.length("rest") > 0).select("row", "rest").mapInArrow(_deal(model.buckets), "kind int, bucket int, hashes binary, counts binary")
-    known = model.table.filter("kind = 0").select("kind", "bucket", "hashes", "counts")
-    found = asked.unionByName(known).groupBy("bucket").applyInArrow(_look_up(base), "row long, more_known long, more_base double")
+    asked = staged(asked, "asked")
+    # a bucket that is asked for a lot, as one word may be, is dealt out over several calls, each with its counts
+    parts = asked.groupBy("bucket").agg(F.ceil(F.sum(F.length("hashes")) / F.lit(ASKED_BYTES)).cast("int").alias("parts"))
+    parts = small(staged(parts.filter("parts > 1"), "parts"))
+    several = lambda rows: rows.join(parts, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    asked = several(asked).withColumn("part", F.pmod(F.xxhash64("counts"), "parts").cast("int"))
+    known = several(model.table.filter("kind = 0").select("kind", "bucket", "hashes", "counts")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    found = asked.unionByName(known).drop("parts").groupBy("bucket", "part").applyInArrow(_look_up(base), "row long, more_known long, more_base double")
     more = found.groupBy("row").agg(F.sum("more_known").alias("more_known"), F.sum("more_base").alias("more_base"))
     both = scored.drop("rest").join(more, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
