@@ -45,7 +45,7 @@ GROUP_BYTES = 1 << 20, 16 << 20
 #: Bytes of words asked for that one call looks up; a bucket of more is dealt out over several.
 ASKED_BYTES = 16 << 20
 #: Words whose exact counts are broadcast (16 bytes each): the most frequent.
-FREQUENT = 1_000_000
+FREQUENT = 500_000
 #: Tokens after which a task hands on what it has counted.
 FLUSH = 1_000_000
 
@@ -176,6 +176,7 @@ def _count(buckets: int):
                 if held >= FLUSH:
                     yield from flush(kept)
                     kept, held = [[], []], 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from flush(kept)
 
@@ -245,11 +246,11 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     return Model(table, buckets, texts)
 
 
-def _filter(buckets: int, low: int, high: int, rows: list[tuple[int, int, bytes]]) -> Filter:
-    """The filter of a range of buckets from (kind, bucket, words)."""
+def _filter(buckets: int, low: int, high: int, sizes, rows) -> Filter:
+    """The filter of a range of buckets from (kind, bucket, bytes of words) and (kind, bucket, words), which are read once each."""
     size = [np.ones(high - low, np.int64) for _ in (0, 1)]
-    for kind, bucket, blob in rows:
-        size[kind][bucket - low] = len(blob) // 8
+    for kind, bucket, n in sizes:
+        size[kind][bucket - low] = n // 8
     start = [np.cumsum(n) - n for n in size]
     words = [np.zeros(int(n.sum()), np.uint64) for n in size]
     for kind, bucket, blob in rows:
@@ -262,7 +263,8 @@ def _write_block(folder: str, buckets: int, shift: int):
     def run(table: pa.Table) -> pa.Table:
         k = table.column("block")[0].as_py()
         rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "filter")), strict=True))
-        name = write_file(folder, "filter", ".bin", pickle.dumps(_filter(buckets, k << shift, (k + 1) << shift, rows), pickle.HIGHEST_PROTOCOL))
+        made = _filter(buckets, k << shift, (k + 1) << shift, [(kind, bucket, len(x)) for kind, bucket, x in rows], rows)
+        name = write_file(folder, "filter", ".bin", pickle.dumps(made, pickle.HIGHEST_PROTOCOL))
         return pa.table({"block": pa.array([k], pa.int32()), "file": [name]})
 
     return run
@@ -274,8 +276,8 @@ def _blocks(model: Model, limit: int) -> list:
     rows = model.table.select("kind", "bucket", "filter")
     count = min(model.buckets, 1 << max(0, -(-model.bytes // limit) - 1).bit_length())
     if count == 1:
-        found = [(r["kind"], r["bucket"], r["filter"]) for r in rows.toLocalIterator()]
-        return [spark.sparkContext.broadcast(_filter(model.buckets, 0, model.buckets, found))]
+        sizes = rows.select("kind", "bucket", F.length("filter")).collect()
+        return [spark.sparkContext.broadcast(_filter(model.buckets, 0, model.buckets, sizes, rows.toLocalIterator()))]
     shift = (model.buckets // count).bit_length() - 1
     folder = fresh_path(spark, "filter")
     made = rows.withColumn("block", F.shiftright("bucket", shift)).groupBy("block").applyInArrow(_write_block(folder, model.buckets, shift), "block int, file string")
@@ -346,7 +348,7 @@ def _probe(blocks, buckets: int, frequent, base: tuple[float, float, int], weigh
                 continue
             with np.errstate(over="ignore"):
                 t, edges = tokens(rows.column("text"))
-                asked = [np.unique(h, return_inverse=True) for h in (t, bigrams(t, edges))]
+                asked = [(x, back.astype(np.int32)) for x, back in (np.unique(h, return_inverse=True) for h in (t, bigrams(t, edges)))]
                 bucket = [bucket_of(x, buckets) for x, _ in asked]
                 counts = [np.zeros(len(x)) for x, _ in asked]
                 for f in _values(blocks):
