@@ -121,6 +121,34 @@ def test_token_files(spark):
     assert token_files.round_trip(df.limit(0), BYTES, 2).count() == 0
 
 
+def test_token_files_of_repeated_ids_and_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BYTES)
+    long = "very long text, it goes on. " * 40_000
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (2, long), (2, "x" * 300_000), (None, "d"), (None, None)]
+    got = token_files.round_trip(spark.createDataFrame([(i, x, 0) for i, x in rows], "doc_id long, text string, seq int"), BYTES, 2).collect()
+    raw = lambda x: np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == Counter((i, len(raw(x)) // 4, zlib.crc32(raw(x))) for i, x in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None, None, 1, 1, 1, 2, 2]
+
+
+def test_a_tokenizer_of_another_kind_encodes_whole_texts(tmp_path):
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    vocab = {c: k for k, c in enumerate("abcdefghijklmnopqrstuvwxyz .,")} | {"[UNK]": 40, "a ": 41, "a b": 42}
+    other = Tokenizer(models.WordPiece(vocab | {f"##{c}": 50 + k for k, c in enumerate(vocab)}, unk_token="[UNK]"))
+    other.pre_tokenizer = pre_tokenizers.Split(Regex("\n"), "isolated")
+    other.save(str(tmp_path / "other.json"))
+    e = token_files.Encoder(str(tmp_path / "other.json"))
+    assert not e.by_word and token_files.Encoder(BYTES).by_word
+    assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(["a b", "ab a b"])] == [other.encode(x).ids for x in ("a b", "ab a b")]
+
+
 def test_files(spark):
     name = write_file(f"{shared_dir(spark)}/raw", "a", ".bin", b"abc")
     assert read_file(f"{shared_dir(spark)}/raw", name) == b"abc"
@@ -248,6 +276,36 @@ def test_quality_learns_from_all_passages(monkeypatch):
         assert np.allclose(part, whole[k], atol=1e-5), k
 
 
+def test_quality_scores_are_those_of_brute_force():
+    g = random.Random(2)
+    rows = ["", "short one.", "Mixed 123, and MORE!! (of it) " * 60, "é" * 700 + "x" * 5, "a\nb " * 900, None]
+    m = quality.AttentionModel(seed=3)
+    m.mean, m.std = np.full(quality.WIDTH, 0.1, np.float32), np.full(quality.WIDTH, 0.7, np.float32)
+    m.p["c0"][:], m.p["bv"][:], m.p["bu"][:] = 0.2, 0.05, -0.1
+    counts, first = quality.passages(*quality.text_bytes(pa.array(rows)))
+    got = m.score(quality.features(counts), first)
+    p, sigmoid = {k: v.astype(float) for k, v in m.p.items()}, lambda x: 1 / (1 + np.exp(-x))
+    kind = lambda b: next((k + 1 for k, c in enumerate(quality.CLASSES) if b in c), 0)
+    for k, text in enumerate(rows):
+        raw = (text or "").encode()
+        hidden, weights = [], []
+        for at in range(0, max(1, len(raw)), quality.PASSAGE):
+            own = [kind(b) for b in raw[at : at + quality.PASSAGE]]
+            n = len(quality.CLASSES) + 1
+            x = np.zeros(quality.WIDTH)
+            for a in own:
+                x[a] += 1
+            for a, b in zip(own, own[1:], strict=False):
+                x[n + b * n + a] += 1
+            x[:-1] = np.sqrt(x[:-1] / max(1, len(own)))
+            x[-1] = len(own) / quality.PASSAGE
+            h = np.tanh((x - m.mean) / m.std @ p["W"] + p["b"])
+            hidden.append(h)
+            weights.append(math.exp((np.tanh(h @ p["V"] + p["bv"]) * sigmoid(h @ p["U"] + p["bu"])) @ p["w"]))
+        z = sum(w * h for w, h in zip(weights, hidden, strict=True)) / sum(weights)
+        assert math.isclose(got[k], sigmoid(z @ p["c"] + p["c0"][0]), abs_tol=1e-5) and g
+
+
 def test_attention_gradients():
     m = quality.AttentionModel()
     g = np.random.default_rng(0)

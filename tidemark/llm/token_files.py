@@ -102,6 +102,14 @@ _ODD_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _ODD_OTHER = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: Texts whose ids tell how a tokenizer treats spaces, letters and marks.
+PROBES = [
+    "the end of the line, and a new one. Then \"more\" (of it)!", "a b c d e f g", "It's they've I'm we'll o'clock 'tis rock'n'roll", "in 2024 there were 10,000 and 3.14 of 1st 2nd x2 b2b",
+    "straße élan über naïve, Ænima; coöperate: señor? façade", "слово за словом, и ещё одно.", "中文 字符 和 标点。 还有 更多", "ทดสอบ ภาษา नमस्ते दुनिया مرحبا بالعالم", "A.B.C. U.S.A. e.g. i.e. etc... end -- dash - x_y __init__ a/b c\\d #tag @name $5 50%",
+    "HELLO World CamelCase mixedUP iPhone", "\U0001f600 smile \U0001f468\u200d\U0001f469 family e\u0301 combining", "aaaaaaaaaaaaaaaaaaaaaaaa bbbbbbbbbbbbbbbb zzzzzz",
+]
+
+
 class Words(dict):
     """Ids by word; a word that is not there is noted and stands for itself."""
 
@@ -115,7 +123,8 @@ class Encoder:
 
     A byte-level pattern never joins a space to what stands before it, so a
     text whose words are parted by single spaces is encoded word by word.
-    Other texts, and those with special tokens in them, go to the library whole.
+    Other texts, and those with special tokens in them, go to the library whole,
+    as do all texts of a tokenizer that PROBES show to be of another kind.
     """
 
     def __init__(self, path: str):
@@ -127,12 +136,25 @@ class Encoder:
         self.first: dict[str, bytes] = {}
         self.later = Words()
         self.marks: dict[str, bytes] = {}
+        self.by_word = all(self._fits(text) for text in PROBES)
+
+    def _fits(self, text: str) -> bool:
+        """Whether a text's ids are those of its words, and of its words' letters and marks, one after the other."""
+        words = text.split(" ")
+        parts = [p for k, w in enumerate(words) for p in self._parts(w, k > 0)]
+        return self._whole([text])[0] == b"".join(self._whole(parts))
+
+    @staticmethod
+    def _parts(word: str, later: bool) -> list[str]:
+        core = word.rstrip(_MARKS)
+        own = [core, word[len(core) :]] if later and core.isalpha() and len(core) < len(word) else [word]
+        return [" " + own[0], *own[1:]] if later else own
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _plain(self, text: str) -> bool:
-        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text:
+        if not self.by_word or not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text:
             return False
         odd = _ODD_ASCII if text.isascii() else _ODD_ASCII + _ODD_OTHER
         return not any(c in text for c in odd) and not any(s in text for s in self.special)
@@ -247,7 +269,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, id_c
     The manifest has a row a file: part and seq (files in this order hold the
     documents in order), file, n_docs, n_ids, doc_ids. A null text is empty and
     has the end id alone; null ids come first; rows that repeat an id are
-    neighbours in any order. No rows make no files.
+    neighbours in any order. No rows make no files. A text of any length is one
+    document, if need be in a file of its own. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
