@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators import features as X
 from tidemark.operators import indicators as I
@@ -208,6 +209,51 @@ def test_paths_keep_their_invariants(bars):
         MC.paths(bars, 1, "circular", block=N)
 
 
+def test_blocks_are_cut_off_at_the_end_of_the_series(bars):
+    past = [r["r"] for r in MC.history(bars).orderBy("i").collect()][1:]
+    made = MC.paths(bars, 4, "stationary", seed=2, block=12).orderBy("sim", "ts").collect()
+    for sim in range(4):
+        closes = [r["close"] for r in made if r["sim"] == sim]
+        drawn = [math.log(b / a) for a, b in zip(closes, closes[1:], strict=False)]
+        at = [min(range(len(past)), key=lambda k: abs(past[k] - x)) for x in drawn]
+        assert all(abs(past[k] - x) < 1e-9 for k, x in zip(at, drawn, strict=True))
+        runs = sum(b == a + 1 for a, b in zip(at, at[1:], strict=False))
+        assert runs > 0.75 * len(at) and not any(a == len(past) - 1 and b == 0 for a, b in zip(at, at[1:], strict=False) if a + 1 < len(past))
+
+
+def test_normal_returns_have_the_drift_of_prices(bars):
+    r = MC.history(bars).filter("i > 0").agg(F.avg("r").alias("mu"), F.stddev_pop("r").alias("sd")).first()
+    made = MC.paths(bars, 400, "gbm", seed=5)
+    w = Window.partitionBy("sim").orderBy("ts")
+    found = made.withColumn("r", F.ln(F.col("close") / F.lag("close").over(w))).agg(F.avg("r").alias("mu"), F.stddev_pop("r").alias("sd"), F.count("r").alias("n")).first()
+    assert abs(found["mu"] - (r["mu"] - r["sd"] ** 2 / 2)) < 4 * r["sd"] / found["n"] ** 0.5 and abs(found["sd"] / r["sd"] - 1) < 0.05
+
+
+def test_nodes_read_nodes_of_the_same_plan(bars):
+    chain = [I.SMA(column="signal__ha_close", period=3, lag=1), HeikinAshi(), I.EMA(column="indicator__sma_3_lag1", period=4)]
+    got = compute(bars, chain)
+    step = compute(compute(compute(bars, [chain[1]]), [chain[0]]), [chain[2]])
+    assert sorted(got.columns) == sorted(step.columns)
+    names = ["ts", *[c for n in chain for c in n.outputs()]]
+    assert got.select(*[F.col(f"`{c}`") for c in names]).orderBy("ts").toPandas().equals(step.select(*[F.col(f"`{c}`") for c in names]).orderBy("ts").toPandas())
+    with pytest.raises(ValueError):
+        compute(bars, [I.SMA(column="indicator__ema_4", period=3), I.EMA(column="indicator__sma_3", period=4)])
+
+
+def test_every_baseline_is_a_gate(spark):
+    values = spark.createDataFrame([("a", 5.0), ("b", 600.0)], "name string, value double")
+    baselines = spark.createDataFrame([(str(k), float(k)) for k in range(1001)], "baseline string, threshold double")
+    found = M.promotion_gates(values, baselines)
+    assert found.count() == 2002 and found.filter("passed").count() == 5 + 600
+
+
+def test_intervals_and_percentiles_of_simulations(spark):
+    rows = [("s", k, "m", float(k)) for k in range(101)] + [("s", 200, "m", float("nan")), ("s", 201, "m", None), ("s", 1, "other", 7.0)]
+    results = spark.createDataFrame(rows, "symbol string, sim long, metric string, value double")
+    assert tuple(MC.confidence_interval(results, "m").first()) == ("s", 5.0, 95.0)
+    assert math.isclose(MC.percentile_of(results, "m", 49.5).first()["percentile"], 100 * 50 / 101)
+
+
 def test_monte_carlo_search_and_network(spark, bars):
     strategy = Weighted(((I.SMA(period=5), 1.5), (I.SMA(period=20), -0.7)))
     out = MC.run(bars, strategy, 4, names=["total_return"])

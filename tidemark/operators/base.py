@@ -59,19 +59,50 @@ def strength_name(node: Node) -> str:
     return f"strength__{node.outputs()[0].removeprefix('indicator__').removeprefix('signal__')}"
 
 
+def _layers(nodes: list[Node]) -> list[list[Node]]:
+    """nodes in layers: a node whose column is an output of another comes in a layer after that one's."""
+    made = {name: node for node in nodes for name in node.outputs()}
+    depth: dict[str, int] = {}
+
+    def of(node: Node, above: tuple[str, ...]) -> int:
+        name = node.outputs()[0]
+        if name in above:
+            raise ValueError(f"{name} is made of itself")
+        if name not in depth:
+            source = made.get(str(getattr(node, "column", "")).lower())
+            depth[name] = 0 if source is None else 1 + of(source, (*above, name))
+        return depth[name]
+
+    layers: dict[int, list[Node]] = {}
+    for node in nodes:
+        layers.setdefault(of(node, ()), []).append(node)
+    return [layers[k] for k in sorted(layers)]
+
+
 def compute(bars: DataFrame, nodes: list[Node], strengths: bool = False) -> DataFrame:
     """bars with the outputs of all nodes and, if asked for, a column of strength for each.
 
     Nodes that differ in their lag alone share one computation. Two nodes of
-    one output name but other parameters are an error. The recursions of all
-    nodes take one shuffle, all windows another; no node adds one of its own.
+    one output name but other parameters are an error. A node may read, as its
+    column, an output of another node of the plan, whatever their order. The
+    recursions of all nodes (of those that read other nodes' outputs, all of one
+    depth) take one shuffle, all windows another; no node adds one of its own.
     """
     known: dict[str, tuple] = {}
-    unique: dict[tuple, Node] = {}
     for node in nodes:
         for name in node.names():
             if known.setdefault(name, node.spec()) != node.spec():
                 raise ValueError(f"two nodes with other parameters give {name}")
+    for layer in _layers(nodes):
+        bars = _computed(bars, layer)
+    if strengths:
+        bars = bars.withColumns({strength_name(n): n.strength(*(F.col(f"`{c}`") for c in n.outputs())) for n in nodes})
+    return bars
+
+
+def _computed(bars: DataFrame, nodes: list[Node]) -> DataFrame:
+    unique: dict[tuple, Node] = {}
+    for node in nodes:
         unique.setdefault(node.spec(), node)
     columns = bars.columns
     for node in unique.values():
@@ -80,10 +111,7 @@ def compute(bars: DataFrame, nodes: list[Node], strengths: bool = False) -> Data
     for node in unique.values():
         bars = node.raw(bars)
     outputs = {out: before(F.col(node.temp(k)), node.lag) for node in nodes for k, out in enumerate(node.outputs())}
-    bars = bars.select(*[F.col(f"`{c}`") for c in columns], *[c.alias(name) for name, c in outputs.items()])
-    if strengths:
-        bars = bars.withColumns({strength_name(n): n.strength(*(F.col(f"`{c}`") for c in n.outputs())) for n in nodes})
-    return bars
+    return bars.select(*[F.col(f"`{c}`") for c in columns], *[c.alias(name) for name, c in outputs.items()])
 
 
 def feature_columns(frame: DataFrame) -> list[str]:

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from tidemark.operators.metrics import long_form, metrics
 from tidemark.operators.simulate import Account, backtest
 
-KINDS = ("shuffle", "stationary", "circular", "gbm")
+KINDS = ("shuffle", "stationary", "wrapped", "circular", "gbm")
 _M = 2147483647
 
 
@@ -60,15 +60,26 @@ def _sources(rows: DataFrame, kind: str, block: int | None, seed: int) -> DataFr
         return rows.withColumn("src", F.row_number().over(Window.partitionBy("symbol", "sim").orderBy(draw(seed, sim, i, 1), "i")).cast("long"))
     begins = (i == 0) | (uniform(seed, sim, i, 2) < 1.0 / size)
     rows = rows.withColumn("_at", F.last(F.when(begins, i), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("src", F.pmod(draw(seed, sim, F.col("_at"), 1) + i - F.col("_at"), m) + 1).drop("_at")
+    at = F.col("_at")
+    if kind == "wrapped":
+        return rows.withColumn("src", F.pmod(draw(seed, sim, at, 1) + i - at, m) + 1).drop("_at")
+    # a block that runs past the last return ends there and another begins, which may do so too; few rows come to that
+    rows = rows.withColumn("_start", F.pmod(draw(seed, sim, at, 1), m))
+    over = F.col("_start") + i - at >= m
+    ends = lambda b: b + m - F.pmod(draw(seed, sim, b, 1), m)
+    following = lambda b, _: F.when(ends(b) <= i, ends(b)).otherwise(b)
+    late = F.when(over, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(i - at, F.lit(1))), at + m - F.col("_start"), following))
+    rows = rows.withColumn("_at", F.coalesce(late, at)).withColumn("_start", F.pmod(draw(seed, sim, at, 1), m))
+    return rows.withColumn("src", F.col("_start") + i - at + 1).drop("_at", "_start")
 
 
 def paths(bars: DataFrame, n_sims: int, kind: str = "stationary", seed: int = 0, block: int | None = None) -> DataFrame:
     """Simulated bars: symbol, sim, ts and prices, as many as history has, for simulations 0 to n_sims - 1.
 
-    shuffle permutes returns; circular repeats blocks of fixed length,
-    stationary of geometric length, both wrapping round; gbm draws normal
-    returns of the same mean and deviation. Each bar takes its shape from a
+    shuffle permutes returns; circular repeats blocks of fixed length that wrap
+    round the series' end, wrapped those of geometric length, and stationary
+    cuts these off at the end; gbm draws normal returns of the same deviation
+    sd and, so that prices grow as history's do, of the mean less sd^2 / 2. Each bar takes its shape from a
     historical bar drawn at random and its volume from another. The first bar
     is history's. A series of fewer than three bars makes no paths; a block
     must be shorter than the series.
@@ -84,7 +95,7 @@ def paths(bars: DataFrame, n_sims: int, kind: str = "stationary", seed: int = 0,
     if kind == "gbm":
         stats = past.filter("i > 0").groupBy("symbol").agg(F.avg("r").alias("mu"), F.stddev_pop("r").alias("sd"))
         z = F.sqrt(-2 * F.ln(uniform(seed, sim, F.col("i"), 3))) * F.cos(2 * math.pi * uniform(seed, sim, F.col("i"), 4))
-        drawn = later.join(stats, "symbol").withColumn("r", F.col("mu") + F.col("sd") * z).drop("mu", "sd")
+        drawn = later.join(stats, "symbol").withColumn("r", F.col("mu") - F.col("sd") * F.col("sd") / 2 + F.col("sd") * z).drop("mu", "sd")
     else:
         returns = past.filter("i > 0").select("symbol", F.col("i").alias("src"), "r")
         drawn = _sources(later, kind, block, seed).join(returns, ["symbol", "src"]).drop("src")
@@ -144,8 +155,14 @@ def sharpe_interval(returns: DataFrame, block: int, n_boot: int = 1000, confiden
     w = Window.partitionBy("symbol")
     rows = rows.select("symbol", "ret", F.row_number().over(w.orderBy("ts")).cast("long").alias("i"), (F.count("*").over(w) + 1).alias("n"))
     ratio = F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0)) * math.sqrt(year)
-    made = rows.select("symbol", "i", "n").withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))))
-    made = _sources(made, "circular", block, seed).join(rows.select("symbol", F.col("i").alias("src"), "ret"), ["symbol", "src"])
+    # a draw for each block, then its bars; what reaches over the series' length is left out
+    m = F.col("n") - 1
+    blocks = rows.groupBy("symbol").agg(F.max("n").alias("n")).withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))))
+    blocks = blocks.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((m - 1) / block))))
+    blocks = blocks.withColumn("start", draw(seed, F.col("sim"), F.col("k"), 1))
+    made = blocks.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(block), m - F.col("k") * block) - 1)))
+    made = made.select("symbol", "sim", (F.pmod(F.pmod(F.col("start"), m) + F.col("j"), m) + 1).alias("src"))
+    made = made.join(rows.select("symbol", F.col("i").alias("src"), "ret"), ["symbol", "src"])
     ends = made.groupBy("symbol", "sim").agg(ratio.alias("s")).groupBy("symbol")
     ends = ends.agg(F.percentile("s", (1 - confidence) / 2).alias("ci_low"), F.percentile("s", (1 + confidence) / 2).alias("ci_high"))
     return rows.groupBy("symbol").agg(ratio.alias("sharpe")).join(ends, "symbol")

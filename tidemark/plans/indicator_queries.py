@@ -159,28 +159,63 @@ def _engine_atr_sql() -> str:
     return s.rounded({"atr": full("avg", "t", 14)})
 
 
+def _kernel(node: KernelRegression) -> Steps:
+    bw = node.bandwidth
+    terms = " + ".join(f"{lag('close', i)} * {w!r}::DOUBLE" for i, w in enumerate(weights(node.kernel, bw)))
+    return Steps().add(e=terms).add(q="(close - e) * (close - e)").add(w=f"sqrt(({full('sum', 'q', bw)}) / {bw - 1}) * {node.deviations!r}").add(u="e + w", b="e - w")
+
+
+_WINDOWS = [I.SMA(), I.WMA(), I.CMA(), I.Momentum(), I.LarryWilliams(), I.BollingerBands(), I.CCI(), I.Stochastic(), I.ROC(), I.DPO(), I.RVI(), I.DeMarker(), I.OBV(), LogReturns(), KernelRegression()]
+_RECURSIONS = [I.EMA(), I.DEMA(), I.TEMA(), I.RSI(), I.MACD(), I.TRIX(), I.ForceIndex(), I.CHO(), I.ADX(), I.ATR(), I.MassIndex(), HeikinAshi()]
+
+
 def window_plan(spark, sf_dir) -> DataFrame:
     """Every window-only indicator in one plan: one shuffle for the bars, one for all windows."""
-    nodes = [I.SMA(), I.WMA(), I.CMA(), I.Momentum(), I.LarryWilliams(), I.BollingerBands(), I.CCI(), I.Stochastic(), I.ROC(), I.DPO(), I.RVI(), I.DeMarker(), I.OBV(), LogReturns(), KernelRegression()]
-    frame = compute(hourly(spark, sf_dir), nodes)
-    return rounded(frame, [c for n in nodes for c in n.outputs()])
+    return rounded(compute(hourly(spark, sf_dir), _WINDOWS), [c for n in _WINDOWS for c in n.outputs()])
 
 
 def recursion_plan(spark, sf_dir) -> DataFrame:
     """Every recursive indicator in one plan: their recursions share one pass."""
-    nodes = [I.EMA(), I.DEMA(), I.TEMA(), I.RSI(), I.MACD(), I.TRIX(), I.ForceIndex(), I.CHO(), I.ADX(), I.ATR(), I.MassIndex(), HeikinAshi()]
-    frame = compute(hourly(spark, sf_dir), nodes)
-    return rounded(frame, [c for n in nodes for c in n.outputs()])
+    return rounded(compute(hourly(spark, sf_dir), _RECURSIONS), [c for n in _RECURSIONS for c in n.outputs()])
+
+
+_CHAIN = [I.SMA(column="signal__ha_close", period=5), HeikinAshi(), I.EMA(column="indicator__sma_5", period=4)]
+
+
+def chained(spark, sf_dir) -> DataFrame:
+    """An exponential mean of a mean of smoothed closes, three nodes of one plan."""
+    return rounded(compute(hourly(spark, sf_dir), _CHAIN), [c for n in _CHAIN for c in n.outputs()])
+
+
+def _chained_sql() -> str:
+    s = Steps()
+    s.ctes.append(f"ha AS ({_ALL['heikin_ashi'][1].replace(f' + {NUDGE!r}, 6)', ', 17)')})")
+    s.ctes.append("hb AS (SELECT h.*, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, signal__ha_close AS x FROM ha h)")
+    s.top = "hb"
+    return s.add(m=full("avg", "x", 5)).ewm("e", "m", 2 / 5).rounded({f"signal__ha_{p}": f"signal__ha_{p}" for p in ("open", "high", "low", "close")} | {"indicator__sma_5": "m", "indicator__ema_4": "e"})
 
 
 _ALL = _build()
 
 
+def _joined(nodes: list[Node]) -> str:
+    """The SQL of several nodes' own queries, joined."""
+    parts = []
+    for node in nodes:
+        if isinstance(node, KernelRegression):
+            sql = _kernel(node).rounded(dict(zip(node.outputs(), ["e", "u", "b", "w"], strict=True)))
+        else:
+            sql = next(sql for other, sql, _ in _ALL.values() if other == node)
+        columns = ", ".join(f'"{c}"' for c in node.outputs())
+        parts.append(f"(SELECT symbol, ts, {columns} FROM ({sql}))")
+    return "SELECT * FROM " + parts[0] + "".join(f" JOIN {p} USING (symbol, ts)" for p in parts[1:])
+
+
 def queries() -> dict[str, Callable]:
     out = {name: node_query(node, strength) for name, (node, _, strength) in _ALL.items()}
-    return out | {"kernel_crossovers": crossovers, "external_column": external, "engine_atr": engine_atr, "windows_all": window_plan, "ewm_family": recursion_plan}
+    return out | {"kernel_crossovers": crossovers, "external_column": external, "engine_atr": engine_atr, "windows_all": window_plan, "ewm_family": recursion_plan, "chained_average": chained}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: sql for name, (_, sql, _) in _ALL.items() if sql}
-    return out | {"kernel_crossovers": _crossovers_sql(), "external_column": EXTERNAL_SQL, "engine_atr": _engine_atr_sql()}
+    return out | {"kernel_crossovers": _crossovers_sql(), "external_column": EXTERNAL_SQL, "engine_atr": _engine_atr_sql(), "windows_all": _joined(_WINDOWS), "ewm_family": _joined(_RECURSIONS), "chained_average": _chained_sql()}

@@ -188,7 +188,15 @@ def _log(x: str) -> str:
 
 def _excess_sql(drift: str) -> str:
     s = Steps().add(was=lag("close"), nxt=lead("close", 5)).add(r=_log("close / nullif(was, 0)"), f=_log("nxt / nullif(close, 0)"))
-    s.add(m=full("avg", "r", 50) if drift == "rolling" else f"CASE WHEN {so_far('count', 'r')} >= 50 THEN {so_far('avg', 'r')} END", v=f"({full('stddev_samp', 'r', 21)}) * {math.sqrt(5)!r}")
+    if drift == "ewma":
+        keep = repr(1 - 2 / 51)
+        s.ctes.append(
+            f"aw AS (SELECT symbol, rn, coalesce(r, 0)::DOUBLE AS t, (r IS NOT NULL)::INT::DOUBLE AS b, (r IS NOT NULL)::INT AS k FROM {s.top} WHERE rn = 1 UNION ALL "
+            f"SELECT s.symbol, s.rn, e.t * {keep}::DOUBLE + coalesce(s.r, 0), e.b * {keep}::DOUBLE + (s.r IS NOT NULL)::INT, e.k + (s.r IS NOT NULL)::INT FROM aw e JOIN {s.top} s ON s.symbol = e.symbol AND s.rn = e.rn + 1)"
+        )
+        s.ctes.append(f"am AS (SELECT p.*, CASE WHEN e.k >= 50 THEN e.t / nullif(e.b, 0) END AS mean_ FROM {s.top} p JOIN aw e USING (symbol, rn))")
+        s.top = "am"
+    s.add(m="mean_" if drift == "ewma" else full("avg", "r", 50) if drift == "rolling" else f"CASE WHEN {so_far('count', 'r')} >= 50 THEN {so_far('avg', 'r')} END", v=f"({full('stddev_samp', 'r', 21)}) * {math.sqrt(5)!r}")
     return s.rounded({"target": "tanh((f - m * 5) / nullif(v * 2.0, 0))"})
 
 
@@ -220,9 +228,10 @@ def folds(spark, sf_dir):
     return made.groupBy("symbol", "fold", "part").agg(F.count("*").alias("n"), F.min("row").alias("first_row"), F.max("row").alias("last_row"))
 
 
-FOLDS_SQL = Steps().select("1").rsplit(" SELECT 1", 1)[0] + """, f(fold, a, b, c, d) AS (VALUES (0, 0, 295, 300, 350), (1, 0, 345, 350, 400), (2, 0, 395, 400, 450), (3, 0, 445, 450, 500)),
-x AS (SELECT symbol, rn - 1 AS i, fold, CASE WHEN rn - 1 >= a AND rn - 1 < b THEN 'train' WHEN rn - 1 >= c AND rn - 1 < d THEN 'test' END AS part FROM s0, f WHERE rn <= 500)
-SELECT symbol, fold, part, count(*) AS n, min(i) AS first_row, max(i) AS last_row FROM x WHERE part IS NOT NULL GROUP BY 1, 2, 3"""
+FOLDS_SQL = Steps().select("1").rsplit(" SELECT 1", 1)[0] + """, c AS (SELECT symbol, count(*) AS n, CAST(trunc(count(*) * 0.6::DOUBLE) AS BIGINT) AS first FROM s0 GROUP BY 1),
+f AS (SELECT symbol, k AS fold, n, first + k * ((n - first) // 4) AS begin_, CASE WHEN k < 3 THEN first + (k + 1) * ((n - first) // 4) ELSE n END AS stop FROM c, range(4) t(k)),
+x AS (SELECT symbol, rn - 1 AS i, fold, CASE WHEN rn - 1 < begin_ - 5 THEN 'train' WHEN rn - 1 >= begin_ AND rn - 1 < stop THEN 'test' END AS part FROM s0 JOIN f USING (symbol))
+SELECT symbol, fold::INT AS fold, part, count(*) AS n, min(i) AS first_row, max(i) AS last_row FROM x WHERE part IS NOT NULL GROUP BY 1, 2, 3"""
 
 
 def losses(spark, sf_dir):
@@ -248,26 +257,50 @@ def circular_paths(spark, sf_dir):
     return rounded(made, ["open", "high", "low", "close", "volume"], 5, ("symbol", "sim", "ts"))
 
 
-def _circular_sql() -> str:
-    s = Steps().add(was=lag("close")).add(r="CASE WHEN close > 0 AND was > 0 THEN ln(close / was) END", o="open / close", h="high / close", l="low / close", i="rn - 1", n="count(*) OVER (PARTITION BY symbol)")
-    past = s.top
+def _drawn(s: Steps, name: str, source: str, i: str, stream: int, seed: int = 7) -> None:
+    """A column d<stream> of a drawn number, one step of the generator after the other."""
+    s.ctes.append(f"{name}0 AS (SELECT *, (sim * 7919 + ({i}) * 104729 + {seed * 15485863 + stream * 32452843}) % {MC._M} AS x FROM {source})")
+    for k, (a, c) in enumerate(((48271, 11), (69621, 1013), (16807, 7001)), 1):
+        s.ctes.append(f"{name}{k}a AS (SELECT * EXCLUDE (x), ((x + {c}) * {a}) % {MC._M} AS x FROM {name}{k - 1})")
+        s.ctes.append(f"{name}{k} AS (SELECT * EXCLUDE (x), (x * (x % 65521) + x) % {MC._M} AS x FROM {name}{k}a)")
+    s.ctes.append(f"{name} AS (SELECT * EXCLUDE (x), x AS d{stream} FROM {name}3)")
 
-    def drawn(name: str, source: str, i: str, stream: int) -> None:
-        """A column of a drawn number, one step of the generator after the other."""
-        s.ctes.append(f"{name}0 AS (SELECT *, (sim * 7919 + ({i}) * 104729 + {7 * 15485863 + stream * 32452843}) % {MC._M} AS x FROM {source})")
-        for k, (a, c) in enumerate(((48271, 11), (69621, 1013), (16807, 7001)), 1):
-            s.ctes.append(f"{name}{k}a AS (SELECT * EXCLUDE (x), ((x + {c}) * {a}) % {MC._M} AS x FROM {name}{k - 1})")
-            s.ctes.append(f"{name}{k} AS (SELECT * EXCLUDE (x), (x * (x % 65521) + x) % {MC._M} AS x FROM {name}{k}a)")
-        s.ctes.append(f"{name} AS (SELECT * EXCLUDE (x), x AS d{stream} FROM {name}3)")
 
+def _paths_sql(kind: str) -> str:
+    """Three simulations of every series: the return r that each bar gets, then prices."""
+    s = Steps().add(was=lag("close")).add(r="CASE WHEN close > 0 AND was > 0 THEN ln(close / was) END", o="open / close", h="high / close", l="low / close", i="rn - 1", n="count(*) OVER (PARTITION BY symbol)")
+    past = s.top
     s.ctes.append(f"sims AS (SELECT symbol, ts, i, n, sim::BIGINT AS sim FROM {past}, range(3) t(sim) WHERE n > 2)")
-    drawn("da", "sims", f"(i - 1) // {_BLOCK}", 1)
-    drawn("db", "da", "i", 5)
-    drawn("dc", "db", "i", 6)
-    s.ctes.append(f"j AS (SELECT *, (d1 % (n - 1) + (i - 1) % {_BLOCK}) % (n - 1) + 1 AS src, d5 % (n - 1) + 1 AS shape, d6 % (n - 1) + 1 AS vol FROM dc)")
+    _drawn(s, "db", "sims", "i", 5)
+    _drawn(s, "dc", "db", "i", 6)
+    returned = f"LEFT JOIN {past} a ON a.symbol = j.symbol AND a.i = j.src"
+    if kind == "circular":
+        _drawn(s, "da", "dc", f"(i - 1) // {_BLOCK}", 1)
+        s.ctes.append(f"src AS (SELECT *, (d1 % (n - 1) + (i - 1) % {_BLOCK}) % (n - 1) + 1 AS src FROM da)")
+    elif kind == "shuffle":
+        _drawn(s, "da", "dc", "i - 1", 1)
+        s.ctes.append("src AS (SELECT *, CASE WHEN i > 0 THEN row_number() OVER (PARTITION BY symbol, sim, i > 0 ORDER BY d1, i) END AS src FROM da)")
+    elif kind == "stationary":
+        _drawn(s, "da", "dc", "i - 1", 1)
+        _drawn(s, "dd", "da", "i - 1", 2)
+        s.ctes.append(f"dn AS (SELECT *, d1 % (n - 1) AS start, (d2 + 0.5) / {float(MC._M)!r}::DOUBLE < 1.0 / greatest(2, round(pow(n, {1 / 3!r}::DOUBLE))) AS begins FROM dd)")
+        s.ctes.append(
+            "bl AS (SELECT symbol, sim, i, i AS at, start AS from_ FROM dn WHERE i = 1 UNION ALL SELECT d.symbol, d.sim, d.i, CASE WHEN d.begins OR b.from_ + d.i - b.at >= d.n - 1 THEN d.i ELSE b.at END, "
+            "CASE WHEN d.begins OR b.from_ + d.i - b.at >= d.n - 1 THEN d.start ELSE b.from_ END FROM bl b JOIN dn d ON d.symbol = b.symbol AND d.sim = b.sim AND d.i = b.i + 1)"
+        )
+        s.ctes.append("src AS (SELECT dn.*, bl.from_ + bl.i - bl.at + 1 AS src FROM dn LEFT JOIN bl USING (symbol, sim, i))")
+    else:
+        _drawn(s, "da", "dc", "i", 3)
+        _drawn(s, "dd", "da", "i", 4)
+        s.ctes.append(f"st AS (SELECT symbol, avg(r) AS mu, stddev_pop(r) AS sd FROM {past} WHERE i > 0 GROUP BY 1)")
+        u = lambda k: f"((d{k} + 0.5) / {float(MC._M)!r}::DOUBLE)"
+        s.ctes.append(f"src AS (SELECT dd.*, mu - sd * sd / 2 + sd * sqrt(-2 * ln({u(3)})) * cos({2 * math.pi!r}::DOUBLE * {u(4)}) AS r FROM dd JOIN st USING (symbol))")
+        returned = ""
+    s.ctes.append("j AS (SELECT *, d5 % (n - 1) + 1 AS shape, d6 % (n - 1) + 1 AS vol FROM src)")
+    r = "a.r" if returned else "j.r"
     s.ctes.append(
-        f"m AS (SELECT j.symbol, j.sim, j.ts, j.i, c0.close * exp(sum(CASE WHEN j.i > 0 THEN coalesce(a.r, 0) ELSE 0 END) OVER (PARTITION BY j.symbol, j.sim ORDER BY j.i ROWS UNBOUNDED PRECEDING)) AS close, b.o, b.h, b.l, v.volume FROM j "
-        f"LEFT JOIN {past} a ON a.symbol = j.symbol AND a.i = j.src JOIN {past} b ON b.symbol = j.symbol AND b.i = j.shape JOIN {past} v ON v.symbol = j.symbol AND v.i = j.vol JOIN {past} c0 ON c0.symbol = j.symbol AND c0.i = 0)"
+        f"m AS (SELECT j.symbol, j.sim, j.ts, j.i, c0.close * exp(sum(CASE WHEN j.i > 0 THEN coalesce({r}, 0) ELSE 0 END) OVER (PARTITION BY j.symbol, j.sim ORDER BY j.i ROWS UNBOUNDED PRECEDING)) AS close, b.o, b.h, b.l, v.volume FROM j "
+        f"{returned} JOIN {past} b ON b.symbol = j.symbol AND b.i = j.shape JOIN {past} v ON v.symbol = j.symbol AND v.i = j.vol JOIN {past} c0 ON c0.symbol = j.symbol AND c0.i = 0)"
     )
     s.ctes.append("q AS (SELECT *, close * o AS open FROM m)")
     s.top = "q"
@@ -276,7 +309,7 @@ def _circular_sql() -> str:
 
 
 def resampled(kind: str) -> Callable:
-    return lambda spark, sf_dir: MC.paths(hourly(spark, sf_dir), 3, kind, seed=7)
+    return lambda spark, sf_dir: rounded(MC.paths(hourly(spark, sf_dir), 3, kind, seed=7), ["open", "high", "low", "close", "volume"], 5, ("symbol", "sim", "ts"))
 
 
 def monte_carlo(spark, sf_dir):
@@ -286,7 +319,39 @@ def monte_carlo(spark, sf_dir):
 
 def sharpe_interval(spark, sf_dir):
     frame = compute(hourly(spark, sf_dir), [LogReturns()]).select("symbol", "ts", F.col("signal__log_return_close").alias("ret"))
-    return MC.sharpe_interval(frame, block=10, seed=3)
+    return rounded(MC.sharpe_interval(frame, block=10, seed=3), ["sharpe", "ci_low", "ci_high"], 6, ("symbol",))
+
+
+def _returns() -> Steps:
+    return Steps().add(was=lag("close")).add(ret="CASE WHEN close > 0 AND was > 0 THEN ln(close / was) END")
+
+
+def _interval_sql(block: int = 10, sims: int = 1000) -> str:
+    s, year = _returns(), math.sqrt(252)
+    s.ctes.append(f"re AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, count(*) OVER (PARTITION BY symbol) AS m FROM {s.top} WHERE ret IS NOT NULL)")
+    s.ctes.append(f"sims AS (SELECT symbol, i, m, sim::BIGINT AS sim FROM re, range({sims}) t(sim))")
+    _drawn(s, "da", "sims", f"(i - 1) // {block}", 1, seed=3)
+    ratio = f"avg(ret) / nullif(stddev_samp(ret), 0) * {year!r}"
+    s.ctes.append(f"b AS (SELECT da.symbol, da.sim, avg(re.ret) / nullif(stddev_samp(re.ret), 0) * {year!r} AS x FROM da JOIN re ON re.symbol = da.symbol AND re.i = (d1 % da.m + (da.i - 1) % {block}) % da.m + 1 GROUP BY 1, 2)")
+    s.ctes.append("e AS (SELECT symbol, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM b GROUP BY 1)")
+    s.ctes.append(f"w AS (SELECT symbol, {ratio} AS sharpe FROM re GROUP BY 1)")
+    s.top = "w JOIN e USING (symbol)"
+    r = lambda e, n: f"round({e} + {NUDGE!r}, 6) + 0.0 AS {n}"
+    return s.select(f"symbol, {r('sharpe', 'sharpe')}, {r('lo', 'ci_low')}, {r('hi', 'ci_high')}")
+
+
+def moments(spark, sf_dir):
+    frame = compute(hourly(spark, sf_dir), [LogReturns()]).select("symbol", "ts", F.col("signal__log_return_close").alias("ret"))
+    return rounded(M.return_moments(frame), ["mean", "sharpe", "skew", "kurtosis"], 6, ("symbol", "n"))
+
+
+def _moments_sql() -> str:
+    s = _returns()
+    s.ctes.append(f"c AS (SELECT symbol, ret, avg(ret) OVER (PARTITION BY symbol) AS m FROM {s.top} WHERE ret IS NOT NULL)")
+    s.ctes.append("g AS (SELECT symbol, count(*) AS n, avg(ret) AS m, avg(ret) / nullif(stddev_samp(ret), 0) AS sh, avg(pow(ret - m, 3)) / pow(avg(pow(ret - m, 2)), 1.5) AS sk, avg(pow(ret - m, 4)) / pow(avg(pow(ret - m, 2)), 2) AS ku FROM c GROUP BY 1)")
+    s.top = "g"
+    r = lambda e, n: f"round({e} + {NUDGE!r}, 6) + 0.0 AS {n}"
+    return s.select(f"symbol, n, {r('m', 'mean')}, {r('sh', 'sharpe')}, {r('sk', 'skew')}, {r('ku', 'kurtosis')}")
 
 
 def parameter_search(spark, sf_dir):
@@ -314,7 +379,7 @@ def queries() -> dict[str, Callable]:
         "target_future": target_query(X.future_return), "target_direction": target_query(X.directional_target), "target_excess_rolling": target_query(lambda b: X.excess_return(b, drift_window=50)),
         "target_excess_expanding": target_query(lambda b: X.excess_return(b, drift_window=50, drift="expanding")), "target_excess_ewma": target_query(lambda b: X.excess_return(b, drift_window=50, drift="ewma")),
         "feature_matrix": feature_rows, "scaler_minmax": minmax_rows, "walk_forward": folds, "losses": losses, "paths_circular": circular_paths, "paths_stationary": resampled("stationary"), "paths_shuffle": resampled("shuffle"), "paths_gbm": resampled("gbm"),
-        "monte_carlo": monte_carlo, "sharpe_interval": sharpe_interval, "parameter_search": parameter_search, "network": learned,
+        "monte_carlo": monte_carlo, "sharpe_interval": sharpe_interval, "return_moments": moments, "parameter_search": parameter_search, "network": learned,
     }
 
 
@@ -341,5 +406,11 @@ def oracle_sql() -> dict[str, str]:
         "scaler_minmax": MINMAX_SQL,
         "walk_forward": FOLDS_SQL,
         "losses": _losses_sql(),
-        "paths_circular": _circular_sql(),
+        "paths_circular": _paths_sql("circular"),
+        "paths_stationary": _paths_sql("stationary"),
+        "paths_shuffle": _paths_sql("shuffle"),
+        "paths_gbm": _paths_sql("gbm"),
+        "sharpe_interval": _interval_sql(),
+        "target_excess_ewma": _excess_sql("ewma"),
+        "return_moments": _moments_sql(),
     }
