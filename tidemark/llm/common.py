@@ -7,7 +7,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -243,7 +242,7 @@ def column_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(*text_bytes(column))
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 4 << 20):
+def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 2 << 20):
     """batch in pieces of a bounded number of rows, and of about so many bytes if they have several rows."""
     if batch.num_rows <= rows and batch.nbytes <= size:
         if batch.num_rows:
@@ -258,12 +257,14 @@ def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 4 << 20):
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # what earlier batches took
 
 
 def _row_bytes(column: pa.Array) -> np.ndarray:
     """Bytes of each row of a column, about."""
-    if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
-        return pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+    wide = {pa.string(): np.int32, pa.binary(): np.int32, pa.large_string(): np.int64, pa.large_binary(): np.int64}.get(column.type)
+    if wide is not None and len(column):
+        return np.diff(np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1]).astype(np.float64)
     return np.full(len(column), column.nbytes / max(1, len(column)))
 
 

@@ -28,8 +28,8 @@ from tidemark.llm.files import read_file, write_file
 WINDOW = 13
 #: Bytes of benchmark texts whose tables are in one block (some 100 bytes of tables for each), and blocks that a worker keeps.
 BLOCK_BYTES, KEPT_BLOCKS = 1 << 20, 2
-#: Bytes of document texts that are searched for one block after the other.
-GROUP_BYTES = 8 << 20
+#: Bytes of document texts that are searched for blocks that a worker keeps, and for more, one after the other.
+GROUP_BYTES = 1 << 19, 8 << 20
 #: Windows of a bucket that are compared one after the other; in larger ones they are looked up by the words before the suffix.
 FEW = 4
 
@@ -129,7 +129,7 @@ def _loaded(folder: str, files: list[str]):
 
 def _search(folder: str, files: list[str], keep: list[str], clean_only: bool, text_col: str):
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole, 4096, GROUP_BYTES)):
+        for batch in (part for whole in batches for part in slices(whole, 4096, GROUP_BYTES[len(files) > KEPT_BLOCKS])):
             texts = [words(t) for t in batch.column(text_col).to_pylist()]
             marks: list[bytearray | None] = [None] * len(texts)
             items: list[set] = [set() for _ in texts]

@@ -36,7 +36,7 @@ from tidemark.llm.common import free_name, staged, unlike
 GIANT, CHUNK = 65_536, 16_384
 #: Chunks whose matrices one task multiplies.
 BLOCK = 64
-CACHE_WORDS, CACHE_STEPS = 250_000, 1_000_000
+CACHE_WORDS, CACHE_STEPS = 180_000, 600_000
 #: Words of more characters are walked each time.
 CACHE_CHARS = 64
 SPACE = "▁"
