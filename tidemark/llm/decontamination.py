@@ -117,11 +117,11 @@ def _tables(folder: str, window: int, limit: int):
 
 
 def _loaded(folder: str, files: list[str]):
-    """The tables of each file; a worker keeps those of few files from task to task, else one at a time."""
+    """The tables of each file; a worker keeps those of few files of one search from task to task, else one at a time."""
     for file in files:
         tables = _LOADED.get((folder, file))
         if tables is None:
-            if len(_LOADED) >= KEPT_BLOCKS:
+            if len(_LOADED) >= KEPT_BLOCKS or any(other != folder for other, _ in _LOADED):
                 _LOADED.clear()
             tables = _LOADED[folder, file] = pickle.loads(read_file(folder, file))
         yield tables
