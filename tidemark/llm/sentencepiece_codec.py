@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import free_name, staged, unlike
+from tidemark.llm.common import free_name, slices, staged, unlike
 
 #: Texts of more characters are giant and go through the scan, in chunks of CHUNK characters.
 GIANT, CHUNK = 65_536, 16_384
@@ -39,6 +39,8 @@ BLOCK = 64
 CACHE_WORDS, CACHE_STEPS = 180_000, 600_000
 #: Words of more characters are walked each time.
 CACHE_CHARS = 64
+#: Bytes of texts or ids that are held as Python objects at a time.
+GROUP_BYTES = 1 << 20
 SPACE = "▁"
 _BREAK = re.compile(f"[^{SPACE}](?={SPACE})")
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -421,8 +423,7 @@ def _encode(model: str, keep: list[str], text_col: str):
     def run(batches):
         c = codec(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
+            for part in slices(batch, 64, GROUP_BYTES):
                 ids = c.encode([t or "" for t in part.column(text_col).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), pa.array(ids, pa.binary())], [*keep, "ids"])
 
@@ -457,8 +458,7 @@ def _decode(model: str, keep: list[str]):
     def run(batches):
         c = codec(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
+            for part in slices(batch, 64, GROUP_BYTES):
                 texts = c.decode([b or b"" for b in part.column("ids").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in keep), pa.array(texts, pa.string())], [*keep, "decoded"])
 
@@ -482,8 +482,7 @@ def _digest(model: str, known: bool):
     def run(batches):
         c = codec(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
+            for part in slices(batch, 64, GROUP_BYTES):
                 texts = part.column("text").to_pylist()
                 ids = part.column("ids").to_pylist() if known else c.encode(texts)
                 back = c.decode(ids)
