@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, html_text, language_id, lm_scoring, near_dedup, quality, sentencepiece_codec, token_files, warc
+from tidemark.llm import decontamination, exact_dedup, html_text, language_id, license_scan, lm_scoring, near_dedup, quality, sentencepiece_codec, source_divergence, spelling, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,19 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 #: A text with A-Z lower-cased (null: empty), and the words of operators 1 and 7, in DuckDB's SQL.
 LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ITEM_WORD, SPACED_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
@@ -120,6 +133,40 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
 """
 
+OP11_SQL = f"""
+WITH RECURSIVE
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') AS d, unnest(regexp_extract_all({LOWER.format("text")}, '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+own AS (SELECT d, run, count(*) AS n, hex(encode(d || ':' || run)) AS x FROM runs GROUP BY d, run),
+crc AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT) FOR i IN range(len(x) // 2)]),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, _: xor(y >> 1, 3988292384 * (y & 1))))) AS h FROM own),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM crc),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM w, unnest(range(0, length(word))) AS u(i)),
+pair AS (SELECT DISTINCT a.word, b.word AS near, b.n FROM less AS a JOIN less AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less AS a JOIN w AS b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM less AS a JOIN w AS b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM pair GROUP BY word),
+form AS (SELECT p.word, min(p.near) AS form, b.top AS form_n FROM pair AS p JOIN best AS b USING (word) JOIN w USING (word) WHERE p.n = b.top AND b.top >= 2 * w.n GROUP BY p.word, b.top),
+follow AS (SELECT word, word AS at FROM w UNION ALL SELECT f.word, o.form FROM follow AS f JOIN form AS o ON o.word = f.at)
+SELECT w.word, form.form, follow.at AS root, w.n, coalesce(best.n_near, 0) AS n_near, form.form_n
+FROM w LEFT JOIN best USING (word) LEFT JOIN form USING (word) JOIN follow ON follow.word = w.word LEFT JOIN form AS o ON o.word = follow.at WHERE o.word IS NULL
+"""
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWER.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS in_lang FROM t GROUP BY lang, term HAVING count(*) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(in_lang) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, sum(n) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+own AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(o.total, 0) + 2 * l.v) AS p, 1 + 1000000000::HUGEINT * (k.in_lang + 2) // (l.total + 2 * l.v) AS q
+  FROM groups JOIN kept AS k USING (lang) JOIN langs AS l USING (lang) LEFT JOIN counts AS c USING (lang, source, term) LEFT JOIN own AS o USING (lang, source)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums AS s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found) WHERE part = 'pair' OR rank <= 10
+"""
+
 
 def queries() -> dict:
     return {
@@ -133,6 +180,9 @@ def queries() -> dict:
         "op8_language_id": op8_language_id,
         "op9_html_text": op9_html_text,
         "op10_quality": op10_quality,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_license_scan": op13_license_scan,
     }
 
 
@@ -142,4 +192,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_dedup": OP3_SQL,
         "op6_warc": OP6_SQL,
         "op7_near_dedup": OP7_SQL,
+        "op11_spelling_variants": OP11_SQL,
+        "op12_source_divergence": OP12_SQL,
     }
