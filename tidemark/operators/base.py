@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.recursions import scan
-from tidemark.functions.windows import before
+from tidemark.functions.blocks import NUMBER, OWN, Blocks, recurred_series
+from tidemark.functions.linear import Formula, Linear, Op
+from tidemark.functions.windows import before, so_far
 
 
 @dataclass(frozen=True)
 class Node:
-    """A producer of columns; subclasses say how, in up to three steps.
+    """A producer of columns; subclasses say how, in up to four steps.
 
-    inputs: columns that a recursion reads; steps: the recursions, for
-    ``scan``; raw: the outputs before the lag. Temporary columns carry the
-    node's key, so equal nodes (lags aside) are computed once.
+    inputs: columns that look back on one row at most; sums: sums so far of
+    columns; steps: recursions; raw: the outputs before the lag. Temporary columns
+    carry the node's key, so equal nodes (lags aside) are computed once.
     """
 
     lag: int = 0
@@ -32,7 +34,11 @@ class Node:
     def inputs(self, bars: DataFrame) -> DataFrame:
         return bars
 
-    def steps(self) -> list:
+    def sums(self) -> dict[str, str]:
+        """Columns to make, each the sum so far of a column; missing values count 0."""
+        return {}
+
+    def steps(self) -> list[Op]:
         return []
 
     def raw(self, bars: DataFrame) -> DataFrame:
@@ -54,6 +60,14 @@ class Node:
         """Bars that an output reads, itself included; 0 if all before it."""
         return 0
 
+    def reach(self) -> int:
+        """Rows that ``raw`` looks back on, itself included."""
+        return max(1, self.lookback())
+
+    def strength_reach(self) -> int:
+        """Rows that ``strength`` looks back on, itself included."""
+        return 1
+
 
 def strength_name(node: Node) -> str:
     return f"strength__{node.outputs()[0].removeprefix('indicator__').removeprefix('signal__')}"
@@ -79,7 +93,7 @@ def _layers(nodes: list[Node]) -> list[list[Node]]:
     return [layers[k] for k in sorted(layers)]
 
 
-def compute(bars: DataFrame, nodes: list[Node], strengths: bool = False) -> DataFrame:
+def compute(bars: DataFrame, nodes: list[Node], strengths: bool = False, block_rows: int | None = None) -> DataFrame:
     """bars with the outputs of all nodes and, if asked for, a column of strength for each.
 
     Nodes that differ in their lag alone share one computation. Two nodes of
@@ -87,33 +101,74 @@ def compute(bars: DataFrame, nodes: list[Node], strengths: bool = False) -> Data
     column, an output of another node of the plan, whatever their order. The
     recursions of all nodes (of those that read other nodes' outputs, all of one
     depth) take one shuffle, all windows another; no node adds one of its own.
+
+    A series is one ordered pass unless block_rows is given: then it is cut into
+    blocks of so many rows (``functions.blocks``), each a task's, whatever the number of
+    series; that stores the bars once and takes a pass for each level of recursion.
+    The rows' values are the same; times of a series have to differ.
     """
     known: dict[str, tuple] = {}
     for node in nodes:
         for name in node.names():
             if known.setdefault(name, node.spec()) != node.spec():
                 raise ValueError(f"two nodes with other parameters give {name}")
+    if block_rows is not None:
+        return _in_blocks(bars, nodes, strengths, block_rows)
     for layer in _layers(nodes):
-        bars = _computed(bars, layer)
+        columns = bars.columns
+        bars = _inputs(bars, layer)
+        sums = {out: F.sum(F.coalesce(F.col(x), F.lit(0.0))).over(so_far()) for node in _unique(layer) for out, x in node.sums().items()}
+        bars = recurred_series(bars.withColumns(sums) if sums else bars, [s for node in _unique(layer) for s in node.steps()])
+        bars = _outputs(bars, layer, columns)
+    return _strengths(bars, nodes) if strengths else bars
+
+
+def _in_blocks(bars: DataFrame, nodes: list[Node], strengths: bool, block_rows: int) -> DataFrame:
+    blocks = Blocks(bars, block_rows)
+    frame = blocks.frame
+    for layer in _layers(nodes):
+        columns = frame.columns
+        if any(type(n).inputs is not Node.inputs for n in layer):
+            frame = blocks.windowed(frame, 2, lambda f, layer=layer: _inputs(f, layer))
+        ops: list[Op] = []
+        for node in _unique(layer):
+            for out, x in node.sums().items():
+                ops += [Formula(f"{out}_", (x,), lambda v: np.where(np.isnan(v), 0.0, v), hidden=True), Linear(out, f"{out}_")]
+            ops += node.steps()
+        frame = blocks.recurred(frame, ops)
+        reach = max(n.reach() + n.lag for n in layer)
+        frame = blocks.windowed(frame, reach, lambda f, layer=layer, columns=columns: _outputs(f, layer, columns))
     if strengths:
-        bars = bars.withColumns({strength_name(n): n.strength(*(F.col(f"`{c}`") for c in n.outputs())) for n in nodes})
-    return bars
+        frame = blocks.windowed(frame, max(n.strength_reach() for n in nodes), lambda f: _strengths(f, nodes))
+    return frame.select(*[F.col(f"`{c}`") for c in [*bars.columns, *(c for c in frame.columns if c not in bars.columns and c != NUMBER)]])
 
 
-def _computed(bars: DataFrame, nodes: list[Node]) -> DataFrame:
-    unique: dict[tuple, Node] = {}
+def _unique(nodes: list[Node]) -> list[Node]:
+    found: dict[tuple, Node] = {}
     for node in nodes:
-        unique.setdefault(node.spec(), node)
-    columns = bars.columns
-    for node in unique.values():
+        found.setdefault(node.spec(), node)
+    return list(found.values())
+
+
+def _inputs(bars: DataFrame, nodes: list[Node]) -> DataFrame:
+    for node in _unique(nodes):
         bars = node.inputs(bars)
-    bars = scan(bars, [s for node in unique.values() for s in node.steps()])
-    for node in unique.values():
+    return bars
+
+
+def _outputs(bars: DataFrame, nodes: list[Node], columns: list[str]) -> DataFrame:
+    """columns and the nodes' outputs; what blocks need besides stays."""
+    columns = [*columns, *(c for c in (OWN,) if c in bars.columns and c not in columns)]
+    for node in _unique(nodes):
         bars = node.raw(bars)
     outputs = {out: before(F.col(node.temp(k)), node.lag) for node in nodes for k, out in enumerate(node.outputs())}
     return bars.select(*[F.col(f"`{c}`") for c in columns], *[c.alias(name) for name, c in outputs.items()])
 
 
+def _strengths(bars: DataFrame, nodes: list[Node]) -> DataFrame:
+    return bars.withColumns({strength_name(n): n.strength(*(F.col(f"`{c}`") for c in n.outputs())) for n in nodes})
+
+
 def feature_columns(frame: DataFrame) -> list[str]:
     """Columns that a node has made, told by their names."""
     return [c for c in frame.columns if c.startswith(("signal__", "indicator__"))]

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.recursions import scan
+from tidemark.functions.blocks import recurred_series
+from tidemark.functions.linear import Formula, Linear, Op, quotient
 from tidemark.functions.windows import after, before, full, log, ratio, so_far
 from tidemark.operators.base import Node, compute, feature_columns
 
@@ -31,20 +33,17 @@ def next_log_return(bars: DataFrame, column: str = "close", name: str = "target"
     return bars.withColumn(name, log(ratio(after(F.col(column)), F.col(column))))
 
 
-def _adjusted(span: int, least: int):
+def _adjusted(out: str, source: str, span: int, least: int) -> list[Op]:
     """Exponential mean with weights that add up over what has been seen."""
     keep = 1 - 2 / (span + 1)
-    top = bottom = 0.0
-    n = 0
-
-    def step(x):
-        nonlocal top, bottom, n
-        top, bottom = top * keep, bottom * keep
-        if x is not None:
-            top, bottom, n = top + x, bottom + 1, n + 1
-        return (top / bottom if n >= least and bottom else None,)
-
-    return step
+    return [
+        Formula("__x", (source,), lambda x: np.where(np.isnan(x), 0.0, x), hidden=True),
+        Formula("__one", (source,), lambda x: (~np.isnan(x)).astype(float), hidden=True),
+        Linear("__top", "__x", keep, hidden=True),
+        Linear("__bottom", "__one", keep, hidden=True),
+        Linear("__count", "__one", hidden=True),
+        Formula(out, ("__top", "__bottom", "__count"), lambda top, bottom, n: np.where(n >= least, quotient(top, bottom), np.nan)),
+    ]
 
 
 def excess_return(bars: DataFrame, periods: int = 5, column: str = "close", vol_window: int = 21, drift_window: int = 252, drift: str = "rolling", drift_span: int | None = None, scale: float = 2.0, name: str = "target") -> DataFrame:
@@ -60,7 +59,7 @@ def excess_return(bars: DataFrame, periods: int = 5, column: str = "close", vol_
     bars = bars.withColumn("__r", log(ratio(x, before(x))))
     r = F.col("__r")
     if drift == "ewma":
-        bars = scan(bars, [(["__r"], ["__m"], lambda: _adjusted(drift_span or drift_window, drift_window))])
+        bars = recurred_series(bars, _adjusted("__m", "__r", drift_span or drift_window, drift_window))
     elif drift == "rolling":
         bars = bars.withColumn("__m", full(F.avg, r, drift_window))
     else:

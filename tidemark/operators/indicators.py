@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.recursions import Ewm, span, wilder
-from tidemark.functions.windows import before, full, last, nz, positive, ratio, running, so_far
+from tidemark.functions.linear import Formula, Mean, quotient, span, wilder
+from tidemark.functions.windows import before, full, last, nz, positive, ratio
 from tidemark.operators.base import Node
 
 
@@ -16,17 +17,9 @@ def _or(x: Column, value: float) -> Column:
     return F.coalesce(x, F.lit(value))
 
 
-def _chain(*means: Ewm):
-    """Means of means; gives all of them."""
-
-    def step(x):
-        out = []
-        for m in means:
-            x = m(x)
-            out.append(x)
-        return tuple(out)
-
-    return step
+def _chain(source: str, outs: list[str], n: int) -> list[Mean]:
+    """Means of means, the first of source."""
+    return [span(out, x, n) for out, x in zip(outs, [source, *outs], strict=False)]
 
 
 @dataclass(frozen=True)
@@ -51,6 +44,9 @@ class _Average(_Priced):
     def strength(self, mean):
         return F.tanh(_or(ratio(self.x - mean, full(F.stddev_samp, self.x, self.period)), 0.0))
 
+    def strength_reach(self):
+        return self.period
+
 
 @dataclass(frozen=True)
 class SMA(_Average):
@@ -80,8 +76,15 @@ class WMA(_Average):
 class CMA(_Average):
     """Mean of all bars so far, from the period-th value on."""
 
+    def inputs(self, bars):
+        return bars.withColumn(self.temp("one"), F.when(self.x.isNotNull(), F.lit(1.0)))
+
+    def sums(self):
+        return {self.temp("n"): self.temp("one"), self.temp("s"): self.column.lower()}
+
     def raw(self, bars):
-        return bars.withColumn(self.temp(0), F.when(F.count(self.x).over(so_far()) >= self.period, F.avg(self.x).over(so_far())))
+        n = F.col(self.temp("n"))
+        return bars.withColumn(self.temp(0), F.when(n >= self.period, F.col(self.temp("s")) / nz(n)))
 
 
 @dataclass(frozen=True)
@@ -89,7 +92,7 @@ class EMA(_Average):
     """Exponential mean."""
 
     def steps(self):
-        return [([self.column.lower()], [self.temp(0)], lambda: _chain(span(self.period)))]
+        return _chain(self.column.lower(), [self.temp(0)], self.period)
 
 
 @dataclass(frozen=True)
@@ -97,7 +100,7 @@ class DEMA(_Average):
     """Twice the exponential mean less the mean of the mean."""
 
     def steps(self):
-        return [([self.column.lower()], [self.temp("e1"), self.temp("e2")], lambda: _chain(*(span(self.period) for _ in range(2))))]
+        return _chain(self.column.lower(), [self.temp("e1"), self.temp("e2")], self.period)
 
     def raw(self, bars):
         return bars.withColumn(self.temp(0), 2 * F.col(self.temp("e1")) - F.col(self.temp("e2")))
@@ -108,7 +111,7 @@ class TEMA(_Average):
     """Three exponential means combined to take out their delay."""
 
     def steps(self):
-        return [([self.column.lower()], [self.temp(f"e{k}") for k in (1, 2, 3)], lambda: _chain(*(span(self.period) for _ in range(3))))]
+        return _chain(self.column.lower(), [self.temp(f"e{k}") for k in (1, 2, 3)], self.period)
 
     def raw(self, bars):
         e1, e2, e3 = (F.col(self.temp(f"e{k}")) for k in (1, 2, 3))
@@ -131,17 +134,14 @@ class RSI(_Priced):
         return bars.withColumn(self.temp("d"), self.x - before(self.x))
 
     def steps(self):
-        def make():
-            up, down = wilder(self.period, self.period), wilder(self.period, self.period)
-
-            def step(d):
-                g = up(None if d is None else max(d, 0.0))
-                lost = down(None if d is None else max(-d, 0.0))
-                return (None if g is None or not lost else 100.0 - 100.0 / (1.0 + g / lost),)
-
-            return step
-
-        return [([self.temp("d")], [self.temp(0)], make)]
+        d, up, down, gain, loss = (self.temp(c) for c in ("d", "up", "down", "gain", "loss"))
+        return [
+            Formula(up, (d,), lambda x: np.maximum(x, 0.0), hidden=True),
+            Formula(down, (d,), lambda x: np.maximum(-x, 0.0), hidden=True),
+            wilder(gain, up, self.period, least=self.period, hidden=True),
+            wilder(loss, down, self.period, least=self.period, hidden=True),
+            Formula(self.temp(0), (gain, loss), lambda g, lost: 100.0 - 100.0 / (1.0 + quotient(g, lost))),
+        ]
 
     def strength(self, rsi):
         return F.tanh((50 - rsi) / 20)
@@ -158,17 +158,8 @@ class MACD(_Priced):
         return [f"indicator__macd_{self.fast}_{self.slow}", f"indicator__macd_signal_{self.fast}_{self.slow}"]
 
     def steps(self):
-        def make():
-            fast, slow, signal = span(self.fast), span(self.slow), span(9)
-
-            def step(x):
-                f, s = fast(x), slow(x)
-                d = None if f is None else f - s
-                return d, signal(d)
-
-            return step
-
-        return [([self.column.lower()], [self.temp(0), self.temp(1)], make)]
+        x, f, s = self.column.lower(), self.temp("f"), self.temp("s")
+        return [span(f, x, self.fast, hidden=True), span(s, x, self.slow, hidden=True), Formula(self.temp(0), (f, s), np.subtract), span(self.temp(1), self.temp(0), 9)]
 
     def strength(self, macd, signal):
         return _or(signal, 0.0)
@@ -292,6 +283,9 @@ class _Spread(_Priced):
     def strength(self, v):
         return F.tanh(_or(ratio(v, full(F.stddev_samp, v, self.period)), 0.0))
 
+    def strength_reach(self):
+        return self.period
+
 
 @dataclass(frozen=True)
 class ROC(_Spread):
@@ -318,12 +312,15 @@ class TRIX(_Spread):
         return [f"indicator__trix_{self.period}"]
 
     def steps(self):
-        return [([self.column.lower()], [self.temp(f"e{k}") for k in (1, 2, 3)], lambda: _chain(*(span(self.period) for _ in range(3))))]
+        return _chain(self.column.lower(), [self.temp(f"e{k}") for k in (1, 2, 3)], self.period)
 
     def raw(self, bars):
         e = F.col(self.temp("e3"))
         return bars.withColumn(self.temp(0), (ratio(e, before(e)) - 1) * 100)
 
+    def reach(self):
+        return 2
+
 
 @dataclass(frozen=True)
 class DPO(_Priced):
@@ -405,13 +402,21 @@ class OBV(Node):
     def names(self):
         return [f"indicator__obv_roc_{self.period}"]
 
-    def raw(self, bars):
+    def inputs(self, bars):
         c = F.col("close")
-        bars = bars.withColumn(self.temp("v"), F.signum(c - before(c)) * F.col("volume"))
-        bars = bars.withColumn(self.temp("s"), running(F.col(self.temp("v"))))
+        return bars.withColumn(self.temp("v"), F.signum(c - before(c)) * F.col("volume"))
+
+    def sums(self):
+        return {self.temp("all"): self.temp("v")}
+
+    def raw(self, bars):
+        bars = bars.withColumn(self.temp("s"), F.when(F.col(self.temp("v")).isNotNull(), F.col(self.temp("all"))))
         s = F.col(self.temp("s"))
         return bars.withColumn(self.temp(0), ratio(s - before(s, self.period), full(F.stddev_samp, s, self.period)))
 
+    def reach(self):
+        return self.period + 1
+
     def strength(self, v):
         return F.tanh(_or(v, 0.0))
 
@@ -430,11 +435,14 @@ class ForceIndex(Node):
         return bars.withColumn(self.temp("v"), F.col("volume") * (c - before(c)))
 
     def steps(self):
-        return [([self.temp("v")], [self.temp(0)], lambda: _chain(span(self.period)))]
+        return _chain(self.temp("v"), [self.temp(0)], self.period)
 
     def strength(self, f):
         return F.tanh(_or(ratio(f, full(F.stddev_samp, f, self.period)), 0.0))
 
+    def strength_reach(self):
+        return self.period
+
 
 @dataclass(frozen=True)
 class CHO(Node):
@@ -449,24 +457,26 @@ class CHO(Node):
     def inputs(self, bars):
         h, low, c = F.col("high"), F.col("low"), F.col("close")
         flow = ratio((c - low) - (h - c), h - low) * F.col("volume")
-        bars = bars.withColumn(self.temp("f"), flow)
-        return bars.withColumn(self.temp("ad"), running(F.col(self.temp("f"))))
+        return bars.withColumn(self.temp("flow"), flow)
 
-    def steps(self):
-        def make():
-            fast, slow = span(self.fast), span(self.slow)
+    def sums(self):
+        return {self.temp("all"): self.temp("flow")}
 
-            def step(x):
-                f, s = fast(x), slow(x)
-                return (None if f is None else f - s,)
-
-            return step
-
-        return [([self.temp("ad")], [self.temp(0)], make)]
+    def steps(self):
+        ad, f, s = (self.temp(c) for c in ("ad", "f", "s"))
+        return [
+            Formula(ad, (self.temp("all"), self.temp("flow")), lambda total, flow: np.where(np.isnan(flow), np.nan, total), hidden=True),
+            span(f, ad, self.fast, hidden=True),
+            span(s, ad, self.slow, hidden=True),
+            Formula(self.temp(0), (f, s), np.subtract),
+        ]
 
     def strength(self, v):
         return F.tanh(_or(ratio(v, full(F.stddev_samp, v, self.slow)), 0.0))
 
+    def strength_reach(self):
+        return self.slow
+
 
 # --- trend
 
@@ -492,19 +502,15 @@ class ADX(Node):
         return bars.withColumns({self.temp("tr"): true_range(), self.temp("p"): _or(F.when((up > down) & (up > 0), up), 0.0), self.temp("m"): _or(F.when((down > up) & (down > 0), down), 0.0)})
 
     def steps(self):
-        def make():
-            tr, plus, minus, dx = (wilder(self.period) for _ in range(4))
-
-            def step(r, p, m):
-                r, p, m = tr(r), plus(p), minus(m)
-                p, m = (None, None) if not r else (100 * p / r, 100 * m / r)
-                total = None if p is None else p + m
-                d = None if not total else 100 * abs(p - m) / total
-                return dx(d), p, m
-
-            return step
-
-        return [([self.temp(c) for c in ("tr", "p", "m")], [self.temp(k) for k in range(3)], make)]
+        means = [wilder(self.temp(f"{c}_mean"), self.temp(c), self.period, hidden=True) for c in ("tr", "p", "m")]
+        r, p, m = (o.out for o in means)
+        plus, minus, dx = self.temp(1), self.temp(2), self.temp("dx")
+        return [
+            *means,
+            *[Formula(out, (x, r), lambda x, r: quotient(100 * x, r)) for out, x in ((plus, p), (minus, m))],
+            Formula(dx, (plus, minus), lambda p, m: quotient(100 * np.abs(p - m), p + m), hidden=True),
+            wilder(self.temp(0), dx, self.period),
+        ]
 
     def strength(self, adx, plus, minus):
         return _or(ratio(plus - minus, plus + minus) * F.tanh(adx / 25), 0.0)
@@ -523,7 +529,7 @@ class ATR(Node):
         return bars.withColumn(self.temp("tr"), true_range())
 
     def steps(self):
-        return [([self.temp("tr")], [self.temp(0)], lambda: _chain(wilder(self.period)))]
+        return [wilder(self.temp(0), self.temp("tr"), self.period)]
 
 
 @dataclass(frozen=True)
@@ -540,12 +546,15 @@ class MassIndex(Node):
         return bars.withColumn(self.temp("r"), F.col("high") - F.col("low"))
 
     def steps(self):
-        return [([self.temp("r")], [self.temp("e1"), self.temp("e2")], lambda: _chain(span(self.ema_period), span(self.ema_period)))]
+        return _chain(self.temp("r"), [self.temp("e1"), self.temp("e2")], self.ema_period)
 
     def raw(self, bars):
         bars = bars.withColumn(self.temp("q"), ratio(F.col(self.temp("e1")), F.col(self.temp("e2"))))
         return bars.withColumn(self.temp(0), full(F.sum, F.col(self.temp("q")), self.sum_period))
 
+    def reach(self):
+        return self.sum_period
+
     def strength(self, mi):
         return F.tanh((26.75 - _or(mi, 26.75)) / 1.5)
 

@@ -101,6 +101,9 @@ class KernelRegression(Node):
         scale = F.coalesce(nz(wide), nz(full(F.stddev_samp, self.x, self.bandwidth)))
         return F.tanh(F.coalesce(ratio(self.x - estimate, scale), F.lit(0.0)))
 
+    def strength_reach(self):
+        return self.bandwidth
+
     def crossovers(self, frame: DataFrame) -> DataFrame:
         """frame with bullish and bearish: whether the estimate turned at this bar; never null."""
         e = F.col(self.outputs()[0])

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.linear import Linear
 from tidemark.functions.windows import before, log, ratio
 from tidemark.operators.base import Node
 from tidemark.sources.bars import PRICES
@@ -45,21 +46,17 @@ class HeikinAshi(Node):
         return [f"signal__ha_{p}" for p in PRICES]
 
     def inputs(self, bars):
-        return bars.withColumns({self.temp("c"): (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4, self.temp("s"): (F.col("open") + F.col("close")) / 2})
+        close = (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4
+        bars = bars.withColumns({self.temp("c"): close, self.temp("f"): before(F.lit(1)).isNull()})
+        first = F.col(self.temp("f"))
+        # the first open is the bar's own middle, a later one the mean of the smoothed open and close before it
+        return bars.withColumns({self.temp("a"): F.when(first, F.lit(0.0)).otherwise(F.lit(0.5)), self.temp("b"): F.when(first, (F.col("open") + F.col("close")) / 2).otherwise(before(close) / 2)})
 
     def steps(self):
-        def make():
-            was = None
+        return [Linear(self.temp("o"), self.temp("b"), self.temp("a"))]
 
-            def step(close, seed):
-                nonlocal was
-                opened = seed if was is None else (was[0] + was[1]) / 2 if None not in was else None
-                was = (opened, close)
-                return (opened,)
-
-            return step
-
-        return [([self.temp("c"), self.temp("s")], [self.temp("o")], make)]
+    def reach(self):
+        return 2
 
     def raw(self, bars):
         o, c = F.col(self.temp("o")), F.col(self.temp("c"))

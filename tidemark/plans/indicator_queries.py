@@ -179,6 +179,20 @@ def recursion_plan(spark, sf_dir) -> DataFrame:
     return rounded(compute(hourly(spark, sf_dir), _RECURSIONS), [c for n in _RECURSIONS for c in n.outputs()])
 
 
+#: Small enough that each of the tables' series is several blocks.
+_BLOCK = 256
+
+
+def window_blocks(spark, sf_dir) -> DataFrame:
+    """``window_plan`` with each series cut into blocks that have the last rows of the one before."""
+    return rounded(compute(hourly(spark, sf_dir), _WINDOWS, block_rows=_BLOCK), [c for n in _WINDOWS for c in n.outputs()])
+
+
+def recursion_blocks(spark, sf_dir) -> DataFrame:
+    """``recursion_plan`` with each series cut into blocks whose maps are folded."""
+    return rounded(compute(hourly(spark, sf_dir), _RECURSIONS, block_rows=_BLOCK), [c for n in _RECURSIONS for c in n.outputs()])
+
+
 _CHAIN = [I.SMA(column="signal__ha_close", period=5), HeikinAshi(), I.EMA(column="indicator__sma_5", period=4)]
 
 
@@ -213,9 +227,9 @@ def _joined(nodes: list[Node]) -> str:
 
 def queries() -> dict[str, Callable]:
     out = {name: node_query(node, strength) for name, (node, _, strength) in _ALL.items()}
-    return out | {"kernel_crossovers": crossovers, "external_column": external, "engine_atr": engine_atr, "windows_all": window_plan, "ewm_family": recursion_plan, "chained_average": chained}
+    return out | {"kernel_crossovers": crossovers, "external_column": external, "engine_atr": engine_atr, "windows_all": window_plan, "ewm_family": recursion_plan, "windows_blocks": window_blocks, "ewm_blocks": recursion_blocks, "chained_average": chained}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: sql for name, (_, sql, _) in _ALL.items() if sql}
-    return out | {"kernel_crossovers": _crossovers_sql(), "external_column": EXTERNAL_SQL, "engine_atr": _engine_atr_sql(), "windows_all": _joined(_WINDOWS), "ewm_family": _joined(_RECURSIONS), "chained_average": _chained_sql()}
+    return out | {"kernel_crossovers": _crossovers_sql(), "external_column": EXTERNAL_SQL, "engine_atr": _engine_atr_sql(), "windows_all": _joined(_WINDOWS), "ewm_family": _joined(_RECURSIONS), "windows_blocks": _joined(_WINDOWS), "ewm_blocks": _joined(_RECURSIONS), "chained_average": _chained_sql()}
