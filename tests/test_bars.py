@@ -136,20 +136,24 @@ def test_registered_search_and_interval_use_the_defaults(spark, tmp_path, monkey
     rows = [(k, "a", datetime(2026, 1, 1) + timedelta(hours=k), float(k % 7 + 1)) for k in range(30)]
     spark.createDataFrame(rows, "event_id long, event_type string, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
     calls = {}
-    for module, name in ((trading_queries, "optimize"), (MC, "sharpe_interval")):
+    empty = {"optimize": [], "optimize_signals": [], "sharpe_interval": spark.createDataFrame([], "symbol string, sharpe double, ci_low double, ci_high double")}
+    for module, name in ((trading_queries, "optimize"), (trading_queries, "optimize_signals"), (MC, "sharpe_interval")):
         bound = inspect.signature(getattr(module, name))
 
         def called(*args, _name=name, _bound=bound, **options):
             full = _bound.bind(*args, **options)
             full.apply_defaults()
             calls[_name] = full.arguments
-            return []
+            return empty[_name]
 
         monkeypatch.setattr(module, name, called)
-    trading_queries.parameter_search(spark, str(tmp_path))
+    trading_queries.backtest_search(spark, str(tmp_path))
+    trading_queries.signal_search(spark, str(tmp_path))
     trading_queries.sharpe_interval(spark, str(tmp_path))
-    # the first batches are random, the later ones near good trials
-    assert calls["optimize"]["n_trials"] == 100 and RANDOM_TRIALS < 100 - calls["optimize"]["batch"] and calls["sharpe_interval"]["n_boot"] == 1000
+    # the first batches are random, the later ones from the densities
+    for name in ("optimize", "optimize_signals"):
+        assert calls[name]["n_trials"] == 100 and RANDOM_TRIALS < 100 - calls[name]["batch"]
+    assert calls["sharpe_interval"]["n_boot"] == 1000
 
 
 def test_gates_on_all_baselines(spark):

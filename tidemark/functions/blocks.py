@@ -95,9 +95,13 @@ class Blocks:
     def windowed(self, frame: DataFrame, reach: int, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """make(frame), where windows look back on at most ``reach`` rows, this one included.
 
-        make gets blocks as series of their own: the symbol stands for symbol
-        and block, and each block begins with the last rows of the one before.
+        make gets blocks as series of their own (``keyed``).
         """
+        made = make(self.keyed(frame, reach)).filter(OWN)
+        return made.select(F.col("symbol.name").alias("symbol"), *[F.col(f"`{c}`") for c in made.columns if c not in ("symbol", OWN)])
+
+    def keyed(self, frame: DataFrame, reach: int) -> DataFrame:
+        """frame with symbol and block for its symbol, and at the start of each block copies of the last reach - 1 rows before it, which it does not own."""
         if reach > self.size + 1:
             raise ValueError(f"windows of {reach} rows need blocks of {reach - 1} rows at least, not {self.size}")
         own = F.struct(self.block.alias("to"), F.lit(True).alias("own"))
@@ -105,9 +109,7 @@ class Blocks:
         copies = F.when(late, F.array(own, F.struct((self.block + 1).alias("to"), F.lit(False).alias("own")))).otherwise(F.array(own))
         others = [c for c in frame.columns if c != "symbol"]
         spread = frame.withColumn(_ITEM, F.explode(copies))
-        keyed = spread.select(F.struct(F.col("symbol").alias("name"), F.col(f"{_ITEM}.to").alias("block")).alias("symbol"), *[F.col(f"`{c}`") for c in others], F.col(f"{_ITEM}.own").alias(OWN))
-        made = make(keyed).filter(OWN)
-        return made.select(F.col("symbol.name").alias("symbol"), *[F.col(f"`{c}`") for c in made.columns if c not in ("symbol", OWN)])
+        return spread.select(F.struct(F.col("symbol").alias("name"), F.col(f"{_ITEM}.to").alias("block")).alias("symbol"), *[F.col(f"`{c}`") for c in others], F.col(f"{_ITEM}.own").alias(OWN))
 
     def _pass(self, frame: DataFrame, states: DataFrame | None, keep: list[str], run: Callable, schema: T.StructType) -> DataFrame:
         """run over the whole blocks in order; the first row of a block has its states."""

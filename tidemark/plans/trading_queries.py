@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +15,10 @@ from tidemark.operators import indicators as I
 from tidemark.operators import metrics as M
 from tidemark.operators import montecarlo as MC
 from tidemark.operators import risk as R
+from tidemark.operators import trials as D
 from tidemark.operators.base import compute
 from tidemark.operators.network import Network
-from tidemark.operators.search import FloatParam, IntParam, optimize, trials_table
+from tidemark.operators.search import FloatParam, IntParam, optimize, optimize_signals, trials_table
 from tidemark.operators.signals import LogReturns
 from tidemark.operators.simulate import Account, backtest, trades
 from tidemark.operators.strategy import Precomputed, Rules, Weighted
@@ -354,13 +356,50 @@ def _moments_sql() -> str:
     return s.select(f"symbol, n, {r('m', 'mean')}, {r('sh', 'sharpe')}, {r('sk', 'skew')}, {r('ku', 'kurtosis')}")
 
 
+#: A short average's strength with a weight of its own, against a long one's.
+_SPACE = {"fast": IntParam(3, 8), "slow": IntParam(12, 24, 4), "weight": FloatParam(0.5, 2.0)}
+_TRIALS, _SPLIT = 1000, datetime(2024, 1, 22)
+
+
 def parameter_search(spark, sf_dir):
-    space = {"fast": IntParam(3, 8), "slow": IntParam(12, 24, 4), "weight": FloatParam(0.5, 2.0)}
+    """A thousand trials as data: drawn in columns, scored on bars before and after a time in one scan."""
+    trials = D.sampled(spark, _SPACE, _TRIALS, seed=5)
+    sma = F.lit("sma")
+    found = D.scores(hourly(spark, sf_dir), D.parts(trials, (sma, F.col("fast"), F.col("weight")), (sma, F.col("slow"), F.lit(-0.7))), _SPLIT)
+    return rounded(trials.join(found, "trial"), ["weight", "score", "valid_score"], 6, ("trial", "fast", "slow", "n", "valid_n"))
+
+
+def _search_sql() -> str:
+    s = _returns()
+    s.add(r="ret", late=f"ts >= TIMESTAMP '{_SPLIT}'")
+    periods = [*range(3, 9), *range(12, 25, 4)]
+    s.add(**{f"p{n}": f"tanh(coalesce((close - {full('avg', 'close', n)}) / nullif({full('stddev_samp', 'close', n)}, 0), 0))" for n in periods})
+    s.add(**{f"q{n}": lag(f"p{n}") for n in periods})
+    s.ctes.append("st AS (" + " UNION ALL ".join(f"SELECT symbol, ts, r, late, {n} AS period, q{n} AS q FROM {s.top}" for n in periods) + ")")
+    s.ctes.append(f"t AS (SELECT range AS sim FROM range({_TRIALS}))")
+    for name, source, k in (("ta", "t", 1), ("tb", "ta", 2), ("tc", "tb", 3)):
+        _drawn(s, name, source, "0", k, seed=5)
+    s.ctes.append(f"tr AS (SELECT sim AS trial, (3 + d1 % 6)::INT AS fast, (12 + 4 * (d2 % 4))::INT AS slow, (d3 + 0.5) / {float(MC._M)!r}::DOUBLE * 1.5 + 0.5 AS weight FROM tc)")
+    s.ctes.append("sg AS (SELECT trial, a.symbol, a.late, a.r, tanh(a.q * weight + b.q * -0.7) AS x FROM tr JOIN st a ON a.period = fast JOIN st b ON b.period = slow AND b.symbol = a.symbol AND b.ts = a.ts WHERE a.q IS NOT NULL AND a.r IS NOT NULL)")
+    s.ctes.append("co AS (SELECT trial, symbol, late, count(*) AS n, corr(x, r) AS c FROM sg GROUP BY ALL)")
+    s.ctes.append("sc AS (SELECT trial, coalesce(sum(n) FILTER (NOT late), 0)::BIGINT AS n, avg(c) FILTER (NOT late) AS score, coalesce(sum(n) FILTER (late), 0)::BIGINT AS valid_n, avg(c) FILTER (late) AS valid_score FROM co GROUP BY 1)")
+    s.top = "tr JOIN sc USING (trial)"
+    r = lambda e: f"round({e} + {NUDGE!r}, 6) + 0.0 AS {e}"
+    return s.select(f"trial, fast, slow, n, valid_n, {r('weight')}, {r('score')}, {r('valid_score')}")
+
+
+def signal_search(spark, sf_dir):
+    """The same space searched by densities of good and bad trials, a batch at a time."""
+    return trials_table(spark, optimize_signals(hourly(spark, sf_dir).cache(), _SPACE, lambda p: [("sma", p["fast"], p["weight"]), ("sma", p["slow"], -0.7)], _SPLIT))
+
+
+def backtest_search(spark, sf_dir):
+    """The same space searched by backtests' returns."""
 
     def factory(p):
         return Weighted(((I.SMA(period=p["fast"]), p["weight"]), (I.SMA(period=p["slow"]), -0.7)), RULES)
 
-    return trials_table(spark, optimize(hourly(spark, sf_dir).cache(), space, factory, "total_return"))
+    return trials_table(spark, optimize(hourly(spark, sf_dir).cache(), _SPACE, factory, "total_return"))
 
 
 def learned(spark, sf_dir):
@@ -379,7 +418,7 @@ def queries() -> dict[str, Callable]:
         "target_future": target_query(X.future_return), "target_direction": target_query(X.directional_target), "target_excess_rolling": target_query(lambda b: X.excess_return(b, drift_window=50)),
         "target_excess_expanding": target_query(lambda b: X.excess_return(b, drift_window=50, drift="expanding")), "target_excess_ewma": target_query(lambda b: X.excess_return(b, drift_window=50, drift="ewma")),
         "feature_matrix": feature_rows, "scaler_minmax": minmax_rows, "walk_forward": folds, "losses": losses, "paths_circular": circular_paths, "paths_stationary": resampled("stationary"), "paths_shuffle": resampled("shuffle"), "paths_gbm": resampled("gbm"),
-        "monte_carlo": monte_carlo, "sharpe_interval": sharpe_interval, "return_moments": moments, "parameter_search": parameter_search, "network": learned,
+        "monte_carlo": monte_carlo, "sharpe_interval": sharpe_interval, "return_moments": moments, "parameter_search": parameter_search, "signal_search": signal_search, "backtest_search": backtest_search, "network": learned,
     }
 
 
@@ -413,4 +452,5 @@ def oracle_sql() -> dict[str, str]:
         "sharpe_interval": _interval_sql(),
         "target_excess_ewma": _excess_sql("ewma"),
         "return_moments": _moments_sql(),
+        "parameter_search": _search_sql(),
     }
