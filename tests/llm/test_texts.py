@@ -474,10 +474,52 @@ def test_templates_go(spark):
     assert by[3] == "One two three four\n\npage 3 <six>\n\ni\n\nj" and by[20].endswith("Sign up here") and by[21] == by[22] == ""
     assert all(r["n_chars"] == len(r["text"]) and r["host"] == "e" for r in got)
     other = html_text.extract(pages.withColumnsRenamed({"html": "body", "host": "html"}).withColumn("Text", F.lit(1)), html_col="body")
-    assert other.columns == ["page_id", "url", "html", "text", "n_chars"] and {r["page_id"]: r["text"] for r in other.collect()} == by
+    assert other.columns == ["page_id", "url", "html", "text", "n_chars", "n_removed"] and {r["page_id"]: r["text"] for r in other.collect()} == by
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_a_story_on_many_pages_stays(spark):
+    """A wire story under other titles, whatever it is wrapped in; what surrounds it goes."""
+    story = "<p>A wire story of some length is told here.</p><p>It goes on for a while, and then it ends.</p>"
+    told = "A wire story of some length is told here.\n\nIt goes on for a while, and then it ends."
+    wraps = {
+        "a": '<article><h1>T{k}</h1><div class="body">%s</div><div class="box"><p>Read our other pages as well today</p></div></article>',
+        "b": '<article><h1>T{k}</h1><div><div class="w1"><div>%s</div></div></div><div class="related"><p>Read our other pages as well today</p></div></article>',
+        "c": '<main><h1>T{k}</h1><section><div class="lead">%s</div></section></main><div class="box"><p>Read our other pages as well today</p></div>',
+    }
+    rows = []
+    for host, wrap in wraps.items():
+        rows += [(host, k, f"http://{host}.example/{k}", "<body>" + (wrap % story).replace("{k}", str(k)) + "</body>") for k in range(10)]
+        rows += [(host, k, f"http://{host}.example/{k}", "<body>" + (wrap % f"<p>Another story, number {k}, which no other page tells.</p>").replace("{k}", str(k)) + "</body>") for k in range(10, 200)]
+    long = " ".join(f"word{k}" for k in range(80))
+    rows += [("d", k, f"http://d.example/{k}", f"<body><div><h2>Title {k}</h2><div class=text><p>{long}</p></div></div><div><p>Read our other pages as well today</p></div></body>") for k in range(12)]
+    got = html_text.extract(spark.createDataFrame(rows, "host string, k int, url string, html string")).collect()
+    for r in got:
+        if r["host"] == "d":
+            assert r["text"] == f"Title {r['k']}\n\n{long}"
+        else:
+            assert r["text"] == f"T{r['k']}\n\n" + (told if r["k"] < 10 else f"Another story, number {r['k']}, which no other page tells.")
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>Let <math><mi>x</mi></math> be a number.</p></article>", "Let x be a number."),
+        ("<article><p>See</p><object data=x><p>the fallback</p></object></article>", "See\n\nthe fallback"),
+        ('<article><p>Story</p></article><section id="reader-comments"><p>I agree</p></section><div class="user-feedback"><p>Me too</p></div>', "Story"),
+        ('<body class="has-comments"><h1>T</h1><div class="comment-count">Story of comments</div></body>', "T\n\nStory of comments"),
+        ("<body><div><h1>T</h1><p>Story</p></div><div><h3>3 Comments</h3><p>I agree</p></div></body>", "T\n\nStory"),
+        ("<article><h1>T</h1><p>Story is longer than that</p><h2>Leave a reply</h2><p>I agree</p></article>", "T\n\nStory is longer than that"),
+        ("<article><h1>T</h1><h2>Comments</h2><p>That is the heading of a long chapter on comments in law</p><h2>More</h2><p>x</p></article>", "T\n\nComments\n\nThat is the heading of a long chapter on comments in law\n\nMore\n\nx"),
+        ('<body><article><h1>T</h1><p>Story</p></article><div class="x"><div class="r"><span class="u-author">Ann</span><p>Nice</p></div><div class="r"><span class="u-author">Bob</span><p>No</p></div></div></body>', "T\n\nStory"),
+        ('<body><article><h1>T</h1><p>Story</p></article><ul><li itemprop="comment"><p>Nice</p></li></ul></body>', "T\n\nStory"),
+        ('<main><h1>T</h1><div class="r"><time>1999</time><p>First entry of a diary</p></div><div class="r"><time>2000</time><p>Second entry</p></div></main>', "T\n\n1999\n\nFirst entry of a diary\n\n2000\n\nSecond entry"),
+    ],
+)
+def test_comments_by_shape_and_kept_elements(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_templates_are_counted_on_distinct_pages(spark):
     page = "<body><div class=x1>{notice}</div><div class=x2><h2>Size</h2>Story {k} is told here</div></body>"
     notices = [f"Notice {k} of this site is shown today" for k in range(4)]

@@ -4,9 +4,9 @@ A page's markup is read into a light tree. Every block with text, whether its
 tag or class names it a menu, notice or advert or not, is hashed with all in it;
 Spark counts on how many distinct pages of a host each hash stands, and those
 on many are taken out of the host's pages. What differs from page to page and
-so recurs nowhere (a page's comments, adverts in rotation, its own form) goes by
-its element, its role or the whole of a class that names it, but never where it
-holds the article.
+so recurs nowhere (adverts in rotation, a page's own form) goes by its element, its
+role or the whole of a class that names it; comments also by their heading, their
+item type or their shape. Nothing goes that holds the article.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ MANY_PAGES, MANY_SHARE, MANY_WORDS = 10, 0.01, 5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 #: Never text, and parts of a page that are no article (of these, the last four go unless they hold the main element).
-DROPPED = frozenset("head script style noscript template iframe svg math object button select input textarea canvas audio video noembed noframes title".split())
+DROPPED = frozenset("head script style noscript template iframe svg annotation annotation-xml button select input textarea canvas audio video noembed noframes title".split())
 PARTS = frozenset("form dialog label nav footer aside menu".split())
 ASIDE = frozenset("nav footer aside menu".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -43,7 +43,19 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Elements that a class or id may name.
 CONTAINERS = frozenset("div section ul ol dl table center details fieldset figure span ins header article".split())
 #: A class names such a part if it is one of NAMES, or of these and PLAIN with hyphens or underscores between.
-COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond replies responses feedback".split())
+#: Words beside one of these that make a class tell something about an article instead, as in has-comments and comment-count.
+NOT_COMMENTS = frozenset("has no not open closed enabled disabled allow allowed with without count counts number link links".split())
+#: A heading that says that comments follow, in the languages of most pages.
+COMMENTS_HEADING = re.compile(
+    r"(?:\d+\s+)?(?:(?:reader|user|visitor|your)s?'?\s+)?(?:comments?|responses?|replies|kommentare?|leserkommentare|commentaires?|comentarios?|commenti|reacties)\W*\d*\W*"
+    r"|(?:leave|post|add|write)\s+(?:a|your)\s+(?:comment|reply|response)\W*|(?:join|start)\s+the\s+(?:discussion|conversation)\W*",
+    re.I,
+)
+#: A class of what tells who wrote a comment and when.
+BYLINES = frozenset("author avatar byline commenter date datetime nick nickname posted time timestamp user username".split())
+#: Comments by shape: so many records of one kind beside one another, each with a byline, no heading and at most so many words.
+RECORDS, RECORD_WORDS = 2, 250
 NAMES = COMMENTS | frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidenav widget widgets cookie cookies consent gdpr notice notices "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations breadcrumb breadcrumbs menu nav navbar navigation footer masthead "
@@ -55,8 +67,13 @@ CLOSES = {"li": (frozenset(["li"]), frozenset("ul ol menu".split())), "dt": (fro
 _CLOSE_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemtype|itemprop)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _JOINT = re.compile(r"[-_]+")
+_SPLIT = re.compile(r"[-_\s]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+RECORD_TAGS = frozenset("div li section article dd tr".split())
+#: A block with so large a share of the prose of its article (or, on a page without one, of the page, and so many words) is the article's body and no template.
+BODY_SHARE, PART_SHARE, BODY_WORDS = 0.5, 0.2, 50
 #: Bits of a subtree's hash: the lowest is always set, the next one if the subtree has MANY_WORDS words.
 _MASK, _SOME, _LONG = (1 << 63) - 4, 1, 2
 
@@ -68,7 +85,7 @@ _GONE, _PART, _NAMED, _COMMENTS = 1, 2, 3, 4
 class Node:
     """An element; after measure() with the hash of the subtree, its words, and what it holds."""
 
-    __slots__ = ("article", "children", "hash", "heading", "label", "main", "mark", "parent", "size", "tag", "words")
+    __slots__ = ("article", "byline", "children", "hash", "heading", "label", "main", "mark", "parent", "prose", "size", "tag", "titled", "words")
 
     def __init__(self, tag: str, parent: Node | None, label: str, mark: int):
         self.tag, self.parent, self.label, self.mark = tag, parent, label, mark
@@ -78,9 +95,11 @@ class Node:
 def _named(token: str) -> int:
     """The mark that a class or id gives."""
     parts = _JOINT.split(token)
+    if not COMMENTS.isdisjoint(parts) and NOT_COMMENTS.isdisjoint(parts):
+        return _COMMENTS
     if not all(p in NAMES or p in PLAIN for p in parts):
         return 0
-    return _COMMENTS if not COMMENTS.isdisjoint(parts) else 0 if NAMES.isdisjoint(parts) else _NAMED
+    return 0 if NAMES.isdisjoint(parts) else _NAMED
 
 
 def _mark(tag: str, attributes: str) -> tuple[int, str]:
@@ -97,6 +116,8 @@ def _mark(tag: str, attributes: str) -> tuple[int, str]:
             label += " " + value
             if tag in CONTAINERS:
                 mark = max(mark, max(map(_named, value.split()), default=0))
+        elif name == "itemprop" and value == "comment" or name == "itemtype" and value.rstrip("/").endswith(("/comment", "/usercomments")):
+            mark = _COMMENTS
         elif name == "role":
             mark = max(mark, _PART if value in ROLES else 0)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
@@ -183,6 +204,7 @@ def measure(tree: Node) -> Node:
 
     for n in reversed(list(_walk(tree))):
         n.main, n.heading, n.article, n.size, n.words, n.hash = n.tag == "main", n.tag == "h1", -1, 0, 0, 0
+        n.prose, n.titled, n.byline = 0, n.tag in HEADINGS, n.tag == "time" or not BYLINES.isdisjoint(_SPLIT.split(n.label))
         if n.mark == _GONE:
             n.main = n.heading = False
             continue
@@ -194,19 +216,66 @@ def measure(tree: Node) -> Node:
                 n.article = max(n.article, c.article)
                 n.size += c.size
                 n.words += c.words
+                n.prose += c.prose
+                n.titled |= c.titled
+                n.byline |= c.byline
                 if c.words:
                     parts.append(str(c.hash))
             elif own := c.split():
                 n.words += len(own)
                 n.size += len(c)
                 parts.append(" ".join(own))
+        n.prose = 0 if n.mark else n.prose + n.words - sum(c.words for c in n.children if isinstance(c, Node))
         if n.tag == "article" and n.mark != _COMMENTS:
             n.article = max(n.article, n.size)
         if n.words:
             n.hash = xxh3_64_intdigest("\x00".join(parts)) & _MASK | _SOME | (_LONG if n.words >= MANY_WORDS else 0)
+    _mark_comments(tree)
     return tree
 
 
+def _text_of(node: Node) -> str:
+    return " ".join(" ".join(c if isinstance(c, str) else _text_of(c) for c in node.children).split())
+
+
+def _mark_comments(tree: Node) -> None:
+    """Mark comments that no name tells: what a heading says to be some, and like records with bylines; neither where it holds the article or stands before its end.
+
+    A heading's part is the block that it begins, or, where that holds the
+    article too, what follows it there.
+    """
+    started = False
+    for n in list(_walk(tree)):
+        if n.mark == _GONE:
+            continue
+        started = started or n.tag in ("article", "main") or n.tag == "h1"
+        if not started or not n.words:
+            continue
+        blocks = [c for c in n.children if isinstance(c, Node) and c.words]
+        for k, c in enumerate(blocks):
+            if c.tag in HEADINGS and c.tag != "h1" and c.words <= 8 and COMMENTS_HEADING.fullmatch(html.unescape(_text_of(c))):
+                rest = blocks[k:]
+                if k == 0 and not (n.main or n.heading or n.article >= 0) and n.tag not in ("", "html", "body"):
+                    n.mark = n.mark or _COMMENTS
+                elif not any(b.main or b.heading or b.article >= 0 or 2 * b.prose > tree.prose for b in rest):
+                    for b in rest:
+                        b.mark = b.mark or _COMMENTS
+                break
+        kinds: dict = {}
+        for c in blocks:
+            if c.tag in RECORD_TAGS and c.byline and not (c.titled or c.main) and c.words <= RECORD_WORDS:
+                kinds.setdefault((c.tag, c.label), []).append(c)
+        for own in kinds.values():
+            if len(own) >= RECORDS and not any(p.tag in ("article", "main") for p in _above(own[0])) and tree.article >= 0:
+                for c in own:
+                    c.mark = c.mark or _COMMENTS
+
+
+def _above(node: Node):
+    while (node := node.parent) is not None:
+        yield node
+
+
 def _holds(node: Node, tree: Node) -> bool:
     """Whether a node holds the page's article: the main element, the largest article or the heading; without any of these, half of the text."""
     if tree.main or tree.article >= 0 or tree.heading:
@@ -246,18 +315,27 @@ def candidates(tree: Node) -> list[Node]:
     """Blocks with text that may be part of a template, of a measured tree, marked ones among them.
 
     Not: the page, its body, articles and main elements and what holds one;
-    inside articles and main elements, blocks of prose and what is within them.
+    inside articles and main elements, blocks of prose and what is within them,
+    and the blocks that hold their body: half of their prose, or a fifth of it
+    and BODY_WORDS words without a name that marks them. On a page without such elements the block
+    with half of the page's prose is taken for one. So a story that many pages
+    of a host carry stays, whatever it is wrapped in.
     """
     out = []
-    stack = [(tree, False)]
+    whole = 0 if tree.main or tree.article >= 0 else tree.prose
+    stack = [(tree, 0)]  # with the prose of the article that it is in
     while stack:
-        node, inside = stack.pop()
-        inside = inside or node.tag in ("article", "main")
-        if not node.words or node.tag in INLINE or inside and node.tag in PROSE:
+        node, of = stack.pop()
+        if node.tag in ("article", "main"):
+            of = of or max(1, node.prose)
+        if not node.words or node.tag in INLINE or of and node.tag in PROSE:
             continue
-        if node.tag not in ("", "html", "body", "article", "main") and not node.main and (node.article < 0 or node.tag in ASIDE or node.mark == _COMMENTS):
+        body = of and node.tag not in PARTS and node.tag != "header" and node.prose >= (BODY_SHARE * of if node.mark else min(BODY_SHARE * of, max(BODY_WORDS, PART_SHARE * of)))
+        if not of and node.tag in CONTAINERS and not node.mark and node.prose >= max(BODY_WORDS, BODY_SHARE * whole) and whole:
+            body, of = True, node.prose
+        if not body and node.tag not in ("", "html", "body", "article", "main") and not node.main and (node.article < 0 or node.tag in ASIDE or node.mark == _COMMENTS):
             out.append(node)
-        stack.extend((c, inside) for c in node.children if isinstance(c, Node))
+        stack.extend((c, of) for c in node.children if isinstance(c, Node))
     return out
 
 
