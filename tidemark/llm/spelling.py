@@ -31,6 +31,8 @@ from tidemark.llm.common import slices, small, staged
 LEAST_LETTERS, LEAST_COUNT, DROP_ONE_IN = 5, 3, 97
 #: Words of a block that are compared with one another; larger blocks are subdivided.
 BLOCK = 128
+#: Words or keys of blocks that are broadcast, some 20 MB; more are shuffled.
+FEW_ROWS = 200_000
 #: Distinct words that a task counts before it passes them on, rows that a scan takes up at once, and code points that it compares at once.
 HELD_WORDS, SCAN_ROWS, SCAN_CELLS = 400_000, 50_000, 1 << 22
 
@@ -131,7 +133,7 @@ def blocks(words: DataFrame, block: int = BLOCK) -> list[DataFrame]:
         large = staged(rows.filter(F.col("to") - F.col("from") > 1).groupBy("key").count().filter(F.col("count") > block).select("key"), "large")
         if large.isEmpty():
             return [*out, rows]
-        large = small(large)
+        large = small(large, FEW_ROWS)
         out.append(rows.join(large, "key", "left_anti"))
         rows = _halves(rows.join(large, "key", "left_semi"))
 
@@ -230,7 +232,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     reach = staged(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = reach.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        further = staged(reach.join(small(on), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        further = staged(reach.join(small(on, FEW_ROWS), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         if further.filter("moved").isEmpty():
             return further.select("word", "root")
         reach = further.select("word", "root")
