@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.storage import BROADCAST_ROWS, stored
 from tidemark.operators.metrics import long_form, metrics
 from tidemark.operators.simulate import Account, backtest
 
@@ -48,29 +49,38 @@ def history(bars: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.count("*").over(Window.partitionBy("symbol")))
 
 
-def _sources(rows: DataFrame, kind: str, block: int | None, seed: int) -> DataFrame:
-    """rows (symbol, sim, i from 1 on, n) with src: the number of the return that comes here, from 1 to n - 1."""
+def _steps(keyed: DataFrame) -> DataFrame:
+    """keyed (symbol, sim, n) once for each simulated bar but the first: i from 1 to n - 1."""
+    return keyed.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - 1)))
+
+
+def _sources(keyed: DataFrame, kind: str, block: int | None, seed: int) -> DataFrame:
+    """keyed (symbol, sim, n) by bar i from 1 on, with src: the number of the return that comes here, from 1 to n - 1."""
     sim, i, m = F.col("sim"), F.col("i") - 1, F.col("n") - 1
     size = F.lit(block) if block else F.greatest(F.lit(2), F.round(F.pow(F.col("n"), F.lit(1 / 3)))).cast("long")
     if kind == "circular":
         start = F.pmod(draw(seed, sim, F.floor(i / size), 1), m)
-        return rows.withColumn("src", F.pmod(start + F.pmod(i, size), m) + 1)
-    own = Window.partitionBy("symbol", "sim").orderBy("i")
+        return _steps(keyed).withColumn("src", F.pmod(start + F.pmod(i, size), m) + 1)
     if kind == "shuffle":
-        return rows.withColumn("src", F.row_number().over(Window.partitionBy("symbol", "sim").orderBy(draw(seed, sim, i, 1), "i")).cast("long"))
-    begins = (i == 0) | (uniform(seed, sim, i, 2) < 1.0 / size)
-    rows = rows.withColumn("_at", F.last(F.when(begins, i), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    at = F.col("_at")
+        return _steps(keyed).withColumn("src", F.row_number().over(Window.partitionBy("symbol", "sim").orderBy(draw(seed, sim, i, 1), "i")).cast("long"))
+    # what follows is done once a block, not once a bar: where it begins, which return it begins with, where it ends
+    heads = _steps(keyed).filter((i == 0) | (uniform(seed, sim, i, 2) < 1.0 / size)).withColumn("at", i)
+    until = F.coalesce(F.lead("at").over(Window.partitionBy("symbol", "sim").orderBy("at")), m)
+    begin = lambda at: F.pmod(draw(seed, sim, at, 1), m)
+    heads = heads.withColumns({"until": until, "start": begin(F.col("at"))})
+    at, start, until = F.col("at"), F.col("start"), F.col("until")
+    one = lambda a, b: F.struct(a.alias("at"), b.alias("start"))
     if kind == "wrapped":
-        return rows.withColumn("src", F.pmod(draw(seed, sim, at, 1) + i - at, m) + 1).drop("_at")
-    # a block that runs past the last return ends there and another begins, which may do so too; few rows come to that
-    rows = rows.withColumn("_start", F.pmod(draw(seed, sim, at, 1), m))
-    over = F.col("_start") + i - at >= m
-    ends = lambda b: b + m - F.pmod(draw(seed, sim, b, 1), m)
-    following = lambda b, _: F.when(ends(b) <= i, ends(b)).otherwise(b)
-    late = F.when(over, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(i - at, F.lit(1))), at + m - F.col("_start"), following))
-    rows = rows.withColumn("_at", F.coalesce(late, at)).withColumn("_start", F.pmod(draw(seed, sim, at, 1), m))
-    return rows.withColumn("src", F.col("_start") + i - at + 1).drop("_at", "_start")
+        pieces = F.array(one(at, start))
+    else:
+        # a block that runs past the last return ends there and another begins, which may do so too; few blocks come to that
+        end = lambda p: p["at"] + m - p["start"]
+        further = lambda done, _: F.when(end(F.element_at(done, -1)) < until, F.concat(done, F.array(one(end(F.element_at(done, -1)), begin(end(F.element_at(done, -1))))))).otherwise(done)
+        pieces = F.when(start + until - at <= m, F.array(one(at, start))).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), until - at), F.array(one(at, start)), further))
+    parts = heads.select("symbol", "sim", "n", "until", F.explode(pieces).alias("piece")).select("symbol", "sim", "n", "until", "piece.*")
+    stop = F.col("until") if kind == "wrapped" else F.least(F.col("until"), F.col("at") + m - F.col("start"))
+    bars = parts.withColumn("i", F.explode(F.sequence(F.col("at") + 1, stop)))
+    return bars.select("symbol", "sim", "n", "i", (F.pmod(F.col("start") + F.col("i") - 1 - F.col("at"), m) + 1).alias("src"))
 
 
 def paths(bars: DataFrame, n_sims: int, kind: str = "stationary", seed: int = 0, block: int | None = None) -> DataFrame:
@@ -83,28 +93,37 @@ def paths(bars: DataFrame, n_sims: int, kind: str = "stationary", seed: int = 0,
     historical bar drawn at random and its volume from another. The first bar
     is history's. A series of fewer than three bars makes no paths; a block
     must be shorter than the series.
+
+    Simulations are dealt out by symbol and number once, and stay so; history is
+    stored, and broadcast if it is BROADCAST_ROWS rows at most, else joined by shuffle.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind}; one of {KINDS}")
-    past = history(bars)
+    past = stored(history(bars), "history")
     if kind == "circular" and block is not None and past.filter(F.col("n") <= block).limit(1).count():
         raise ValueError("block must be shorter than every series")
-    rows = past.filter("n > 2").select("symbol", "ts", "i", "n").withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1)))).withColumn("sim", F.col("sim").cast("long"))
-    sim, m = F.col("sim"), F.col("n") - 1
-    first, later = rows.filter("i = 0"), rows.filter("i > 0")
+    light = past.count() <= BROADCAST_ROWS
+    known = lambda *columns: F.broadcast(past.select("symbol", *columns)) if light else past.select("symbol", *columns)
+    first = past.filter("i = 0 AND n > 2")
     if kind == "gbm":
-        stats = past.filter("i > 0").groupBy("symbol").agg(F.avg("r").alias("mu"), F.stddev_pop("r").alias("sd"))
-        z = F.sqrt(-2 * F.ln(uniform(seed, sim, F.col("i"), 3))) * F.cos(2 * math.pi * uniform(seed, sim, F.col("i"), 4))
-        drawn = later.join(stats, "symbol").withColumn("r", F.col("mu") - F.col("sd") * F.col("sd") / 2 + F.col("sd") * z).drop("mu", "sd")
+        first = first.join(past.filter("i > 0").groupBy("symbol").agg(F.avg("r").alias("mu"), F.stddev_pop("r").alias("sd")), "symbol")
+    keyed = first.select("symbol", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_sims - 1).cast("long"))).alias("sim")).repartition("symbol", "sim")
+    sim, i, m = F.col("sim"), F.col("i"), F.col("n") - 1
+    if kind == "gbm":
+        keyed = first.select("symbol", "n", "mu", "sd", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_sims - 1).cast("long"))).alias("sim")).repartition("symbol", "sim")
+        z = F.sqrt(-2 * F.ln(uniform(seed, sim, i, 3))) * F.cos(2 * math.pi * uniform(seed, sim, i, 4))
+        drawn = _steps(keyed).select("symbol", "sim", "n", "i", (F.col("mu") - F.col("sd") * F.col("sd") / 2 + F.col("sd") * z).alias("r"))
     else:
-        returns = past.filter("i > 0").select("symbol", F.col("i").alias("src"), "r")
-        drawn = _sources(later, kind, block, seed).join(returns, ["symbol", "src"]).drop("src")
-    drawn = drawn.unionByName(first.withColumn("r", F.lit(0.0)))
-    shapes = past.filter("i > 0").select("symbol", F.col("i").alias("shape"), "o", "h", "l")
-    volumes = past.filter("i > 0").select("symbol", F.col("i").alias("vol"), F.col("v").alias("volume"))
+        drawn = _sources(keyed, kind, block, seed).join(known(F.col("i").alias("src"), "r"), ["symbol", "src"]).drop("src")
+    drawn = drawn.withColumns({"shape": F.pmod(draw(seed, sim, i, 5), m) + 1, "vol": F.pmod(draw(seed, sim, i, 6), m) + 1})
+    drawn = drawn.join(known(F.col("i").alias("shape"), "o", "h", "l"), ["symbol", "shape"]).join(known(F.col("i").alias("vol"), F.col("v").alias("volume")), ["symbol", "vol"])
+    # the first bar has history's close; its shape and volume are drawn as all others'
+    opening = keyed.withColumn("i", F.lit(0).cast("long")).withColumns({"shape": F.pmod(draw(seed, sim, i, 5), m) + 1, "vol": F.pmod(draw(seed, sim, i, 6), m) + 1})
+    opening = opening.join(known(F.col("i").alias("shape"), "o", "h", "l"), ["symbol", "shape"]).join(known(F.col("i").alias("vol"), F.col("v").alias("volume")), ["symbol", "vol"])
+    columns = ["symbol", "sim", "i", "r", "o", "h", "l", "volume"]
+    drawn = drawn.select(*columns).unionByName(opening.withColumn("r", F.lit(0.0)).select(*columns))
     start = past.filter("i = 0").select("symbol", F.col("close").alias("c0"))
-    drawn = drawn.withColumns({"shape": F.pmod(draw(seed, sim, F.col("i"), 5), m) + 1, "vol": F.pmod(draw(seed, sim, F.col("i"), 6), m) + 1})
-    drawn = drawn.join(shapes, ["symbol", "shape"]).join(volumes, ["symbol", "vol"]).join(start, "symbol")
+    drawn = drawn.join(F.broadcast(start) if light else start, "symbol").join(known("i", "ts"), ["symbol", "i"])
     w = Window.partitionBy("symbol", "sim").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     close = F.col("c0") * F.exp(F.sum(F.coalesce("r", F.lit(0.0))).over(w))
     drawn = drawn.withColumn("close", close)
@@ -150,19 +169,39 @@ def percentile_of(results: DataFrame, metric: str, value: float, keys: tuple[str
 
 
 def sharpe_interval(returns: DataFrame, block: int, n_boot: int = 1000, confidence: float = 0.95, seed: int = 0, year: int = 252) -> DataFrame:
-    """symbol, sharpe, ci_low, ci_high of returns (symbol, ts, ret) over circular blocks, yearly."""
+    """symbol, sharpe, ci_low, ci_high of returns (symbol, ts, ret) over circular blocks, yearly.
+
+    A block's sum of returns and of their squares are differences of two
+    running sums, so a resampling is as many rows as it has blocks, and two
+    look-ups a row. Running sums are of returns less their mean, as squares' sums lose digits otherwise.
+    """
     rows = returns.filter(F.col("ret").isNotNull())
     w = Window.partitionBy("symbol")
-    rows = rows.select("symbol", "ret", F.row_number().over(w.orderBy("ts")).cast("long").alias("i"), (F.count("*").over(w) + 1).alias("n"))
+    rows = rows.select("symbol", "ret", "ts", F.avg("ret").over(w).alias("mean"), F.count("*").over(w).alias("m"))
+    order = w.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    off = F.col("ret") - F.col("mean")
+    rows = stored(rows.select("symbol", "ret", "mean", "m", F.count("*").over(order).alias("i"), F.sum(off).over(order).alias("s"), F.sum(off * off).over(order).alias("q")), "returns")
     ratio = F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0)) * math.sqrt(year)
-    # a draw for each block, then its bars; what reaches over the series' length is left out
-    m = F.col("n") - 1
-    blocks = rows.groupBy("symbol").agg(F.max("n").alias("n")).withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))))
+    # running sums before each place, from 0 on
+    sums = rows.select("symbol", "i", "s", "q").unionByName(rows.filter("i = 1").select("symbol", F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")))
+    if rows.count() <= BROADCAST_ROWS:
+        sums = F.broadcast(sums)
+    m, start = F.col("m"), F.col("start")
+    whole = rows.filter("i = m").select("symbol", "m", "mean", F.col("s").alias("all_s"), F.col("q").alias("all_q"))
+    blocks = whole.withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long")))).repartition("symbol", "sim")
     blocks = blocks.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((m - 1) / block))))
-    blocks = blocks.withColumn("start", draw(seed, F.col("sim"), F.col("k"), 1))
-    made = blocks.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(block), m - F.col("k") * block) - 1)))
-    made = made.select("symbol", "sim", (F.pmod(F.pmod(F.col("start"), m) + F.col("j"), m) + 1).alias("src"))
-    made = made.join(rows.select("symbol", F.col("i").alias("src"), "ret"), ["symbol", "src"])
-    ends = made.groupBy("symbol", "sim").agg(ratio.alias("s")).groupBy("symbol")
-    ends = ends.agg(F.percentile("s", (1 - confidence) / 2).alias("ci_low"), F.percentile("s", (1 + confidence) / 2).alias("ci_high"))
+    # a draw for each block; what reaches over the series' length is left out, what reaches over its end goes on at its start
+    blocks = blocks.withColumn("start", F.pmod(draw(seed, F.col("sim"), F.col("k"), 1), m)).withColumn("size", F.least(F.lit(block), m - F.col("k") * block))
+    end = start + F.col("size")
+    blocks = blocks.withColumns({"laps": F.floor(end / m), "end": F.pmod(end, m)})
+    at = lambda name: sums.select("symbol", F.col("i").alias(name), F.col("s").alias(f"{name}_s"), F.col("q").alias(f"{name}_q"))
+    for name in ("start", "end"):
+        blocks = blocks.join(at(name), ["symbol", name])
+    part = lambda x: F.sum(F.col("laps") * F.col(f"all_{x}") + F.col(f"end_{x}") - F.col(f"start_{x}"))
+    made = blocks.groupBy("symbol", "sim").agg(F.first("mean").alias("mean"), F.sum("size").alias("n"), part("s").alias("s"), part("q").alias("q"))
+    n, s, q = F.col("n"), F.col("s"), F.col("q")
+    var = (q - s * s / n) / F.nullif(n - 1, F.lit(0))
+    sd = F.when(var > 1e-14 * q / n, F.sqrt(var))
+    ends = made.select("symbol", ((F.col("mean") + s / n) / sd * math.sqrt(year)).alias("x")).groupBy("symbol")
+    ends = ends.agg(F.percentile("x", (1 - confidence) / 2).alias("ci_low"), F.percentile("x", (1 + confidence) / 2).alias("ci_high"))
     return rows.groupBy("symbol").agg(ratio.alias("sharpe")).join(ends, "symbol")

@@ -1,4 +1,4 @@
-"""Dense networks fitted with Spark: each step sums gradients over all partitions."""
+"""Dense networks fitted with Spark: each step sums gradients over all partitions (``training``)."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.features import Fold, Scaler, with_folds
+from tidemark.operators.training import Job, Table, fit_scalers, train_side_by_side
 
 LOSSES = ("mse", "directional", "pinball")
 
@@ -41,59 +42,56 @@ class Network:
         sizes = [len(features), *layers, outputs]
         return Network(list(features), [g.standard_normal((a, b)) * np.sqrt(2 / (a + b)) for a, b in zip(sizes, sizes[1:], strict=False)], [np.zeros(b) for b in sizes[1:]], hidden, head)
 
-    def forward(self, x: np.ndarray) -> list[np.ndarray]:
+    def forward(self, x: np.ndarray, masks: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        """The input and the output of each layer; hidden ones multiplied by their masks."""
         out = [x]
         for k, (w, b) in enumerate(zip(self.weights, self.biases, strict=True)):
-            out.append(_act(self.head if k == len(self.weights) - 1 else self.hidden, out[-1] @ w + b))
+            last = k == len(self.weights) - 1
+            y = _act(self.head if last else self.hidden, out[-1] @ w + b)
+            out.append(y if last or masks is None else y * masks[k])
         return out
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, loss: str, option: float) -> tuple[float, list[np.ndarray]]:
-        """Sum over rows of the loss, and of its gradients by weights and biases."""
-        out = self.forward(x)
+    def loss(self, p: np.ndarray, y: np.ndarray, loss: str, option: float) -> float:
+        """Sum over rows."""
+        y = y.reshape(len(y), -1)
+        if loss == "mse":
+            return float(((p - y) ** 2).mean(axis=1).sum())
+        if loss == "directional":
+            return float((np.maximum(-np.sign(y) * p, 0) + option * (p - y) ** 2).mean(axis=1).sum())
+        return float(np.maximum(option * (y - p), (option - 1) * (y - p)).mean(axis=1).sum())
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, loss: str, option: float, masks: list[np.ndarray] | None = None) -> tuple[float, list[np.ndarray]]:
+        """Sum over rows of the loss, and of its gradients by weights and biases; masks are those of dropout."""
+        out = self.forward(x, masks)
         p, y = out[-1], y.reshape(len(y), -1)
+        total = self.loss(p, y, loss, option)
         if loss == "mse":
-            total, d = ((p - y) ** 2).mean(axis=1).sum(), 2 * (p - y) / p.shape[1]
+            d = 2 * (p - y) / p.shape[1]
         elif loss == "directional":
-            wrong = -np.sign(y) * p
-            total = (np.maximum(wrong, 0) + option * (p - y) ** 2).mean(axis=1).sum()
-            d = (np.where(wrong > 0, -np.sign(y), 0) + 2 * option * (p - y)) / p.shape[1]
+            d = (np.where(-np.sign(y) * p > 0, -np.sign(y), 0) + 2 * option * (p - y)) / p.shape[1]
         else:
-            e = y - p
-            total, d = np.maximum(option * e, (option - 1) * e).mean(axis=1).sum(), np.where(e > 0, -option, 1 - option) / p.shape[1]
+            d = np.where(y - p > 0, -option, 1 - option) / p.shape[1]
         grads: list[np.ndarray] = []
         for k in range(len(self.weights) - 1, -1, -1):
-            d = d * _slope(self.head if k == len(self.weights) - 1 else self.hidden, out[k + 1])
+            last = k == len(self.weights) - 1
+            if last or masks is None:
+                d = d * _slope(self.head if last else self.hidden, out[k + 1])
+            else:  # the slope is that of the value before its mask
+                m = masks[k]
+                d = d * m * _slope(self.hidden, np.divide(out[k + 1], m, out=np.zeros_like(m), where=m != 0))
             grads = [out[k].T @ d, d.sum(axis=0), *grads]
             d = d @ self.weights[k].T
-        return float(total), grads
+        return total, grads
 
-    def fit(self, frame: DataFrame, target: str = "target", epochs: int = 20, rate: float = 0.01, loss: str = "mse", option: float = 0.1) -> Network:
+    def fit(self, frame: DataFrame, target: str = "target", epochs: int = 20, rate: float = 0.01, loss: str = "mse", option: float = 0.1, dropout: float = 0.0, seed: int = 0) -> Network:
         """Adam over whole passes; a task sends one sum of gradients, the size of the weights.
 
-        frame should be cached. Rows with a null feature or target are left out.
+        Rows with a null feature or target are left out. dropout is the share of
+        hidden units that a row does without at a step.
         """
-        if loss not in LOSSES:
-            raise ValueError(f"unknown loss {loss!r}; one of {LOSSES}")
-        rows = frame.select(*[F.col(f"`{c}`").cast("double").alias(f"f{k}") for k, c in enumerate(self.features)], F.col(target).cast("double").alias("y")).dropna()
-        flat = [*self.weights, *self.biases]
-        moments = [(np.zeros_like(p), np.zeros_like(p)) for p in flat]
-        for step in range(1, epochs + 1):
-            sent = rows.sparkSession.sparkContext.broadcast(self)
-            sums = rows.mapInArrow(_sum_gradients(sent, loss, option), "part int, n long, loss double, grads binary").groupBy("part").applyInArrow(_add, "part int, n long, loss double, grads binary").collect()
-            sent.unpersist()
-            n = sum(r["n"] for r in sums)
-            if not n:
-                return self
-            total = np.sum([np.frombuffer(r["grads"]) for r in sums], axis=0) / n
-            self.history.append(sum(r["loss"] for r in sums) / n)
-            at = 0
-            for k in range(len(self.weights)):
-                for p, (m, v) in ((self.weights[k], moments[k]), (self.biases[k], moments[len(self.weights) + k])):
-                    g = total[at : at + p.size].reshape(p.shape)
-                    at += p.size
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        job = Job(0, self, list(range(len(self.features))))
+        train_side_by_side(Table(frame, self.features, target), [job], epochs, rate, loss, option, dropout, seed)
+        self.history += job.losses
         return self
 
     def predict(self, frame: DataFrame, name: str = "prediction") -> DataFrame:
@@ -133,38 +131,36 @@ class Network:
 
 
 def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
-    return np.stack([np.array(batch.column(c).to_pylist(), float) for c in names], axis=1) if batch.num_rows else np.zeros((0, len(names)))
+    return np.stack([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in names], axis=1)
 
 
-def _sum_gradients(sent, loss: str, option: float):
+def _outputs(sent, name: str):
     def run(batches):
-        from pyspark import TaskContext
-
-        net, n, total, sums = sent.value, 0, 0.0, None
-        names = [f"f{k}" for k in range(len(net.features))]
+        net = sent.value
         for batch in batches:
-            some, grads = net.gradients(_matrix(batch, names), _matrix(batch, ["y"])[:, 0], loss, option)
-            flat = np.concatenate([g.ravel() for g in grads])
-            n, total, sums = n + batch.num_rows, total + some, flat if sums is None else sums + flat
-        if n:
-            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId() % 32, "n": n, "loss": total, "grads": sums.tobytes()}], pa.schema([("part", pa.int32()), ("n", pa.int64()), ("loss", pa.float64()), ("grads", pa.binary())]))
+            x = _matrix(batch, net.features).astype(float)
+            bad = np.isnan(x).any(axis=1)
+            y = net.forward(np.where(np.isnan(x), 0.0, x))[-1][:, 0]
+            yield batch.append_column(name, pa.array(y, pa.float64(), mask=bad))
 
     return run
 
 
-def _add(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    return pa.Table.from_pylist([{"part": rows[0]["part"], "n": sum(r["n"] for r in rows), "loss": sum(r["loss"] for r in rows), "grads": np.sum([np.frombuffer(r["grads"]) for r in rows], axis=0).tobytes()}], table.schema)
-
+def _outputs_by(sent, by: str, name: str):
+    """The output of the network that a column names; null where a feature is or there is no such network."""
 
-def _outputs(sent, name: str):
     def run(batches):
-        net = sent.value
+        nets = sent.value
         for batch in batches:
-            x = _matrix(batch, net.features).astype(float)
-            bad = np.isnan(x).any(axis=1)
-            y = net.forward(np.where(np.isnan(x), 0.0, x))[-1][:, 0]
-            yield batch.append_column(name, pa.array(y, pa.float64(), mask=bad))
+            which = batch.column(by).to_numpy(zero_copy_only=False)
+            out = np.full(batch.num_rows, np.nan)
+            for key, net in nets.items():
+                rows = np.flatnonzero(which == key)
+                if len(rows):
+                    x = _matrix(batch.take(pa.array(rows)), net.features)
+                    good = ~np.isnan(x).any(axis=1)
+                    out[rows[good]] = net.forward(x[good])[-1][:, 0]
+            yield batch.append_column(name, pa.array(out, pa.float64(), from_pandas=True))
 
     return run
 
@@ -177,18 +173,29 @@ def ensemble(frame: DataFrame, networks: list[Network], name: str = "prediction"
     return frame.select(*columns, (sum((F.col(f"__p{k}") for k in range(len(networks))), F.lit(0.0)) / len(networks)).alias(name))
 
 
-def train(frame: DataFrame, features: list[str], target: str = "target", layers: tuple[int, ...] = (64, 32), scale: str = "standard", **options) -> tuple[Network, Scaler]:
-    """A network fitted to scaled features, and the scaler; the scaler is fitted on the same rows alone."""
-    scaler = Scaler.fit(frame, features, scale)
-    return Network.dense(features, layers).fit(scaler.transform(frame).cache(), target, **options), scaler
-
-
-def walk_forward_train(frame: DataFrame, features: list[str], folds: list[Fold], target: str = "target", **options) -> DataFrame:
-    """Test rows of every fold with fold and prediction, of networks that saw the fold's training rows alone."""
-    dealt, out = with_folds(frame, folds), None
-    for f in folds:
-        own = dealt.filter(F.col("fold") == f.fold)
-        net, scaler = train(own.filter("part = 'train'"), features, target, **options)
-        made = net.predict(scaler.transform(own.filter("part = 'test'")))
-        out = made if out is None else out.unionByName(made)
-    return out
+def train(frame: DataFrame, features: list[str], target: str = "target", layers: tuple[int, ...] = (64, 32), scale: str = "standard", seed: int = 0, **options) -> tuple[Network, Scaler]:
+    """A network fitted to scaled features, and the scaler, of the same rows."""
+    job = Job(0, Network.dense(features, layers, seed=seed), list(range(len(features))))
+    table = Table(frame, features, target)
+    if scale == "standard":
+        fit_scalers(table, [job])
+    else:
+        job.offsets, job.scales = (np.array(x) for x in Scaler.fit(table.rows, [f"f{k}" for k in range(len(features))], scale).affine())
+    train_side_by_side(table, [job], seed=seed, **options)
+    job.network.history += job.losses
+    return job.network, Scaler(tuple(features), tuple(job.offsets.tolist()), tuple(job.scales.tolist()))
+
+
+def walk_forward_train(frame: DataFrame, features: list[str], folds: list[Fold], target: str = "target", layers: tuple[int, ...] = (64, 32), seed: int = 0, **options) -> DataFrame:
+    """Test rows of every fold with fold and prediction, of networks that saw the fold's training rows alone.
+
+    All folds are trained side by side: a pass over the rows is a step of each.
+    """
+    jobs = [Job(k, Network.dense(features, layers, seed=seed), list(range(len(features))), k) for k in range(len(folds))]
+    table = Table(frame, features, target, folds)
+    fit_scalers(table, jobs)
+    train_side_by_side(table, jobs, seed=seed, **options)
+    test = with_folds(frame, folds).filter("part = 'test'")
+    nets = {f.fold: j.network.scaled(Scaler(tuple(features), tuple(j.offsets.tolist()), tuple(j.scales.tolist()))) for f, j in zip(folds, jobs, strict=True)}
+    sent = frame.sparkSession.sparkContext.broadcast(nets)
+    return test.mapInArrow(_outputs_by(sent, "fold", "prediction"), T.StructType([*test.schema.fields, T.StructField("prediction", T.DoubleType())]))

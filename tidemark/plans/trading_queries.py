@@ -17,6 +17,7 @@ from tidemark.operators import montecarlo as MC
 from tidemark.operators import risk as R
 from tidemark.operators import trials as D
 from tidemark.operators.base import compute
+from tidemark.operators.model_search import IndicatorSpec, ModelSearch
 from tidemark.operators.network import Network
 from tidemark.operators.search import FloatParam, IntParam, optimize, optimize_signals, trials_table
 from tidemark.operators.signals import LogReturns
@@ -393,6 +394,13 @@ def signal_search(spark, sf_dir):
     return trials_table(spark, optimize_signals(hourly(spark, sf_dir).cache(), _SPACE, lambda p: [("sma", p["fast"], p["weight"]), ("sma", p["slow"], -0.7)], _SPLIT))
 
 
+def model_search(spark, sf_dir):
+    """Indicators, periods and lags with a network for each trial, 50 trials of 20 epochs: what became of each."""
+    specs = [IndicatorSpec("momentum", I.Momentum, 2, 20, (0, 1, 2)), IndicatorSpec("sma", I.SMA, 3, 30), IndicatorSpec("roc", I.ROC, 2, 20, (0, 3)), IndicatorSpec("rsi", I.RSI, 5, 20)]
+    search = ModelSearch(hourly(spark, sf_dir).cache(), specs, datetime(2024, 1, 18), datetime(2024, 1, 25), seed=7)
+    return trials_table(spark, search.run().trials)
+
+
 def backtest_search(spark, sf_dir):
     """The same space searched by backtests' returns."""
 
@@ -407,7 +415,7 @@ def learned(spark, sf_dir):
     frame = X.feature_matrix(hourly(spark, sf_dir), [I.SMA(period=5), I.Momentum(period=3)])
     scaler = X.Scaler.fit(frame, names)
     scaled = scaler.transform(frame).cache()
-    net = Network.dense(names, (8,)).fit(scaled, epochs=3)
+    net = Network.dense(names, (8,)).fit(scaled)
     return net.predict(scaled).select("symbol", "ts", "prediction")
 
 
@@ -418,7 +426,7 @@ def queries() -> dict[str, Callable]:
         "target_future": target_query(X.future_return), "target_direction": target_query(X.directional_target), "target_excess_rolling": target_query(lambda b: X.excess_return(b, drift_window=50)),
         "target_excess_expanding": target_query(lambda b: X.excess_return(b, drift_window=50, drift="expanding")), "target_excess_ewma": target_query(lambda b: X.excess_return(b, drift_window=50, drift="ewma")),
         "feature_matrix": feature_rows, "scaler_minmax": minmax_rows, "walk_forward": folds, "losses": losses, "paths_circular": circular_paths, "paths_stationary": resampled("stationary"), "paths_shuffle": resampled("shuffle"), "paths_gbm": resampled("gbm"),
-        "monte_carlo": monte_carlo, "sharpe_interval": sharpe_interval, "return_moments": moments, "parameter_search": parameter_search, "signal_search": signal_search, "backtest_search": backtest_search, "network": learned,
+        "monte_carlo": monte_carlo, "sharpe_interval": sharpe_interval, "return_moments": moments, "parameter_search": parameter_search, "signal_search": signal_search, "backtest_search": backtest_search, "model_search": model_search, "network": learned,
     }
 
 
