@@ -263,17 +263,46 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), none).count() == 0
 
 
-def test_quality_learns_from_all_passages(monkeypatch):
+def bags_of(rows):
+    return quality.Bags.of(*quality.text_bytes(pa.array(rows, pa.string())))
+
+
+def test_quality_reads_all_passages_and_words(monkeypatch):
     sizes = [100 * quality.PASSAGE - 7, 3, 0]
-    batch = pa.RecordBatch.from_pydict({"label": pa.array([1, 0, 0], pa.int32()), "text": pa.array(["word " * (n // 5) + "x" * (n % 5) for n in sizes])})
-    made = [r for b in quality._bags([batch]) for r in b.column("bag").to_pylist()]
-    assert [len(r) // 2 // (quality.WIDTH - 1) for r in made] == [100, 1, 1]
-    g = np.random.default_rng(4)
-    bags, y = [g.standard_normal((n, quality.WIDTH)).astype(np.float32) for n in (50, 1, 7, 3, 9)], np.array([1, 0, 1, 0, 1], np.float32)
-    whole = quality.AttentionModel()._step(bags, y)
-    monkeypatch.setattr(quality, "STEP_PASSAGES", 20)
-    for k, part in quality.AttentionModel()._step(bags, y).items():
-        assert np.allclose(part, whole[k], atol=1e-5), k
+    texts = ["word " * (n // 5) + "x" * (n % 5) for n in sizes]
+    batch = pa.RecordBatch.from_pydict({"part": pa.array([1, 1, 2], pa.int32()), "label": pa.array([1, 0, 0], pa.int32()), "text": pa.array(texts)})
+    made = pa.Table.from_batches(quality._bags([batch]))
+    assert [len(r) // 2 // (quality.WIDTH - 1) for r in made["counts"].to_pylist()] == [100, 1, 1]
+    assert [len(r) // 2 for r in made["words"].to_pylist()] == [len(t.split()) for t in texts]
+    (part, bags, y), (other, *_) = quality._steps(made.to_batches())
+    whole = bags_of(texts[:2])
+    assert (part, other, y.tolist()) == (1, 2, [1, 0]) and (bags.counts == whole.counts).all() and (bags.words == whole.words).all() and (bags.word_first == whole.word_first).all()
+    # a part of the passages at a time comes to the same
+    m = quality.AttentionModel()
+    m.p["E"][:] = np.random.default_rng(1).normal(size=m.p["E"].shape) * 0.1
+    full, score = m.gradients(bags, y), m.score(bags)
+    monkeypatch.setattr(quality, "STEP_PASSAGES", 7)
+    for k, part in m.gradients(bags, y).items():
+        assert np.allclose(part, full[k], atol=1e-5), k
+    assert np.allclose(m.score(bags), score, atol=1e-6)
+
+
+def test_words_belong_to_the_passage_they_begin_in():
+    g = random.Random(3)
+    rows = [" ".join("".join(g.choice("abé") for _ in range(g.randint(1, 40))) for _ in range(g.randint(0, 90))) for _ in range(20)] + ["", None, "  x", "y" * 1300 + " Z"]
+    bags = bags_of(rows)
+    place, known = 0, {}
+    for k, text in enumerate(rows):
+        raw = (text or "").encode()
+        own = [[] for _ in range(max(1, -(-len(raw) // quality.PASSAGE)))]
+        for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw):
+            own[m.start() // quality.PASSAGE].append(m[0].lower())
+        assert bags.first[k] == place
+        for words in own:
+            got = bags.words[bags.word_first[place] : bags.word_first[place + 1]].tolist()
+            assert len(got) == len(words) and all(known.setdefault(w, b) == b for w, b in zip(words, got, strict=True))
+            place += 1
+    assert len(bags.word_first) == place + 1 and len(set(known.values())) > 0.7 * len(known)
 
 
 def test_quality_scores_are_those_of_brute_force():
@@ -282,8 +311,9 @@ def test_quality_scores_are_those_of_brute_force():
     m = quality.AttentionModel(seed=3)
     m.mean, m.std = np.full(quality.WIDTH, 0.1, np.float32), np.full(quality.WIDTH, 0.7, np.float32)
     m.p["c0"][:], m.p["bv"][:], m.p["bu"][:] = 0.2, 0.05, -0.1
-    counts, first = quality.passages(*quality.text_bytes(pa.array(rows)))
-    got = m.score(quality.features(counts), first)
+    m.p["E"][:] = np.random.default_rng(2).normal(size=m.p["E"].shape) * 0.2
+    bags = bags_of(rows)
+    got, place = m.score(bags), 0
     p, sigmoid = {k: v.astype(float) for k, v in m.p.items()}, lambda x: 1 / (1 + np.exp(-x))
     kind = lambda b: next((k + 1 for k, c in enumerate(quality.CLASSES) if b in c), 0)
     for k, text in enumerate(rows):
@@ -299,7 +329,10 @@ def test_quality_scores_are_those_of_brute_force():
                 x[n + b * n + a] += 1
             x[:-1] = np.sqrt(x[:-1] / max(1, len(own)))
             x[-1] = len(own) / quality.PASSAGE
-            h = np.tanh((x - m.mean) / m.std @ p["W"] + p["b"])
+            words = bags.words[bags.word_first[place] : bags.word_first[place + 1]]
+            place += 1
+            vectors = sum((p["E"][w] for w in words), np.zeros(m.HIDDEN)) / max(1, len(words)) ** 0.5
+            h = np.tanh((x - m.mean) / m.std @ p["W"] + p["b"] + vectors)
             hidden.append(h)
             weights.append(math.exp((np.tanh(h @ p["V"] + p["bv"]) * sigmoid(h @ p["U"] + p["bu"])) @ p["w"]))
         z = sum(w * h for w, h in zip(weights, hidden, strict=True)) / sum(weights)
@@ -310,23 +343,49 @@ def test_attention_gradients():
     m = quality.AttentionModel()
     g = np.random.default_rng(0)
     m.p = {k: v.astype(float) for k, v in m.p.items()}
-    x, mask, y = g.standard_normal((6, 4, quality.WIDTH)) * 0.3, np.ones((6, 4), bool), np.array([0, 1, 0, 1, 1, 0.0])
-    mask[2, 2:] = False
+    m.p["E"][:] = g.normal(size=m.p["E"].shape) * 0.3
+    bags = bags_of(["one two, three " * 60, "", "UPPER 12 lower", "x", "a b c d " * 200, "one two"])
+    y = np.array([0, 1, 0, 1, 1, 0.0])
 
     def loss():
-        first = np.concatenate([[0], np.cumsum(mask.sum(axis=1))])
-        p = m.score(x[mask] * m.std + m.mean, first)
+        p = m.score(bags)
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
-    grads = m._gradients(x, mask, y)
-    for k, at in (("W", (3, 2)), ("V", (1, 1)), ("U", (2, 0)), ("w", (1,)), ("c", (4,)), ("bv", (2,))):
+    grads = m.gradients(bags, y)
+    one = int(bags.words[0])
+    for k, at in (("W", (3, 2)), ("V", (1, 1)), ("U", (2, 0)), ("w", (1,)), ("c", (4,)), ("bv", (2,)), ("E", (one, 3)), ("E", (int(bags.words[-1]), 0)), ("b", (5,)), ("c0", (0,))):
         eps = 1e-5
         m.p[k][at] += eps
         up = loss()
         m.p[k][at] -= 2 * eps
         down = loss()
         m.p[k][at] += eps
-        assert math.isclose((up - down) / (2 * eps), grads[k][at], rel_tol=2e-3, abs_tol=1e-6)
+        assert math.isclose((up - down) / (2 * eps), grads[k][at], rel_tol=2e-3, abs_tol=1e-6), k
+    assert np.abs(grads["E"]).sum(axis=1).nonzero()[0].tolist() == sorted(set(bags.words.tolist()))
+
+
+def test_words_of_one_shape_are_told_apart(spark):
+    """What a text says counts, not its spelling's shape alone."""
+    g = random.Random(9)
+    lists = [["".join(g.choice("abcdefghij") for _ in range(5)) for _ in range(150)] for _ in range(2)]
+    rows = [(k, " ".join(g.choice(lists[k % 2]) for _ in range(60)), k % 2) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(docs, docs, F.col("doc_id") % 5 != 0)
+    got = quality.score(docs.filter("doc_id % 5 = 0"), model).select("quality", "score").collect()
+    assert sum((r["score"] >= 0.5) == bool(r["quality"]) for r in got) >= 0.9 * len(got)
+
+
+def test_learners_state_is_all_that_goes_round():
+    a, b = (quality.Learner.new(quality.AttentionModel()) for _ in range(2))
+    bags, y = bags_of(["good words here", "BAD!! 12"]), np.array([1, 0], np.float32)
+    for _ in range(3):
+        a.step(bags, y)
+    b.unpack(np.frombuffer(a.packed()))
+    b.steps = a.steps
+    a.step(bags, y)
+    b.step(bags, y)
+    assert all(np.allclose(b.model.p[k], v, atol=1e-6) for k, v in a.model.p.items())
+
 
 
 def test_languages(spark):
