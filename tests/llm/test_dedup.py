@@ -158,8 +158,8 @@ def test_decontamination(spark):
     for block_bytes in (1 << 20, 100):
         got = decontamination.search(make(spark, docs), bench, keep=["doc_id"], block_bytes=block_bytes)
         assert Counter(tuple(r)[:6] for r in got.collect()) == Counter(expected)
-    clean = decontamination.search(make(spark, docs), bench, clean_only=True)
-    assert clean.columns == ["doc_id", "text", "digest", "keep_id", "bucket"] and clean.count() == sum(not e[5] for e in expected)
+        clean = decontamination.search(make(spark, docs), bench, clean_only=True, block_bytes=block_bytes)
+        assert clean.columns == ["doc_id", "text", "digest", "keep_id", "bucket"] and clean.count() == sum(not e[5] for e in expected)
     named = make(spark, docs).withColumnsRenamed({"digest": "N_hit", "bucket": "_hit", "keep_id": "_Items"})
     got = decontamination.search(named, bench, block_bytes=100)
     assert got.columns == ["doc_id", "text", "_Items", "_hit", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"]
@@ -184,8 +184,36 @@ def test_a_bucket_of_many_windows_is_not_read_through():
 def test_a_very_long_text_is_searched_whole(spark):
     text = "filler words " * 400_000 + "the item of nine words is at the end"
     bench = spark.createDataFrame([("i", "The item of nine words is at the end")], "item_id string, text string")
-    r = decontamination.search(make(spark, [(1, text)]), bench).first()
-    assert (r["n_words"], r["n_hit"], r["items"]) == (800_009, 9, ["i"])
+    for block_bytes in (1 << 20, 10):
+        r = decontamination.search(make(spark, [(1, text)]), bench, block_bytes=block_bytes).first()
+        assert (r["n_words"], r["n_hit"], r["items"]) == (800_009, 9, ["i"])
+
+
+def test_tables_of_fixed_size_pass_few_windows_that_do_not_occur():
+    import numpy as np
+    import pyarrow as pa
+
+    g = random.Random(4)
+    word = lambda: "".join(g.choice("abcdefghijklmnop") for _ in range(4))
+    windows = [" ".join(word() for _ in range(13)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"length": pa.array([13] * 3000, pa.int32()), "window": windows})
+    sizes = {13: 1 << 16}
+    from unittest import mock
+
+    with mock.patch("pyspark.TaskContext.get") as get:
+        get.return_value.partitionId.return_value = 0
+        halves = [next(decontamination._filters(sizes)([part])) for part in (batch.slice(0, 1000), batch.slice(1000))]
+    (merged,) = decontamination._merged(halves)
+    shifts, bits = (np.frombuffer(merged.column(c)[0].as_py(), np.uint8) for c in ("shifts", "bits"))
+    assert shifts.min() == 0 and (shifts == 12).mean() > 0.9 and len(bits) * 8 == 1 << 16
+    texts = [windows[7], " ".join(word() for _ in range(20_000)), "x " + windows[2999].upper() + ", y"]
+
+    class Sent:
+        value = {13: (shifts.tobytes(), bits.tobytes())}
+
+    (out,) = decontamination._may_occur(Sent, "t")([pa.RecordBatch.from_pydict({"t": texts})])
+    found = out.column("window").to_pylist()
+    assert {windows[7], windows[2999]} <= set(found) and len(found) < 40
 
 
 def test_one_row_of_each_group_is_left(spark):
