@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 YEAR = 252
 METRICS = ["total_return", "annualized_return", "sharpe_ratio", "sortino_ratio", "max_drawdown", "annual_volatility", "total_trades", "win_rate", "profit_factor", "avg_win", "avg_loss", "avg_trade_bars", "total_commission", "total_financing", "long_win_rate", "short_win_rate", "long_avg_win", "long_avg_loss", "short_avg_win", "short_avg_loss", "rebalance_count"]
+#: Rows of thresholds that are broadcast to be held against every value.
+MAX_BASELINES = 100_000
 _NORMAL = NormalDist()
 
 
@@ -108,6 +110,31 @@ def return_moments(returns: DataFrame, keys: tuple[str, ...] = ("symbol",), valu
     return returns.filter(x.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), (F.avg(x) / F.nullif(F.stddev_samp(x), F.lit(0.0))).alias("sharpe"), F.skewness(x).alias("skew"), (F.kurtosis(x) + 3).alias("kurtosis"))
 
 
+def normal_cdf(z: Column) -> Column:
+    """The standard normal distribution's share below z, to some 15 places, by its series."""
+    start = F.struct(z.alias("term"), z.alias("total"))
+    add = lambda s, k: F.struct((s["term"] * z * z / (2 * k + 1)).alias("term"), (s["total"] + s["term"] * z * z / (2 * k + 1)).alias("total"))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(160)), start, add)["total"]
+    near = F.lit(0.5) + F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * total
+    return F.when(z > 8, F.lit(1.0)).when(z < -8, F.lit(0.0)).otherwise(near)
+
+
+def significance(moments: DataFrame, n_trials: int | None = None, variance: float | None = None, benchmark: float = 0.0) -> DataFrame:
+    """The output of ``return_moments`` with psr, expected_max and deflated: the three ratios above as columns, for any number of series.
+
+    The trials are the table's rows, and variance that of their ratios, unless
+    given. Null where a series has fewer than two returns or moments that leave no spread.
+    """
+    if n_trials is None or variance is None:
+        row = moments.agg(F.count("sharpe").alias("n"), F.coalesce(F.var_samp("sharpe"), F.lit(0.0)).alias("v")).first()
+        n_trials, variance = row["n"] if n_trials is None else n_trials, row["v"] if variance is None else variance
+    top = F.lit(expected_max_sharpe(variance, n_trials))
+    sharpe, n = F.col("sharpe"), F.col("n")
+    spread = 1 - F.col("skew") * sharpe + (F.col("kurtosis") - 1) / 4 * sharpe * sharpe
+    above = lambda level: normal_cdf(F.when((n >= 2) & (spread > 0), (sharpe - level) * F.sqrt(n - 1) / F.sqrt(F.when(spread > 0, spread))))
+    return moments.withColumns({"psr": above(F.lit(benchmark)), "expected_max": top, "deflated": above(top)})
+
+
 def regime_breakdown(returns: DataFrame, regimes: DataFrame, on: tuple[str, ...] = ("ts",), value: str = "ret", label: str = "regime") -> DataFrame:
     """regime, n, mean_return, sharpe (yearly; 0 without spread) of the rows that both tables have."""
     x = F.col(value)
@@ -119,9 +146,11 @@ def regime_breakdown(returns: DataFrame, regimes: DataFrame, on: tuple[str, ...]
 def promotion_gates(values: DataFrame, baselines: DataFrame, min_margin: float = 0.0) -> DataFrame:
     """Each of values (name, value) against each of baselines (baseline, threshold): strictly above it and the margin.
 
-    The result has a row for each pair. baselines is broadcast whole; a table
-    that is too large for that is an error, and none of it is left out.
+    The result has a row for each pair. baselines is counted and broadcast
+    whole; a table of more than MAX_BASELINES rows is an error, and none of it is left out.
     """
+    if baselines.count() > MAX_BASELINES:
+        raise ValueError(f"more than {MAX_BASELINES} baselines")
     pairs = values.crossJoin(F.broadcast(baselines))
     return pairs.withColumn("passed", F.col("value") > F.col("threshold") + F.lit(min_margin))
 

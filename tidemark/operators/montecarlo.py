@@ -147,6 +147,15 @@ def run(bars: DataFrame, strategy, n_sims: int, account: Account = Account(), ki
     return out.select(F.regexp_extract("symbol", r"^(.*)#\d+$", 1).alias("symbol"), F.regexp_extract("symbol", r"#(\d+)$", 1).cast("long").alias("sim"), "metric", "value")
 
 
+def path_scores(made: DataFrame) -> DataFrame:
+    """symbol, sim, metric, value of simulated paths themselves, without a strategy: log_return, volatility (of a bar), max_drawdown of closes."""
+    w = Window.partitionBy("symbol", "sim").orderBy("ts")
+    c = F.col("close")
+    steps = made.select("symbol", "sim", "ts", c, F.ln(c / F.lag(c).over(w)).alias("r"), (c / F.max(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("down"))
+    by = steps.groupBy("symbol", "sim").agg(F.ln(F.max_by("close", "ts") / F.min_by("close", "ts")).alias("log_return"), F.stddev_samp("r").alias("volatility"), F.min("down").alias("max_drawdown"))
+    return by.unpivot(["symbol", "sim"], ["log_return", "volatility", "max_drawdown"], "metric", "value")
+
+
 def _good(value: str = "value") -> Column:
     return F.when(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.col(value))
 

@@ -269,11 +269,11 @@ def _drawn(s: Steps, name: str, source: str, i: str, stream: int, seed: int = 7)
     s.ctes.append(f"{name} AS (SELECT * EXCLUDE (x), x AS d{stream} FROM {name}3)")
 
 
-def _paths_sql(kind: str) -> str:
-    """Three simulations of every series: the return r that each bar gets, then prices."""
+def _paths_sql(kind: str, sims: int = 3, whole: bool = False) -> str:
+    """Simulations of every series: the return r that each bar gets, then prices, rounded unless they are to be whole."""
     s = Steps().add(was=lag("close")).add(r="CASE WHEN close > 0 AND was > 0 THEN ln(close / was) END", o="open / close", h="high / close", l="low / close", i="rn - 1", n="count(*) OVER (PARTITION BY symbol)")
     past = s.top
-    s.ctes.append(f"sims AS (SELECT symbol, ts, i, n, sim::BIGINT AS sim FROM {past}, range(3) t(sim) WHERE n > 2)")
+    s.ctes.append(f"sims AS (SELECT symbol, ts, i, n, sim::BIGINT AS sim FROM {past}, range({sims}) t(sim) WHERE n > 2)")
     _drawn(s, "db", "sims", "i", 5)
     _drawn(s, "dc", "db", "i", 6)
     returned = f"LEFT JOIN {past} a ON a.symbol = j.symbol AND a.i = j.src"
@@ -307,6 +307,8 @@ def _paths_sql(kind: str) -> str:
     )
     s.ctes.append("q AS (SELECT *, close * o AS open FROM m)")
     s.top = "q"
+    if whole:
+        return s.select("symbol, sim, ts, close")
     r = lambda e, n: f"round({e} + {NUDGE!r}, 5) + 0.0 AS {n}"
     return s.select(f"symbol, sim, ts, {r('open', 'open')}, {r('greatest(close * h, open, close)', 'high')}, {r('least(close * l, open, close)', 'low')}, {r('close', 'close')}, {r('volume', 'volume')}")
 
@@ -315,6 +317,63 @@ def resampled(kind: str) -> Callable:
     return lambda spark, sf_dir: rounded(MC.paths(hourly(spark, sf_dir), 3, kind, seed=7), ["open", "high", "low", "close", "volume"], 5, ("symbol", "sim", "ts"))
 
 
+_PATHS = 50
+
+
+def _path_results(spark, sf_dir):
+    return MC.path_scores(MC.paths(hourly(spark, sf_dir), _PATHS, "stationary", seed=7))
+
+
+def path_summary(spark, sf_dir):
+    """The spread of simulated paths' own scores."""
+    found = MC.summary(_path_results(spark, sf_dir))
+    return rounded(found, [c for c in found.columns if c not in ("symbol", "metric", "n_valid", "n_nan")], 6, ("symbol", "metric", "n_valid", "n_nan"))
+
+
+def path_intervals(spark, sf_dir):
+    """An interval of the paths' returns, and the share of paths that end no higher than they began."""
+    found = _path_results(spark, sf_dir).cache()
+    return rounded(MC.confidence_interval(found, "log_return").join(MC.percentile_of(found, "log_return", 0.0), "symbol"), ["low", "high", "percentile"], 6, ("symbol",))
+
+
+def _path_results_sql() -> str:
+    return (
+        f"WITH pa AS ({_paths_sql('stationary', _PATHS, True)}), pb AS (SELECT *, ln(close / lag(close) OVER w) AS r, close / max(close) OVER (w ROWS UNBOUNDED PRECEDING) - 1 AS down FROM pa WINDOW w AS (PARTITION BY symbol, sim ORDER BY ts)), "
+        "pc AS (SELECT symbol, sim, ln(arg_max(close, ts) / arg_min(close, ts)) AS log_return, stddev_samp(r) AS volatility, min(down) AS max_drawdown FROM pb GROUP BY ALL), pd AS (UNPIVOT pc ON log_return, volatility, max_drawdown INTO NAME metric VALUE value) "
+    )
+
+
+def _path_summary_sql() -> str:
+    r = lambda e, n: f"round({e} + {NUDGE!r}, 6) + 0.0 AS {n}"
+    points = ", ".join(r(f"quantile_cont(value, {p / 100})", f"p{p}") for p in (5, 25, 50, 75, 95))
+    return _path_results_sql() + f"SELECT symbol, metric, count(value) AS n_valid, count(*) - count(value) AS n_nan, {r('avg(value)', 'mean')}, {r('stddev_pop(value)', 'std')}, {r('min(value)', 'min')}, {points}, {r('max(value)', 'max')} FROM pd GROUP BY ALL"
+
+
+def _path_intervals_sql() -> str:
+    r = lambda e, n: f"round({e} + {NUDGE!r}, 6) + 0.0 AS {n}"
+    return _path_results_sql() + f"SELECT symbol, {r('quantile_cont(value, 0.05)', 'low')}, {r('quantile_cont(value, 0.95)', 'high')}, {r('avg((value <= 0)::INT) * 100', 'percentile')} FROM pd WHERE metric = 'log_return' GROUP BY symbol"
+
+
+def significance(spark, sf_dir):
+    """Each series' ratio against luck: as one alone, and as the best of all of them."""
+    frame = compute(hourly(spark, sf_dir), [LogReturns()]).select("symbol", "ts", F.col("signal__log_return_close").alias("ret"))
+    return rounded(M.significance(M.return_moments(frame)).select("symbol", "n", "psr", "expected_max", "deflated"), ["psr", "expected_max", "deflated"], 6, ("symbol", "n"))
+
+
+def _significance_sql() -> str:
+    from statistics import NormalDist
+
+    trials = 5  # the tables have five series; a ratio's quantiles are numbers and not columns
+    low, high = (NormalDist().inv_cdf(1 - 1 / x) for x in (trials, trials * math.e))
+    gamma = 0.5772156649015329
+    cdf = lambda z: f"0.5 + exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * sign({z}) * list_sum([exp((2 * k + 1) * ln(abs({z})) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())) FOR k IN range(160)])"
+    r = lambda e, n: f"round({e} + {NUDGE!r}, 6) + 0.0 AS {n}"
+    return (
+        f"WITH mo AS ({_moments_sql(False)}), va AS (SELECT var_samp(sharpe) AS v FROM mo), z AS (SELECT symbol, n, sharpe, sqrt(v) * {((1 - gamma) * low + gamma * high)!r}::DOUBLE AS top, sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) AS f FROM mo, va) "
+        f"SELECT symbol, n, {r(cdf('sharpe * f'), 'psr')}, {r('top', 'expected_max')}, {r(cdf('(sharpe - top) * f'), 'deflated')} FROM z"
+    )
+
+
 def monte_carlo(spark, sf_dir):
     bars = hourly(spark, sf_dir)
     return MC.summary(MC.run(bars, crossing(), 20, ACCOUNT, "stationary", seed=1, names=["total_return", "max_drawdown", "sharpe_ratio"]))
@@ -348,12 +407,12 @@ def moments(spark, sf_dir):
     return rounded(M.return_moments(frame), ["mean", "sharpe", "skew", "kurtosis"], 6, ("symbol", "n"))
 
 
-def _moments_sql() -> str:
+def _moments_sql(round_: bool = True) -> str:
     s = _returns()
     s.ctes.append(f"c AS (SELECT symbol, ret, avg(ret) OVER (PARTITION BY symbol) AS m FROM {s.top} WHERE ret IS NOT NULL)")
     s.ctes.append("g AS (SELECT symbol, count(*) AS n, avg(ret) AS m, avg(ret) / nullif(stddev_samp(ret), 0) AS sh, avg(pow(ret - m, 3)) / pow(avg(pow(ret - m, 2)), 1.5) AS sk, avg(pow(ret - m, 4)) / pow(avg(pow(ret - m, 2)), 2) AS ku FROM c GROUP BY 1)")
     s.top = "g"
-    r = lambda e, n: f"round({e} + {NUDGE!r}, 6) + 0.0 AS {n}"
+    r = lambda e, n: f"round({e} + {NUDGE!r}, 6) + 0.0 AS {n}" if round_ else f"{e} AS {n}"
     return s.select(f"symbol, n, {r('m', 'mean')}, {r('sh', 'sharpe')}, {r('sk', 'skew')}, {r('ku', 'kurtosis')}")
 
 
@@ -426,7 +485,7 @@ def queries() -> dict[str, Callable]:
         "target_future": target_query(X.future_return), "target_direction": target_query(X.directional_target), "target_excess_rolling": target_query(lambda b: X.excess_return(b, drift_window=50)),
         "target_excess_expanding": target_query(lambda b: X.excess_return(b, drift_window=50, drift="expanding")), "target_excess_ewma": target_query(lambda b: X.excess_return(b, drift_window=50, drift="ewma")),
         "feature_matrix": feature_rows, "scaler_minmax": minmax_rows, "walk_forward": folds, "losses": losses, "paths_circular": circular_paths, "paths_stationary": resampled("stationary"), "paths_shuffle": resampled("shuffle"), "paths_gbm": resampled("gbm"),
-        "monte_carlo": monte_carlo, "sharpe_interval": sharpe_interval, "return_moments": moments, "parameter_search": parameter_search, "signal_search": signal_search, "backtest_search": backtest_search, "model_search": model_search, "network": learned,
+        "monte_carlo": monte_carlo, "sharpe_interval": sharpe_interval, "return_moments": moments, "significance": significance, "path_summary": path_summary, "path_intervals": path_intervals, "parameter_search": parameter_search, "signal_search": signal_search, "backtest_search": backtest_search, "model_search": model_search, "network": learned,
     }
 
 
@@ -460,5 +519,8 @@ def oracle_sql() -> dict[str, str]:
         "sharpe_interval": _interval_sql(),
         "target_excess_ewma": _excess_sql("ewma"),
         "return_moments": _moments_sql(),
+        "significance": _significance_sql(),
+        "path_summary": _path_summary_sql(),
+        "path_intervals": _path_intervals_sql(),
         "parameter_search": _search_sql(),
     }
