@@ -82,7 +82,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts as smaller than all others, and is kept only in a group of null
     doc_ids. Rows that repeat both doc_id and text share one decision, and each
     of them counts in group_size. Other columns of docs, whatever their names,
-    are not read. An empty table gives an empty result.
+    are not read. An empty table gives an empty result; a text of any length is
+    hashed whole.
     """
     hitters = hitters or max(HITTERS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = staged(text_digests(docs, id_col, text_col), "digests")

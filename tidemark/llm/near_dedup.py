@@ -293,9 +293,14 @@ def near_groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text
     repeat a doc_id count apart, and where the smallest doc_id of a group is
     repeated all its rows are kept. Rows with a null doc_id join groups by their
     text but never name one while the group has another; a group of such rows
-    alone has a null component_id and its rows are kept. Other columns are not
+    alone has a null component_id and its rows are kept. An empty table gives an
+    empty result; a text of any length is read whole. Other columns are not
     read. A link is missed only if no band agrees (below 1e-6 at 85 per cent)
     or the estimate falls short by SLACK standard errors.
+
+    Classes of one mixed bucket are compared in pairs of blocks: n of them make
+    n * n / (2 * block * block) tasks of block * block comparisons each, so the work grows
+    with the square of the different texts of one bucket, not of its copies.
     """
     sigs = staged(signatures(docs, id_col, text_col), "signatures")
     total = sigs.count()

@@ -468,7 +468,9 @@ def _decode(model: str, keep: list[str]):
 def decode(rows: DataFrame, model: str, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of rows (all unless given) and decoded: the text of the column ids; null ids give an empty text.
 
-    A kept column named decoded gives way to the result.
+    Rows that repeat ids have equal results, an empty table gives an empty one,
+    a list of any length is decoded whole. A kept column named decoded gives way
+    to the result; other columns are not read.
     """
     keep = unlike(rows.columns if keep is None else keep, ["decoded"])
     fields = {f.name: f for f in rows.schema.fields}

@@ -205,13 +205,22 @@ def _parse(folder: str, payloads: bool):
 
 
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
-    """The records of the manifest's archives: id, record_type, uri, digest, bytes and payload (responses only), refers_to."""
+    """The records of the manifest's archives: id, record_type, uri, digest, bytes and payload (responses only), refers_to.
+
+    A record whose page had no id or url has nulls there; one without a payload
+    has 0 bytes. Records that repeat one another are all read; an empty manifest gives an empty result.
+    """
     parts = max(1, min(int(manifest.count()), 4 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return manifest.select("file").repartition(parts).mapInArrow(_parse(folder, payloads), "id long, record_type string, uri string, digest string, bytes long, refers_to long, payload string")
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """records with revisits joined to their responses by payload digest: bytes, and refers_to if it was not given."""
+    """records with revisits joined to their responses by payload digest: bytes, and refers_to if it was not given.
+
+    Of several responses of a digest the largest id is taken. A revisit whose
+    response is not among records, or whose digest is null, keeps null bytes and
+    what refers_to it had; an empty table gives an empty result.
+    """
     heads = staged(records.select("id", "record_type", "uri", "digest", "bytes", "refers_to"), "records")
     total = heads.count()
     whole = F.col("record_type") == "response"
