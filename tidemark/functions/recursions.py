@@ -1,4 +1,4 @@
-"""Values that depend on their predecessor: exponential means, run once over each sorted series.
+"""Values that depend on their predecessor by steps that are not linear, run once over each sorted series; for linear ones see ``linear``.
 
 Series are dealt out by symbol and sorted; a task goes through its rows in
 order, one Arrow batch after the other, and keeps nothing but the recursions'
