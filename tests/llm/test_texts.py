@@ -137,6 +137,55 @@ def test_token_files_of_repeated_ids_and_long_texts(spark):
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None, None, 1, 1, 1, 2, 2]
 
 
+class CountedTokenizer:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.seen = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.seen += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_beside_line_feeds_and_marks_are_encoded_once():
+    words = [a + b for a in ("stone", "river", "cloud", "meadow") for b in ("ing", "ed", "er", "s", "ly")]
+    lines = [f"{a}{m}\n{b.title()} {a}{m}" for a in words for b in words for m in (".", ",", "!!", "***")]
+    e = token_files.Encoder(BYTES)
+    plain = e.tokenizer
+    e.tokenizer = CountedTokenizer(plain)
+    got = e.encode(lines)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [plain.encode(x, add_special_tokens=False).ids for x in lines]
+    assert e.tokenizer.seen < 10 * sum(map(len, words)) < sum(map(len, lines)) / 20
+    e.encode(lines)
+    assert e.tokenizer.seen < 10 * sum(map(len, words))
+
+
+@pytest.mark.parametrize("most", [900_000, 60, 0])
+def test_odd_texts_have_the_ids_of_the_library(most, monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", most)
+    monkeypatch.setattr(token_files, "JOINED_WORDS", 7)
+    g, e = random.Random(most), token_files.Encoder(BYTES)
+    some = ["a", "b", "The", "é", "中文字", "ة", "10", "'s", "'", "'re", "!", ",", "***", "\n", "\n", "\n\n", " ", " ", " ", "  ", "\t", "\u0301", "\u0120", "\u010a", "<|endoftext|>", "\r", "\r0", "x" * 50, "\U0001f600", "\u3000", "²", "ª"]
+    for _ in range(12):
+        odd = ["".join(g.choices(some, k=g.randint(0, 30))) for _ in range(100)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(odd)] == [e.tokenizer.encode(x, add_special_tokens=False).ids for x in odd]
+    assert e.used <= most + 200 and e.encode([]) == [] and e.encode([""]) == [b""]
+
+
+def test_token_files_end_with_the_document_that_fills_them(spark):
+    df = spark.createDataFrame([(k, "some words " * (k % 7) + "x") for k in range(300)], "doc_id long, text string").coalesce(1)
+    folder = f"{shared_dir(spark)}/tok-ends"
+    manifest = token_files.write_tokens(df, BYTES, folder, 2, file_ids=100)
+    sizes = {r["doc_id"]: r["n_tokens"] for r in token_files.read_tokens(manifest, folder).collect()}
+    rows = manifest.collect()
+    last = {p: max(r["seq"] for r in rows if r["part"] == p) for p in {r["part"] for r in rows}}
+    for r in rows:
+        assert r["n_ids"] == sum(sizes[i] for i in r["doc_ids"]) and r["n_docs"] == len(r["doc_ids"])
+        assert r["n_ids"] - sizes[r["doc_ids"][-1]] < 100 and (r["n_ids"] >= 100 or r["seq"] == last[r["part"]])
+    assert sorted(i for r in rows for i in r["doc_ids"]) == list(range(300))
+
+
 def test_a_tokenizer_of_another_kind_encodes_whole_texts(tmp_path):
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
